@@ -168,24 +168,42 @@ def _spread(members: Column, tail: tuple[str | int, ...]) -> Column:
     return F.filter(values, lambda value: value.isNotNull())
 
 
+TEXT_MAP = T.MapType(T.StringType(), T.StringType())
+
+
 @dataclass
 class _Node:
     wanted: bool = False
+    wanted_map: bool = False
     fields: dict[str, "_Node"] = field(default_factory=dict)
     items: "_Node | None" = None
 
+    @property
+    def mapped(self) -> bool:
+        """Read as a map of texts: wanted so, and nothing else is needed but single fields."""
+        plain = all(child.leaf and not child.wanted_map for child in self.fields.values())
+        return self.wanted_map and not self.wanted and self.items is None and plain
+
+    @property
+    def leaf(self) -> bool:
+        return not self.fields and self.items is None
+
     @property
     def raw(self) -> bool:
         """Kept as text: a leaf, or a value that cannot be given one struct or array type."""
-        if self.wanted or (self.fields and self.items is not None):
+        if self.mapped:
+            return False
+        if self.wanted or self.wanted_map or (self.fields and self.items is not None):
             return True
-        if not self.fields and self.items is None:
+        if self.leaf:
             return True
         return len({name.lower() for name in self.fields}) < len(self.fields)
 
     def type(self) -> T.DataType:
         if self.raw:
             return T.StringType()
+        if self.mapped:
+            return TEXT_MAP
         if self.items is not None:
             return T.ArrayType(self.items.type())
         return T.StructType([T.StructField(n, child.type()) for n, child in self.fields.items()])
@@ -203,12 +221,26 @@ class JsonBody:
         self.body = body
         self.column = column
         self.root = _Node()
+        self.lists: dict[JsonPath, str] = {}
 
     def need(self, path: JsonPath) -> JsonPath:
-        """Register the longest definite part of ``path``."""
-        steps = self._definite_part(path)
+        """Register the longest definite part of ``path``, and its list of results if it has one."""
+        if not path.definite:
+            self.lists.setdefault(path, f"{self.column}_{len(self.lists)}")
+        if node := self._node(self._definite_part(path)):
+            node.wanted = True
+        return path
+
+    def need_map(self, path: JsonPath) -> JsonPath:
+        """Register a definite path whose object is wanted as a map of texts."""
+        if node := self._node(path.steps):
+            node.wanted_map = True
+        return path
+
+    def _node(self, steps: tuple[str | int, ...]) -> _Node | None:
+        """The place of a path in the parsed body; none for the whole body."""
         if not steps or isinstance(steps[0], int):
-            return path
+            return None
         node = self.root
         for step in steps:
             if isinstance(step, int):
@@ -216,15 +248,14 @@ class JsonBody:
                 node = node.items
             else:
                 node = node.fields.setdefault(step, _Node())
-        node.wanted = True
-        return path
+        return node
 
     @staticmethod
     def _definite_part(path: JsonPath) -> tuple[str | int, ...]:
         return path.steps[: path.each_at[0]] if path.each_at else path.steps
 
     def attach(self, df: DataFrame) -> DataFrame:
-        """Add the parsed body as one struct column."""
+        """Add the parsed body as one struct column, and one column for each list of results."""
         fields = [T.StructField(n, child.type()) for n, child in self.root.fields.items()]
         schema = T.StructType([*fields, T.StructField(self.CORRUPT, T.StringType())])
         parsed = F.from_json(
@@ -232,10 +263,12 @@ class JsonBody:
             schema,
             {"columnNameOfCorruptRecord": self.CORRUPT, "mode": "PERMISSIVE"},
         )
-        return df.withColumn(self.column, parsed)
+        attached = df.withColumn(self.column, parsed)
+        lists = {name: self._listed(path) for path, name in self.lists.items()}
+        return attached.withColumns(lists) if lists else attached
 
     def drop(self, df: DataFrame) -> DataFrame:
-        return df.drop(self.column)
+        return df.drop(self.column, *self.lists.values())
 
     def valid(self) -> Column:
         """The body is a JSON document."""
@@ -254,12 +287,22 @@ class JsonBody:
         for at, step in enumerate(steps):
             if at and node.raw:
                 return F.get_json_object(value, spark_path(steps[at:]))
+            if at and node.mapped:
+                return F.try_element_at(value, F.lit(step))
             if isinstance(step, int):
                 value, node = F.get(value, F.lit(step)), node.items
             else:
                 value, node = value[step], node.fields[step]
         return value
 
+    def text_map(self, path: JsonPath) -> Column:
+        """The object at a definite path as a map of texts; null when there is none."""
+        value = self._raw(path.steps)
+        node = self._node(path.steps)
+        if node is not None and node.mapped:
+            return value
+        return F.when(is_object(value), F.from_json(value, TEXT_MAP))
+
     def value(self, path: JsonPath) -> Column:
         """Text of the first result; null when there is none or it is null."""
         if path.definite:
@@ -271,6 +314,9 @@ class JsonBody:
         if path.definite:
             raw = self._raw(path.steps)
             return F.when(raw.isNotNull(), F.array(raw))
+        return F.col(self.lists[path])
+
+    def _listed(self, path: JsonPath) -> Column:
         raw = self._raw(self._definite_part(path))
         if path.each_at:
             first = path.each_at[0]
@@ -287,9 +333,4 @@ class JsonBody:
         """The first result exists and is not null; never null itself."""
         if path.steps == () and path.condition is None:
             return self.valid()
-        if path.condition is not None and not path.each_at:
-            raw = self._raw(path.steps)
-            on_object = F.when(is_object(raw), path.condition.test(raw))
-            in_array = F.when(_is_array(raw), F.exists(_members(raw), path.condition.test))
-            return F.coalesce(on_object, in_array, F.lit(False))
         return self.value(path).isNotNull()

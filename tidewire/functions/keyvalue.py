@@ -44,10 +44,13 @@ class KeyValue:
             return cls("lite", path)
         raise ValueError(f"not a key/value expression: {expression}")
 
-    def paths(self) -> list[JsonPath]:
+    def register(self, body: JsonBody) -> None:
+        """Tell the body what this expression reads."""
         if self.kind == "address":
-            return []
-        return [side for side in (self.key, self.value) if isinstance(side, JsonPath)]
+            return
+        for side in (self.key, self.value):
+            if isinstance(side, JsonPath):
+                body.need_map(side) if self.kind == "lite" and side.definite else body.need(side)
 
     def address_text(self, address: Column) -> Column:
         """``key:value`` as read from an address; colons at the end do not count."""
@@ -113,8 +116,7 @@ def _padded(items: Column, length: Column, expression: str) -> Column:
 def _merged_objects(path: JsonPath, body: JsonBody) -> Column:
     """Entries of all objects found; whatever fails gives an empty map."""
     if path.definite:
-        raw = body.value(path)
-        merged = F.when(is_object(raw), F.from_json(raw, MAP))
+        merged = body.text_map(path)
     else:
         objects = F.filter(body.values(path), lambda raw: F.coalesce(is_object(raw), F.lit(False)))
         merged = F.aggregate(
@@ -131,12 +133,23 @@ def merge_maps(maps: list[Column]) -> Column:
     return maps[0] if len(maps) == 1 else F.map_concat(*maps)
 
 
+# What reads as a number in Java. Testing first is much cheaper than a cast that fails.
+NUMBER = (
+    r"\A\s*[+-]?(?:NaN|Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?[fFdD]?"
+    r"|0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?\d+[fFdD]?)\s*\z"
+)
+
+
+def is_number(text: Column) -> Column:
+    return text.rlike(NUMBER)
+
+
 def numeric_fields(fields: Column) -> Column:
     """The fields whose text is a number."""
-    numbers = F.map_filter(fields, lambda _, v: v.try_cast("double").isNotNull())
+    numbers = F.map_filter(fields, lambda _, v: is_number(v))
     return F.transform_values(numbers, lambda _, v: v.try_cast("double"))
 
 
 def text_fields(fields: Column) -> Column:
     """The fields whose text is no number."""
-    return F.map_filter(fields, lambda _, v: v.try_cast("double").isNull())
+    return F.map_filter(fields, lambda _, v: ~is_number(v))

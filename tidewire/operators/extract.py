@@ -57,11 +57,12 @@ class _Compiled:
         self.time = TimeRule.parse(rule.time) if rule.time else None
         self.body = body
         paths = [self.filter.path, *self.bucket.paths(), *self.measurement.paths()]
-        paths += [p for kv in (*self.tags, *self.fields) for p in kv.paths()]
         if self.time:
             paths.append(self.time.path)
         for path in paths:
             body.need(path)
+        for kv in (*self.tags, *self.fields):
+            kv.register(body)
 
     def _text_name(self, part: str, at: int) -> str:
         return f"__{part}_{self.number}_{at}"
@@ -116,8 +117,12 @@ def try_extract_points(
         texts |= rule.address_texts(address)
     candidates = messages.withColumn("__address", strip_backslashes(F.col("address"))).filter(wanted)
     prepared = body.attach(candidates).withColumns(texts) if texts else body.attach(candidates)
+    # the points are formed in a projection, which is compiled; the generator only lists them
+    points = [rule.point(address, keep).alias(f"__point_{rule.number}") for rule in compiled]
+    listed = F.array(*[F.col(f"__point_{rule.number}") for rule in compiled])
     made = (
-        prepared.select(F.explode(F.array(*[rule.point(address, keep) for rule in compiled])).alias("point"))
+        prepared.select(*points)
+        .select(F.explode(listed).alias("point"))
         .filter(F.col("point").isNotNull())
         .select("point.*")
     )

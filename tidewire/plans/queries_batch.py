@@ -96,21 +96,28 @@ points AS (
 
 
 def point_rows(points: DataFrame) -> DataFrame:
-    """Points as one row per tag and field."""
-
-    def rows(kind: str, column: str) -> DataFrame:
-        number, string = ("value", None) if kind == "num" else (None, "value")
-        return points.select(
-            "message_id", "rule", "bucket", "measurement", millis(F.col("time")).alias("time_ms"),
-            F.lit(kind).alias("kind"), F.explode(column).alias("key", "value"),
-        ).withColumns(
-            {
-                "number": F.col(number).cast("bigint") if number else F.lit(None).cast("bigint"),
-                "text": F.col(string) if string else F.lit(None).cast("string"),
-            }
-        ).drop("value")
-
-    return rows("tag", "tags").unionByName(rows("num", "fields_num")).unionByName(rows("str", "fields_str"))
+    """Points as one row per tag and field, in one pass."""
+
+    def rows(kind: str, column: str, number: str | None = None, text_: str | None = None):
+        def row(e):
+            return F.struct(
+                F.lit(kind).alias("kind"),
+                e["key"].alias("key"),
+                (e[number] if number else F.lit(None)).cast("bigint").alias("number"),
+                (e[text_] if text_ else F.lit(None)).cast("string").alias("text"),
+            )
+
+        return F.transform(F.map_entries(column), row)
+
+    entries = F.concat(
+        rows("tag", "tags", text_="value"),
+        rows("num", "fields_num", number="value"),
+        rows("str", "fields_str", text_="value"),
+    )
+    columns = ("message_id", "rule", "bucket", "measurement", "time_ms")
+    listed = points.withColumns({"time_ms": millis(F.col("time")), "entries": entries})
+    rows = listed.select(*columns, F.explode_outer("entries").alias("e")).filter("e IS NOT NULL")
+    return rows.select(*columns, "e.*")
 
 
 EXTRACT_SQL = with_(MESSAGES, POINTS, select="""

@@ -64,7 +64,10 @@ def _entries(df: DataFrame, maps: dict[str, Column]) -> DataFrame:
         return F.transform(F.map_entries(m), entry)
 
     pairs = [rows(kind, m) for kind, m in maps.items()]
-    return df.select("message_id", F.explode(F.concat(*pairs)).alias("e")).select("message_id", "e.*")
+    # the outer form, as a plain explode would put a second copy of all maps into a filter on the input
+    listed = df.select("message_id", F.concat(*pairs).alias("all"))
+    rows = listed.select("message_id", F.explode_outer("all").alias("e")).filter("e IS NOT NULL")
+    return rows.select("message_id", "e.*")
 
 
 @query(
@@ -191,11 +194,10 @@ def _kv_rows(spark, sf_dir, expressions: dict[str, str]) -> DataFrame:
     body = JsonBody()
     parsed = {kind: KeyValue.parse(e) for kind, e in expressions.items()}
     for kv in parsed.values():
-        for path in kv.paths():
-            body.need(path)
-    return _entries(
-        body.attach(_array_bodies(spark, sf_dir)), {kind: kv.column(body) for kind, kv in parsed.items()}
-    )
+        kv.register(body)
+    made = {f"__{kind}": kv.column(body) for kind, kv in parsed.items()}
+    df = body.attach(_array_bodies(spark, sf_dir)).select("message_id", *[m.alias(n) for n, m in made.items()])
+    return _entries(df, {kind: F.col(f"__{kind}") for kind in parsed})
 
 
 @query(
