@@ -10,7 +10,10 @@ ONE_WORD = "*"
 
 
 def pattern_regex(pattern: Column) -> Column:
-    """The pattern as an anchored regex; any-words also stands for no word at all."""
+    """The pattern as an anchored regex for the address with a dot before it.
+
+    Any-words also stands for no word at all.
+    """
     words = F.split(F.translate(pattern, "#", ">"), r"\.")
     parts = F.transform(
         words,
@@ -21,11 +24,6 @@ def pattern_regex(pattern: Column) -> Column:
     return F.concat(F.lit(r"\A"), F.array_join(parts, ""), F.lit(r"\z"))
 
 
-def dotted(address: Column) -> Column:
-    """The form of an address that ``pattern_regex`` tests: a dot before every word."""
-    return F.concat(F.lit("."), address)
-
-
 def normalized(pattern: Column) -> Column:
     """One sign for any-words, and one any-words from the first to the last of them."""
     return F.regexp_replace(F.translate(pattern, "#", ">"), r"(^|\.)>(?:\..*\.>|\.>)(?=\.|$)", "$1>")

@@ -7,34 +7,35 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import wildcards
 from tidewire.functions.attributes import POLICY_FLAGS, ROLE_FLAGS, flag, unwrap
+from tidewire.settings import materialize
 
 
 def match_patterns(addresses: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Pairs of address and pattern that match, as a hash join.
+    """Rows of ``addresses`` with each ``pattern`` that matches their ``address``, as a hash join.
 
-    ``addresses`` has a column ``address`` with different values, ``patterns`` a column ``pattern``. An
-    address can match only one pattern of each shape (``data.*.>`` has the shape ``w.*.>``), and that
-    pattern can be written down. So each address is joined on the few patterns it could match.
+    An address can match only one pattern of each shape (``data.*.>`` has the shape ``w.*.>``), and
+    that pattern can be written down. So each address is joined on the few patterns it could match.
+    ``addresses`` should have each address once; its other columns are kept.
     """
     listed = patterns.select("pattern").distinct().withColumn("shape", wildcards.shape(F.col("pattern")))
     # as many as the patterns differ in form, whatever their number
     shapes = listed.select(F.collect_set("shape")).scalar()
     possible = (
-        addresses.select("address", shapes.alias("shapes"))
-        .select("address", F.explode("shapes").alias("shape"))
-        .withColumn("key", wildcards.generalize(F.col("address"), F.col("shape")))
-        .filter(F.col("key").isNotNull())
-        .drop("shape")
+        addresses.withColumn("__shapes", shapes)
+        .withColumn("__shape", F.explode("__shapes"))
+        .withColumn("__key", wildcards.generalize(F.col("address"), F.col("__shape")))
+        .filter(F.col("__key").isNotNull())
+        .drop("__shapes", "__shape")
     )
     keyed = listed.select(
         "pattern",
-        wildcards.normalized(F.col("pattern")).alias("key"),
-        wildcards.pattern_regex(F.col("pattern")).alias("regex"),
+        wildcards.normalized(F.col("pattern")).alias("__key"),
+        wildcards.pattern_regex(F.col("pattern")).alias("__regex"),
     )
     # words between two any-words are the only thing that the key leaves open
     several = F.length(F.regexp_replace("pattern", "[^>#]", "")) > 1
-    exact = F.when(several, F.expr("concat('.', address) RLIKE regex")).otherwise(True)
-    return possible.join(keyed, "key").filter(exact).select("address", "pattern")
+    exact = F.when(several, F.expr("concat('.', address) RLIKE __regex")).otherwise(True)
+    return possible.join(keyed, "__key").filter(exact).drop("__key", "__regex")
 
 
 def subscription_match(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -44,11 +45,7 @@ def subscription_match(messages: DataFrame, subscriptions: DataFrame) -> DataFra
     """
     traffic = messages.groupBy("address").agg(F.count(F.lit(1)).alias("messages"))
     matched = match_patterns(traffic, subscriptions)
-    return (
-        matched.join(subscriptions, "pattern")
-        .join(traffic, "address")
-        .select("subscription", "pattern", "address", "messages")
-    )
+    return matched.join(subscriptions, "pattern").select("subscription", "pattern", "address", "messages")
 
 
 def eligible_roles(roles: DataFrame, marker: str) -> DataFrame:
@@ -106,9 +103,10 @@ def access_audit(
     """Per user and address: how many messages, and whether a role of the user permits them.
 
     ``user_roles``: ``user, role``; ``policies``: ``match, name`` and the permission flags. Messages are
-    counted per user and address first; roles are matched with addresses, not with messages.
+    counted per user and address once; roles are matched with addresses, not with messages.
     """
-    sends = messages.groupBy("user", "address").agg(F.count(F.lit(1)).alias("messages"))
+    counted = messages.groupBy("user", "address").agg(F.count(F.lit(1)).alias("messages"))
+    sends = materialize(counted, "sends")
     granting = policies.filter(F.col(permission)).select(
         F.col("match").alias("pattern"), F.col("name").alias("role")
     ).distinct()

@@ -116,22 +116,27 @@ def unanswered_requests(
 def request_reply(requests: DataFrame, replies: DataFrame) -> DataFrame:
     """Each request with its replies by correlation id, or with none.
 
-    ``requests``: ``message_id, correlation_id, application_id, ts``; the same for ``replies``. Requests
-    without a correlation id cannot be answered and stay out of the join, so that they do not meet in
-    one task.
+    ``requests``: ``message_id, correlation_id, application_id, ts``; the same for ``replies``. The
+    answered and the unanswered requests are found apart: adaptive execution can split both sides of
+    an inner join, so neither many requests nor many replies of one id end in one task. Requests
+    without an id take no part in the joins.
     """
     asked = requests.select(
         F.col("message_id").alias("request_id"),
         "correlation_id",
         "application_id",
         F.col("ts").alias("request_ts"),
-        # only a present id is a join key; the others are spread by their own id
-        F.coalesce("correlation_id", F.concat(F.lit("\u0000"), F.col("message_id"))).alias("__key"),
     )
-    answered = replies.filter(F.col("correlation_id").isNotNull()).select(
+    answers = replies.filter(F.col("correlation_id").isNotNull()).select(
+        "correlation_id",
         F.col("message_id").alias("reply_id"),
         F.col("ts").alias("reply_ts"),
         F.col("application_id").alias("subject"),
-        F.col("correlation_id").alias("__key"),
     )
-    return asked.join(answered, "__key", "left").drop("__key")
+    identified = asked.filter(F.col("correlation_id").isNotNull())
+    answered = identified.join(answers, "correlation_id")
+    ids = answers.select("correlation_id").distinct()
+    open_ = identified.join(ids, "correlation_id", "left_anti").unionByName(
+        asked.filter(F.col("correlation_id").isNull())
+    )
+    return answered.unionByName(open_, allowMissingColumns=True)

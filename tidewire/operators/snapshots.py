@@ -99,12 +99,17 @@ def _block(tick: Column) -> Column:
     return floor_div(tick, BLOCK)
 
 
-def _ticks(df: DataFrame, first: Column, last: Column) -> DataFrame:
-    """One row per tick from ``first`` to ``last``, by way of blocks so that no array grows long."""
+def _ticks(df: DataFrame, first: Column, last: Column, spread: bool = False) -> DataFrame:
+    """One row per tick from ``first`` to ``last``, by way of blocks so that no array grows long.
+
+    With ``spread`` the blocks are dealt out first: few queues then still use many tasks.
+    """
     spans = df.withColumns({"__first": first, "__last": last}).filter(F.col("__first") <= F.col("__last"))
     blocks = spans.withColumn(
         "block", F.explode(F.sequence(_block(F.col("__first")), _block(F.col("__last"))))
     )
+    if spread:
+        blocks = blocks.repartition("queue", "block")
     start = F.greatest(F.col("__first"), F.col("block") * BLOCK)
     end = F.least(F.col("__last"), F.col("block") * BLOCK + (BLOCK - 1))
     return blocks.withColumn("tick", F.explode(F.sequence(start, end))).drop("__first", "__last")
@@ -164,7 +169,7 @@ def snapshots_from_states(
     changes = _changes(states)
     spans = states.groupBy("queue").agg(F.min("seen").alias("seen"), F.max("until").alias("until"))
     before = _before_blocks(changes, spans)
-    grid = _ticks(spans, F.col("seen"), F.col("until")).withColumn(
+    grid = _ticks(spans, F.col("seen"), F.col("until"), spread=True).withColumn(
         "mark", F.when(F.col("tick") == F.col("seen"), FIRST_TICK).otherwise(LATER_TICK)
     )
     parts = [grid, changes, _oldest_pending(states)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.times import millis
-from tidewire.operators import extract, jobs, lifecycle, routing, snapshots
+from tidewire.operators import bridging, extract, jobs, lifecycle, routing, snapshots
 from tidewire.plans import inputs
 from tidewire.plans.catalog import LIFECYCLE, MESSAGES, ORACLES, SNAPSHOTS, query, with_
 from tidewire.plans.inputs import HOUR_MS, JOB_STEPS, STEPS_SPEC
@@ -136,3 +136,38 @@ def _add_rate_stream(spark, sf_dir):
     rates.store_rates(added, path, f"{path}/checkpoint").awaitTermination()
     stored = rates.rates_from_store(spark, path).filter(F.col("queue") != "closing")
     return stored.withColumn("time_ms", millis(F.col("time"))).drop("time")
+
+
+@query("app_registry_stream", ORACLES["app_registry"])
+def _app_registry_stream(spark, sf_dir):
+    path = scratch_path(spark, "registry")
+    sent = inputs.definitions_of(stream_table(spark, sf_dir, "events"))
+    definitions = bridging.app_definitions(sent, "cluster.define", ["BRIDGE_SECRET"])
+    runs.store_registry(definitions, f"{path}/apps", f"{path}/checkpoint").awaitTermination()
+    return runs.registry_from_store(spark, f"{path}/apps").select(
+        "application_id", "message_id", millis(F.col("ts")).alias("ts_ms")
+    )
+
+
+@query("request_reply_stream", ORACLES["request_reply"])
+def _request_reply_stream(spark, sf_dir):
+    events = closed_events(spark, sf_dir)
+    # the closing row counts as a request, so that the watermark passes all others
+    asked = events.withColumn(
+        "event_type", F.when(F.col("event_id") == CLOSING_ID, "purchase").otherwise(F.col("event_type"))
+    )
+    matched = runs.request_reply_stream(inputs.requests_of(asked), replies_and_closing(asked))
+    rows = runs.run_to_table(matched, "request-reply").filter(F.col("request_id") != CLOSING_ID)
+    return rows.select(
+        "request_id",
+        "correlation_id",
+        "application_id",
+        "reply_id",
+        "subject",
+        (millis(F.col("reply_ts")) - millis(F.col("request_ts"))).alias("waited_ms"),
+    )
+
+
+def replies_and_closing(events: DataFrame) -> DataFrame:
+    closing = inputs.requests_of(events.filter(F.col("event_id") == CLOSING_ID))
+    return inputs.replies_of(events).unionByName(closing.withColumn("correlation_id", F.lit("closing")))

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewire.functions.times import millis
 from tidewire.plans.running import running_total, with_previous
-from tidewire.streaming.runs import WATERMARK, for_each_batch
+from tidewire.streaming.runs import WATERMARK, for_each_batch, on_disk
 
 LAST = "queue string, last_total bigint, last_time timestamp"
 
@@ -16,7 +16,8 @@ LAST = "queue string, last_total bigint, last_time timestamp"
 def added_per_window(messages: DataFrame, interval: str = "3 seconds", watermark: str = WATERMARK) -> DataFrame:
     """Messages added per queue and interval; one row per queue and interval that saw any."""
     return (
-        messages.withWatermark("ts", watermark)
+        on_disk(messages)
+        .withWatermark("ts", watermark)
         .groupBy("queue", F.window("ts", interval).alias("w"))
         .agg(F.count(F.lit(1)).alias("added"))
         .select("queue", F.col("w.end").alias("time"), "added")

@@ -12,12 +12,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewire.operators import jobs, lifecycle, snapshots
+from tidewire.operators import bridging, jobs, lifecycle, snapshots
 from tidewire.settings import materialize, scratch_path
 
 WATERMARK = "10 minutes"
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+HEAP_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+DISK_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def on_disk(df: DataFrame) -> DataFrame:
+    """Let the state of the stream spill to disk: the default store holds all of it in memory.
+
+    A store that the session has chosen itself stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(STATE_STORE, HEAP_STORE) == HEAP_STORE:
+        conf.set(STATE_STORE, DISK_STORE)
+        conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    return df
+
+
 def stream_files(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
     """A file source; ``per_trigger`` bounds the files of one micro-batch."""
     reader = spark.readStream.schema(schema)
@@ -77,7 +94,8 @@ def run_to_table(df: DataFrame, name: str) -> DataFrame:
 def first_publish_stream(messages: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """One row per original message, whichever node's copy comes first."""
     return (
-        messages.withColumn("original_message_id", F.coalesce("original_message_id", "message_id"))
+        on_disk(messages)
+        .withColumn("original_message_id", F.coalesce("original_message_id", "message_id"))
         .withWatermark("ts", watermark)
         .dropDuplicatesWithinWatermark(["original_message_id"])
     )
@@ -101,7 +119,7 @@ def correlate_lifecycle_stream(
     then it is given out without.
     """
     limit = f"INTERVAL {within}"
-    d = delivered.select(
+    d = on_disk(delivered).select(
         "message_id", "queue", "consumer", F.col("ts").alias("deliver_ts")
     ).withWatermark("deliver_ts", watermark)
     a = acknowledged.select(
@@ -157,13 +175,51 @@ def snapshots_from_store(spark: SparkSession, path: str, interval_ms: int, until
 def store_job_state(parsed: DataFrame, steps: Sequence[str], path: str, checkpoint: str, **kwargs) -> StreamingQuery:
     """Follow jobs: each micro-batch writes the jobs that changed."""
     return for_each_batch(
-        jobs.job_state(parsed, steps), write_batch(path), checkpoint, mode="update", **kwargs
+        jobs.job_state(on_disk(parsed), steps), write_batch(path), checkpoint, mode="update", **kwargs
     )
 
 
-def jobs_from_store(spark: SparkSession, path: str) -> DataFrame:
-    """The newest stored state of every job."""
+def newest_from_store(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The newest stored row of every key, from what ``write_batch`` kept of an updating stream."""
     stored = spark.read.parquet(path)
-    columns = [c for c in stored.columns if c not in ("batch", "message_id")]
+    columns = [c for c in stored.columns if c not in ("batch", key)]
     newest = F.max_by(F.struct(*columns), "batch").alias("s")
-    return stored.groupBy("message_id").agg(newest).select("message_id", "s.*")
+    return stored.groupBy(key).agg(newest).select(key, "s.*")
+
+
+def jobs_from_store(spark: SparkSession, path: str) -> DataFrame:
+    return newest_from_store(spark, path, "message_id")
+
+
+def store_registry(definitions: DataFrame, path: str, checkpoint: str, **kwargs) -> StreamingQuery:
+    """Keep the first definition of every application as definitions come in."""
+    return for_each_batch(
+        bridging.app_registry(on_disk(definitions)), write_batch(path), checkpoint, mode="update", **kwargs
+    )
+
+
+def registry_from_store(spark: SparkSession, path: str) -> DataFrame:
+    return newest_from_store(spark, path, "application_id")
+
+
+def request_reply_stream(
+    requests: DataFrame, replies: DataFrame, within: str = "1 hour", watermark: str = WATERMARK
+) -> DataFrame:
+    """``bridging.request_reply`` for streams: a request waits for replies no longer than ``within``."""
+    asked = on_disk(requests).select(
+        F.col("message_id").alias("request_id"),
+        "correlation_id",
+        "application_id",
+        F.col("ts").alias("request_ts"),
+    ).withWatermark("request_ts", watermark)
+    answers = replies.select(
+        F.col("message_id").alias("reply_id"),
+        F.col("ts").alias("reply_ts"),
+        F.col("application_id").alias("subject"),
+        F.col("correlation_id").alias("reply_correlation"),
+    ).withWatermark("reply_ts", watermark)
+    matching = F.expr(
+        "correlation_id = reply_correlation AND reply_ts >= request_ts "
+        f"AND reply_ts <= request_ts + INTERVAL {within}"
+    )
+    return asked.join(answers, matching, "left").drop("reply_correlation")
