@@ -20,9 +20,8 @@ def json_value(body: Column, path: str) -> Column:
     return F.get_json_object(body, spark_path(parsed.steps))
 
 
-def group_key_json(body: Column, path: str) -> Column:
-    """Text of the value; an object is written as ``{key=value, …}``; null when there is none."""
-    raw = json_value(body, path)
+def object_text(raw: Column) -> Column:
+    """An object as ``{key=value, …}``, other values as they are."""
     entries = F.map_entries(F.from_json(raw, "map<string,string>"))
     pairs = F.transform(
         entries, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))
@@ -31,6 +30,11 @@ def group_key_json(body: Column, path: str) -> Column:
     return F.when(is_object(raw), F.coalesce(as_map, raw)).otherwise(raw)
 
 
+def group_key_json(body: Column, path: str) -> Column:
+    """Text of the value; an object is written as ``{key=value, …}``; null when there is none."""
+    return object_text(json_value(body, path))
+
+
 def group_key_xml(body: Column, path: str) -> Column:
     """XPath as text; an absent node gives ``''``, a body that is no XML gives null."""
     checked = F.from_xml(
@@ -46,12 +50,18 @@ def group_key_property(properties: Column, name: str) -> Column:
     return F.try_element_at(properties, F.lit(name))
 
 
-def group_key(source: str, expression: str) -> Column:
-    """The key of a message by one configured accessor."""
+def raw_group_key(source: str, expression: str) -> Column:
+    """The key of a message by one configured accessor; ``object_text`` is still to come for JSON."""
     if source == BODY_JSON:
-        return group_key_json(F.col("body"), expression)
+        return json_value(F.col("body"), expression)
     if source == BODY_XML:
         return group_key_xml(F.col("body"), expression)
     if source == PROPERTY:
         return group_key_property(F.col("properties"), expression)
     raise ValueError(f"unknown group key source: {source}")
+
+
+def group_key(source: str, expression: str) -> Column:
+    """The key of a message by one configured accessor."""
+    raw = raw_group_key(source, expression)
+    return object_text(raw) if source == BODY_JSON else raw

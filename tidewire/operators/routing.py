@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.grouping import group_key
+from tidewire.functions.grouping import BODY_JSON, object_text, raw_group_key
 from tidewire.sources.config import inline_table
 from tidewire import schemas
 
@@ -52,23 +52,26 @@ def route_steps(messages: DataFrame, steps: DataFrame) -> DataFrame:
     )
 
 
-def _key_by_accessor(accessors: Sequence[tuple[str, str]]) -> Column:
-    """The group key by the accessor named in the row; each accessor is a literal in the plan."""
+def _with_group(df: DataFrame, accessors: Sequence[tuple[str, str]], override: bool) -> DataFrame:
+    """Set the group by the accessor that ``key_source`` and ``key_expr`` of the row name.
+
+    Each accessor is a literal in the plan. An existing group stays unless ``override``; a missing
+    key changes nothing.
+    """
     cases = [
         F.when(
             (F.col("key_source") == source) & (F.col("key_expr") == expression),
-            group_key(source, expression),
+            raw_group_key(source, expression),
         )
         for source, expression in accessors
     ]
-    return F.coalesce(*cases) if cases else F.lit(None).cast("string")
-
-
-def _with_group(df: DataFrame, key: Column, override: bool) -> DataFrame:
-    """Keep an existing group unless ``override``; a missing key changes nothing."""
+    # the value is read in a projection of its own, so that each body is parsed once
+    raw = F.coalesce(*cases) if cases else F.lit(None).cast("string")
+    found = F.col("__key")
+    key = F.when(F.col("key_source") == BODY_JSON, object_text(found)).otherwise(found)
     existing = F.col("group_id")
     chosen = F.coalesce(key, existing) if override else F.coalesce(existing, key)
-    return df.withColumn("group_id", chosen)
+    return df.withColumn("__key", raw).withColumn("group_id", chosen).drop("__key", "key_source", "key_expr")
 
 
 def _accessors(rows: Sequence[Mapping]) -> list[tuple[str, str]]:
@@ -85,15 +88,13 @@ def annotate_group(messages: DataFrame, keys: Sequence[Mapping], override: bool
         return messages
     table = inline_table(messages.sparkSession, list(keys), schemas.GROUP_KEYS)
     joined = messages.join(table, "address", "left")
-    annotated = _with_group(joined, _key_by_accessor(_accessors(keys)), override)
-    return annotated.drop("key_source", "key_expr").select(*messages.columns)
+    return _with_group(joined, _accessors(keys), override).select(*messages.columns)
 
 
 def route_and_annotate(messages: DataFrame, steps: Sequence[Mapping]) -> DataFrame:
     """Routing that also sets the group of each copy by the accessor of its step."""
     table = inline_table(messages.sparkSession, list(steps), schemas.STEPS)
-    routed = route_steps(messages, table)
-    return _with_group(routed, _key_by_accessor(_accessors(steps)), True).drop("key_source", "key_expr")
+    return _with_group(route_steps(messages, table), _accessors(steps), True)
 
 
 def group_affinity(receptions: DataFrame) -> DataFrame:
