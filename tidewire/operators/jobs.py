@@ -13,14 +13,18 @@ from tidewire.functions.times import millis
 STEP_IN_TOPIC = r".*/(.*)/output"
 SOURCE = "src"
 
-STEP_OBJECT = "struct<duration:string,worker_id:string,completion_timestamp:string>"
+DONE = "completion_timestamp"
+STEP_FIELDS = ("duration", "worker_id", DONE)
 
 
-def parse_outputs(outputs: DataFrame, steps: Sequence[str]) -> DataFrame:
-    """``topic, body, ts`` to ``message_id, step, ts`` and one object per step, from one parse."""
-    schema = f"struct<message_id:bigint,{SOURCE}:struct<completion_timestamp:string>," + ",".join(
-        f"{step}:{STEP_OBJECT}" for step in steps
-    ) + ">"
+def parse_outputs(outputs: DataFrame, steps: Sequence[str], fields: Sequence[str] = STEP_FIELDS) -> DataFrame:
+    """``topic, body, ts`` to ``message_id, step, ts`` and one object per step, from one parse.
+
+    State and latency need the field ``DONE`` only; reading the others costs as much again.
+    """
+    step_object = ",".join(f"{field}:string" for field in fields)
+    objects = ",".join(f"{step}:struct<{step_object}>" for step in steps)
+    schema = f"struct<message_id:bigint,{SOURCE}:struct<{DONE}:string>,{objects}>"
     step = F.regexp_extract("topic", STEP_IN_TOPIC, 1)
     return outputs.select(
         F.from_json("body", schema).alias("p"), F.when(step != "", step).alias("step"), "ts"
@@ -44,7 +48,7 @@ def merge_step_outputs(parsed: DataFrame, steps: Sequence[str]) -> DataFrame:
 
 
 def completed_at(obj: str) -> Column:
-    return F.try_to_timestamp(F.col(f"{obj}.completion_timestamp"))
+    return F.try_to_timestamp(F.col(f"{obj}.{DONE}"))
 
 
 def completions(parsed: DataFrame, steps: Sequence[str]) -> DataFrame:

@@ -435,6 +435,10 @@ def _metric_payloads(spark, sf_dir):
 # ---------------------------------------------------------------- jobs
 
 
+def _completion_times(spark, sf_dir) -> DataFrame:
+    return jobs.parse_outputs(inputs.job_outputs(spark, sf_dir), JOB_STEPS, [jobs.DONE])
+
+
 @query(
     "job_state",
     with_(JOBS, select="""
@@ -443,7 +447,7 @@ SELECT *, CASE WHEN "stepA" IS NULL THEN 'PENDING'
 FROM jobs"""),
 )
 def _job_state(spark, sf_dir):
-    return jobs.job_state(jobs.parse_outputs(inputs.job_outputs(spark, sf_dir), JOB_STEPS), JOB_STEPS)
+    return jobs.job_state(_completion_times(spark, sf_dir), JOB_STEPS)
 
 
 @query(
@@ -477,7 +481,7 @@ SELECT message_id, step, CAST(trunc((done - input) / 1000e0) AS BIGINT) AS step_
 FROM long WHERE done IS NOT NULL"""),
 )
 def _step_latency(spark, sf_dir):
-    done = jobs.completions(jobs.parse_outputs(inputs.job_outputs(spark, sf_dir), JOB_STEPS), JOB_STEPS)
+    done = jobs.completions(_completion_times(spark, sf_dir), JOB_STEPS)
     return jobs.step_latency(done, JOB_INPUTS)
 
 

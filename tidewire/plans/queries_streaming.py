@@ -112,7 +112,7 @@ def _queue_metrics_stream(spark, sf_dir):
 @query("job_state_stream", ORACLES["job_state"])
 def _job_state_stream(spark, sf_dir):
     path = scratch_path(spark, "jobs")
-    parsed = jobs.parse_outputs(inputs.job_outputs_of(stream_table(spark, sf_dir, "orders")), JOB_STEPS)
+    parsed = jobs.parse_outputs(inputs.job_outputs_of(stream_table(spark, sf_dir, "orders")), JOB_STEPS, [jobs.DONE])
     runs.store_job_state(parsed, JOB_STEPS, f"{path}/jobs", f"{path}/checkpoint").awaitTermination()
     return runs.jobs_from_store(spark, f"{path}/jobs")
 
