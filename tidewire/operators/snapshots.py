@@ -99,24 +99,19 @@ def _block(tick: Column) -> Column:
     return floor_div(tick, BLOCK)
 
 
-def _ticks(df: DataFrame, first: Column, last: Column, spread: bool = False) -> DataFrame:
-    """One row per tick from ``first`` to ``last``, by way of blocks so that no array grows long.
-
-    With ``spread`` the blocks are dealt out first: few queues then still use many tasks.
-    """
+def _blocks(df: DataFrame, first: Column, last: Column) -> DataFrame:
+    """One row per block with ticks from ``first`` to ``last``; ``start`` and ``end`` lie inside it."""
     spans = df.withColumns({"__first": first, "__last": last}).filter(F.col("__first") <= F.col("__last"))
     blocks = spans.withColumn(
         "block", F.explode(F.sequence(_block(F.col("__first")), _block(F.col("__last"))))
     )
-    if spread:
-        blocks = blocks.repartition("queue", "block")
     start = F.greatest(F.col("__first"), F.col("block") * BLOCK)
     end = F.least(F.col("__last"), F.col("block") * BLOCK + (BLOCK - 1))
-    return blocks.withColumn("tick", F.explode(F.sequence(start, end))).drop("__first", "__last")
+    return blocks.withColumns({"start": start, "end": end}).drop("__first", "__last")
 
 
 def _changes(states: DataFrame) -> DataFrame:
-    """What a state adds to the counters at its first tick and takes away after its last."""
+    """Per tick what the states add to the counters, at their first tick, and take away after their last."""
     moves = F.array(
         F.struct(F.col("seen").alias("tick"), F.col("n").alias("pending"), F.col("n").alias("added")),
         F.struct(
@@ -127,11 +122,16 @@ def _changes(states: DataFrame) -> DataFrame:
         states.select("queue", F.explode(moves).alias("m"))
         .select("queue", "m.*")
         .filter(F.col("tick") <= NEVER)
+        .groupBy("queue", "tick")
+        .agg(F.sum("pending").alias("pending"), F.sum("added").alias("added"))
     )
 
 
 def _oldest_pending(states: DataFrame) -> DataFrame:
-    """``queue, tick, oldest`` for the ticks with pending messages."""
+    """``queue, block, tick, oldest, holds``: from ``tick`` to ``holds`` the message is the oldest one.
+
+    A span is cut at the borders of blocks, so that each block knows what it starts with.
+    """
     pending = states.filter(F.col("last") >= F.col("seen")).withColumn("block", _block(F.col("seen")))
     peaks = pending.groupBy("queue", "block").agg(F.max("last").alias("peak"))
     before = carried(peaks, ["queue"], "block", {"outlasted": F.max("peak")})
@@ -141,10 +141,11 @@ def _oldest_pending(states: DataFrame) -> DataFrame:
         pending.join(before, ["queue", "block"])
         .withColumn("outlasted", F.greatest(F.col("outlasted"), earlier))
         .filter(F.col("outlasted").isNull() | (F.col("last") > F.col("outlasted")))
+        .drop("block")
     )
-    start = F.greatest(F.col("seen"), F.col("outlasted") + 1)
-    end = F.least(F.col("last"), F.col("until"))
-    return _ticks(leaders.drop("block"), start, end).select("queue", "block", "tick", "oldest")
+    first = F.greatest(F.col("seen"), F.col("outlasted") + 1)
+    spans = _blocks(leaders, first, F.least(F.col("last"), F.col("until")))
+    return spans.select("queue", "block", F.col("start").alias("tick"), "oldest", F.col("end").alias("holds"))
 
 
 def snapshots_from_states(
@@ -168,28 +169,26 @@ def snapshots_from_states(
 
     changes = _changes(states)
     spans = states.groupBy("queue").agg(F.min("seen").alias("seen"), F.max("until").alias("until"))
-    before = _before_blocks(changes, spans)
-    grid = _ticks(spans, F.col("seen"), F.col("until"), spread=True).withColumn(
-        "mark", F.when(F.col("tick") == F.col("seen"), FIRST_TICK).otherwise(LATER_TICK)
+    blocks = _blocks(spans, F.col("seen"), F.col("until"))
+    # blocks are dealt out before they unfold, so that few queues still use many tasks
+    grid = blocks.repartition("queue", "block").withColumn(
+        "tick", F.explode(F.sequence(F.col("start"), F.col("end")))
     )
-    parts = [grid, changes, _oldest_pending(states)]
+    mark = F.when(F.col("tick") == F.col("seen"), FIRST_TICK).otherwise(LATER_TICK)
+    parts = [grid.withColumn("mark", mark), changes, _oldest_pending(states)]
     if consumers is not None:
         parts.append(consumers.withColumnRenamed(consumers.columns[-1], "consumers"))
     if groups is not None:
         parts.append(groups.withColumnRenamed(groups.columns[-1], "groups"))
     rows = functools.reduce(DataFrame.unionByName, [_aligned(part) for part in parts])
+    # each part has a tick once; one shuffle by block serves the grouping, the join and the window
     per_tick = (
-        rows.groupBy("queue", "block", "tick")
-        .agg(
-            F.max("mark").alias("mark"),
-            F.sum("pending").alias("pending"),
-            F.sum("added").alias("added"),
-            F.min("oldest").alias("oldest"),
-            F.sum("consumers").alias("consumers"),
-            F.sum("groups").alias("groups"),
-        )
+        rows.repartition("queue", "block")
+        .groupBy("queue", "block", "tick")
+        .agg(*[F.max(c).alias(c) for c in TICK_VALUES])
         .filter(F.col("mark").isNotNull())
     )
+    before = _before_blocks(changes, blocks)
     return _snapshot_columns(per_tick.join(before, ["queue", "block"]), interval_ms)
 
 
@@ -197,27 +196,24 @@ def snapshots_from_states(
 LATER_TICK, FIRST_TICK = 1, 2
 
 
+TICK_VALUES = ("mark", "pending", "added", "oldest", "holds", "consumers", "groups")
+
+
 def _aligned(part: DataFrame) -> DataFrame:
     """The columns that all rows of a tick are put together from."""
     block = F.col("block") if "block" in part.columns else _block(F.col("tick"))
     values = [
-        (F.col(c) if c in part.columns else F.lit(None)).cast("bigint").alias(c)
-        for c in ("mark", "pending", "added", "oldest", "consumers", "groups")
+        (F.col(c) if c in part.columns else F.lit(None)).cast("bigint").alias(c) for c in TICK_VALUES
     ]
     return part.select("queue", block.alias("block"), "tick", *values)
 
 
-def _before_blocks(changes: DataFrame, spans: DataFrame) -> DataFrame:
+def _before_blocks(changes: DataFrame, blocks: DataFrame) -> DataFrame:
     """What each block of a queue starts from; blocks without changes are there too."""
-    all_blocks = spans.select(
-        "queue",
-        F.explode(F.sequence(_block(F.col("seen")), _block(F.col("until")))).alias("block"),
-        F.lit(0).cast("bigint").alias("pending"),
-        F.lit(0).cast("bigint").alias("added"),
-    )
+    nothing = F.lit(0).cast("bigint")
     per_block = (
         changes.select("queue", _block(F.col("tick")).alias("block"), "pending", "added")
-        .unionByName(all_blocks)
+        .unionByName(blocks.select("queue", "block", nothing.alias("pending"), nothing.alias("added")))
         .groupBy("queue", "block")
         .agg(F.sum("pending").alias("pending"), F.sum("added").alias("added"))
     )
@@ -232,8 +228,11 @@ def _snapshot_columns(ticks: DataFrame, interval_ms: int) -> DataFrame:
         here = F.sum(F.coalesce(F.col(name), F.lit(0))).over(inside)
         return F.coalesce(F.col(f"{name}_before"), F.lit(0)) + here
 
+    def latest(name: str) -> Column:
+        return F.last(name, ignorenulls=True).over(inside)
+
     tick_ms = F.col("tick") * interval_ms
-    age = tick_ms - floor_div(F.col("oldest"), 1000)
+    age = F.when(latest("holds") >= F.col("tick"), tick_ms - floor_div(latest("oldest"), 1000))
     added = F.coalesce(F.col("added"), F.lit(0))
     rate = F.when(F.col("mark") == FIRST_TICK, 0.0).otherwise(added / (interval_ms / 1000.0))
     return ticks.select(
