@@ -5,9 +5,9 @@ import random
 
 import pytest
 
-from tidewire.operators import extract, snapshots
+from tidewire.operators import extract, routing, snapshots
 from tidewire.settings import materialize
-from tidewire.sources import sinks
+from tidewire.sources import config, sinks
 from tidewire.streaming import rates, runs
 
 from test_snapshots import INTERVAL, SCHEMA, as_dict, random_messages
@@ -128,3 +128,30 @@ def test_open_deliveries_come_out_without_acknowledgement(spark, tmp_path):
     out = runs.run_to_table(runs.correlate_lifecycle_stream(*streams), "test").filter("message_id < 9")
     got = {(r.message_id, r.publish_ts is not None, r.ack_ts is not None) for r in out.collect()}
     assert got == {(1, True, True), (2, True, False), (3, False, False)}
+
+
+def test_step_functions_run_on_streams(spark, tmp_path):
+    schema = "message_id bigint, address string, body string, properties map<string,string>, ts timestamp, group_id string"
+    rows = [(i, "iotdpp.src.output", f'{{"a":{i % 3}}}', None, START, None) for i in range(9)]
+    source = str(tmp_path / "in")
+    add_files(spark.createDataFrame(rows, schema), source, 2)
+    stream = runs.stream_files(spark, source, spark.createDataFrame([], schema).schema)
+    steps = config.parse_steps(
+        '{"one": {"inputStream": "src", "groupingKeyAccessor": {"source": "BODY_JSON", "expression": "a"}},'
+        ' "two": {"inputStream": "one"}}'
+    )
+    outputs = routing.run_steps(stream, steps, {"one": lambda df: df.filter("group_id <> '0'")})
+    got = runs.run_to_table(outputs["two"], "test").collect()
+    assert sorted(r.message_id for r in got) == [1, 2, 4, 5, 7, 8]
+    assert {r.address for r in got} == {"iotdpp.two.output"}
+
+
+def test_registry_keeps_the_first_definition_over_batches(spark, tmp_path):
+    schema = "application_id string, message_id bigint, ts timestamp"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in ([("a", 2, START), ("b", 1, START)], [("a", 9, START + datetime.timedelta(1)), ("c", 5, START)]):
+        add_files(spark.createDataFrame(part, schema), source, 1)
+    stream = runs.stream_files(spark, source, spark.createDataFrame([], schema).schema, per_trigger=1)
+    runs.store_registry(stream, out, str(tmp_path / "c")).awaitTermination()
+    got = {(r.application_id, r.message_id) for r in runs.registry_from_store(spark, out).collect()}
+    assert got == {("a", 2), ("b", 1), ("c", 5)}

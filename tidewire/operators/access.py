@@ -110,11 +110,19 @@ def access_audit(
     granting = policies.filter(F.col(permission)).select(
         F.col("match").alias("pattern"), F.col("name").alias("role")
     ).distinct()
-    matched = match_patterns(sends.select("address").distinct(), granting)
+    matched = match_patterns(sends.select("address").distinct(), granting.select("pattern").distinct())
+    # an address matches at most one pattern of each form, so this stays near the size of ``sends``
+    covered = sends.select("user", "address").join(matched, "address")
+    granted = (
+        covered.select("user", "pattern")
+        .distinct()
+        .join(granting, "pattern")
+        .join(user_roles.select("user", "role"), ["user", "role"], "left_semi")
+        .select("user", "pattern")
+        .distinct()
+    )
     permitted = (
-        sends.select("user", "address")
-        .join(user_roles.distinct(), "user")
-        .join(matched.join(granting, "pattern").select("address", "role").distinct(), ["address", "role"])
+        covered.join(granted, ["user", "pattern"], "left_semi")
         .select("user", "address")
         .distinct()
         .withColumn("allowed", F.lit(True))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire import schemas
 from tidewire.functions import filters, text
+from tidewire.functions.attributes import unwrap
 from tidewire.functions.times import millis
 from tidewire.operators import access, bridging, extract, jobs, lifecycle, lookup, routing, snapshots
 from tidewire.plans import inputs
@@ -14,6 +14,8 @@ from tidewire.plans.catalog import JOBS, LIFECYCLE, MESSAGES, SNAPSHOTS, STEPS,
 from tidewire.plans.inputs import HOUR_MS, JOB_INPUTS, JOB_STEPS, STEPS_SPEC, messages, step_messages, table
 from tidewire.settings import scratch_path
 from tidewire.sources import config, sinks
+from tidewire.sources.messages import read_messages
+from tidewire.sources.roles import read_roles
 
 # ---------------------------------------------------------------- messages and filters
 
@@ -52,6 +54,26 @@ def _addr_filter(spark, sf_dir):
     )
 
 
+@query(
+    "messages_read",
+    with_(MESSAGES, select="""
+SELECT message_id, address, body, application, 'c' || message_id AS correlation_id, ms, length(body) AS size FROM messages"""),
+)
+def _messages_read(spark, sf_dir):
+    """Messages stored as a log and read back in the message layout."""
+    path = scratch_path(spark, "messages")
+    messages(spark, sf_dir).write.parquet(path)
+    return read_messages(spark, path).select(
+        "message_id",
+        "address",
+        "body",
+        bridging.prop("application").alias("application"),
+        bridging.prop("correlation_id").alias("correlation_id"),
+        millis(F.col("ts")).alias("ms"),
+        "size",
+    )
+
+
 def _filtered(name: str, expression: str, where: str) -> None:
     sql = with_(MESSAGES, select=f" SELECT message_id, address FROM messages WHERE {where}")
 
@@ -718,6 +740,29 @@ def _eligible(spark, sf_dir) -> DataFrame:
     return access.eligible_roles(inputs.role_export(spark, sf_dir), "is_managed")
 
 
+@query(
+    "roles_read",
+    """
+SELECT 'r-' || c_custkey AS id, 'role-' || (c_custkey % 40) AS name,
+       CASE WHEN c_custkey % 11 <> 0 THEN CASE WHEN c_custkey % 7 = 0 THEN '[ ]' ELSE '[data.' || c_nationkey || '.>]' END END AS match,
+       CASE WHEN c_custkey % 11 <> 0 THEN CASE WHEN c_custkey % 2 = 0 THEN '[Yes]' ELSE '[false]' END END AS read
+FROM customer""",
+)
+def _roles_read(spark, sf_dir):
+    """Roles exported as JSON, with attributes as lists, and read back."""
+    path = scratch_path(spark, "roles")
+    as_list = F.transform_values("attributes", lambda _, v: F.array(unwrap(v)))
+    exported = inputs.role_export(spark, sf_dir).select("id", "name", as_list.alias("attributes"))
+    exported.write.json(path)
+    found = F.col("attributes")
+    return read_roles(spark, path, lines=True).select(
+        "id",
+        "name",
+        F.try_element_at(found, F.lit("match")).alias("match"),
+        F.try_element_at(found, F.lit("read")).alias("read"),
+    )
+
+
 @query("eligible_roles", with_(ELIGIBLE, select=" SELECT id, name, match FROM eligible"))
 def _eligible_roles(spark, sf_dir):
     return _eligible(spark, sf_dir).select("id", "name", "match")
