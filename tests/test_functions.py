@@ -76,6 +76,8 @@ LAST = r"{ADDRESS|.+\.([^\.]*)$|$1}"
         ("{BODY|$.user.profile.firstName}-{BODY|$['user'].profile.lastName}-" + LAST, "super.fancy.address", U, "John-Doe-address"),
         ("{BODY|$.user.profile.nonexistent}", "", U, None),
         ("{BODY|$.user.profile.addresses[5]}", "", U, None),
+        ("{BODY|$.name}", "", '\n\t {"name":"a"}\r\n', "a"),
+        ("{BODY|$.tags[*].v}", "", '{"tags":\n[{"v":7}]}', "7"),
         ("{BODY|$.name}", "", None, None),
         ("{BODY|$.name}", "", "{}", None),
         ("{BODY|$.name}", "", '{"name":"a", broken', None),

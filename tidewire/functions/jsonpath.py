@@ -125,12 +125,16 @@ def spark_path(steps) -> str:
     return "".join(out)
 
 
+def _start(raw: Column) -> Column:
+    return F.ltrim(raw, F.lit(" \t\r\n"))
+
+
 def is_object(raw: Column) -> Column:
-    return F.ltrim(raw).startswith("{")
+    return _start(raw).startswith("{")
 
 
 def _is_array(raw: Column) -> Column:
-    return F.ltrim(raw).startswith("[")
+    return _start(raw).startswith("[")
 
 
 def _members(raw: Column) -> Column:

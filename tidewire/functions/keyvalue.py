@@ -54,7 +54,7 @@ class KeyValue:
 
     def address_text(self, address: Column) -> Column:
         """``key:value`` as read from an address; colons at the end do not count."""
-        return F.regexp_replace(regex_transform(address, self.key, self.value), r":+\z", "")
+        return F.rtrim(regex_transform(address, self.key, self.value), F.lit(":"))
 
     def column(self, body: JsonBody, address_text: Column | None = None) -> Column:
         if self.kind == "address":
