@@ -84,14 +84,29 @@ def merge_states(states: DataFrame) -> DataFrame:
     )
 
 
-def distinct_per_tick(df: DataFrame, ts: str, value: str, name: str, interval_ms: int) -> DataFrame:
-    """How many different values each queue saw since the tick before."""
+def distinct_per_tick(messages: DataFrame, interval_ms: int) -> DataFrame:
+    """``queue, tick, consumers, groups``: how many different ones each queue saw since the tick before.
+
+    Both are counted in one pass: consumers at the time of delivery, groups at that of publishing.
+    """
+    def seen(kind: str, ts: str, value: str) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            first_tick(F.col(ts), interval_ms).alias("tick"),
+            F.col(value).alias("value"),
+        )
+
+    both = F.array(seen("consumer", "deliver_ts", "consumer"), seen("group", "publish_ts", "group_id"))
     return (
-        df.filter(F.col(value).isNotNull())
-        .select("queue", first_tick(F.col(ts), interval_ms).alias("tick"), value)
+        messages.select("queue", F.explode(both).alias("s"))
+        .select("queue", "s.*")
+        .filter(F.col("value").isNotNull() & F.col("tick").isNotNull())
         .distinct()
         .groupBy("queue", "tick")
-        .agg(F.count(F.lit(1)).alias(name))
+        .agg(
+            F.count_if(F.col("kind") == "consumer").alias("consumers"),
+            F.count_if(F.col("kind") == "group").alias("groups"),
+        )
     )
 
 
@@ -151,14 +166,13 @@ def _oldest_pending(states: DataFrame) -> DataFrame:
 def snapshots_from_states(
     states: DataFrame,
     interval_ms: int,
-    consumers: DataFrame | None = None,
-    groups: DataFrame | None = None,
+    distinct: DataFrame | None = None,
     until: int | None = None,
 ) -> DataFrame:
     """One row per queue and tick, from the first tick that sees the queue to the last tick of all.
 
-    ``states`` is used several times and should be a table or materialized. ``consumers`` and
-    ``groups`` come from ``distinct_per_tick``. ``until`` is the last tick, else that of the last change.
+    ``states`` is used several times and should be a table or materialized. ``distinct``
+    comes from ``distinct_per_tick``. ``until`` is the last tick, else that of the last change.
     """
     if until is None:
         last_change = F.max(F.when(F.col("last") < NEVER, F.col("last") + 1))
@@ -176,10 +190,8 @@ def snapshots_from_states(
     )
     mark = F.when(F.col("tick") == F.col("seen"), FIRST_TICK).otherwise(LATER_TICK)
     parts = [grid.withColumn("mark", mark), changes, _oldest_pending(states)]
-    if consumers is not None:
-        parts.append(consumers.withColumnRenamed(consumers.columns[-1], "consumers"))
-    if groups is not None:
-        parts.append(groups.withColumnRenamed(groups.columns[-1], "groups"))
+    if distinct is not None:
+        parts.append(distinct)
     rows = functools.reduce(DataFrame.unionByName, [_aligned(part) for part in parts])
     # each part has a tick once; one shuffle by block serves the grouping, the join and the window
     per_tick = (
@@ -259,8 +271,7 @@ def queue_snapshots(
     return snapshots_from_states(
         materialize(queue_states(kept, interval_ms), "queue-states"),
         interval_ms,
-        distinct_per_tick(kept, "deliver_ts", "consumer", "consumers", interval_ms),
-        distinct_per_tick(kept, "publish_ts", "group_id", "groups", interval_ms),
+        distinct_per_tick(kept, interval_ms),
         until,
     )
 
