@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from tidewire.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def con():
     return oracle.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.load()[0]))
 def test_query_equals_sql(spark, con, name):
     assert name in entry.oracle_sql()
     df = entry.queries()[name](spark, SF_DIR)
