@@ -16,7 +16,7 @@ import itertools
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -215,13 +215,10 @@ class Encoder:
             yield (ids.count(" ") + 1 if ids else 0), ids, decoded
 
 
-TEXT_FIELDS = [
+FIELDS = [
     T.StructField("n_tokens", T.LongType()),
     T.StructField("token_ids", T.StringType()),
     T.StructField("decoded", T.StringType()),
-]
-DIGEST_FIELDS = [
-    T.StructField("n_tokens", T.LongType()),
     T.StructField("ids_sha256", T.StringType()),
     T.StructField("decoded_sha256", T.StringType()),
 ]
@@ -231,27 +228,34 @@ def _sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def encode_decode(docs: DataFrame, vocabulary_path: str, digests: bool = False) -> DataFrame:
+def encode_decode(
+    docs: DataFrame,
+    vocabulary_path: str,
+    outputs: Sequence[str] = ("n_tokens", "token_ids", "decoded"),
+) -> DataFrame:
     """``docs`` with the tokens of its column ``text`` and the text they decode to.
 
-    Adds ``n_tokens``, ``token_ids`` (decimal ids, one space between) and ``decoded``; with
-    ``digests`` the SHA-256 of the last two instead, as ``ids_sha256`` and ``decoded_sha256``.
+    ``outputs`` names the columns to add: ``n_tokens``, ``token_ids`` (decimal ids, one space between),
+    ``decoded``, and the SHA-256 of the last two as ``ids_sha256`` and ``decoded_sha256``.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Vocabulary(vocabulary_path))
-    fields = DIGEST_FIELDS if digests else TEXT_FIELDS
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
+    fields = [f for f in FIELDS if f.name in outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             for begin, end in row_slices(texts):
-                counts, ids, decoded = [], [], []
+                rows = []
                 some = [t or "" for t in texts.slice(begin, end - begin).to_pylist()]
-                for n, i, d in encoder.encode(some):
-                    counts.append(n)
-                    ids.append(_sha256(i) if digests else i)
-                    decoded.append(_sha256(d) if digests else d)
-                yield appended(batch.slice(begin, end - begin), fields, [counts, ids, decoded])
+                for n, ids, decoded in encoder.encode(some):
+                    row = {"n_tokens": n, "token_ids": ids, "decoded": decoded}
+                    if "ids_sha256" in outputs:
+                        row["ids_sha256"] = _sha256(ids)
+                    if "decoded_sha256" in outputs:
+                        row["decoded_sha256"] = _sha256(decoded)
+                    rows.append([row[f.name] for f in fields])
+                columns = zip(*rows, strict=True)
+                yield appended(batch.slice(begin, end - begin), fields, columns)
 
     return with_columns(docs, fields, run)

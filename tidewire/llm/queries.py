@@ -11,8 +11,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(run):
+def _query(run=None, *, sql: str | None = None):
+    if run is None:
+        return lambda run: _query(run, sql=sql)
     QUERIES[run.__name__] = run
+    if sql is not None:
+        ORACLES[run.__name__] = sql
     return run
 
 
@@ -27,7 +31,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.bpe import encode_decode
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True).drop("text")
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), outputs).drop("text")
 
 
 @_query
@@ -37,3 +42,102 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@_query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+@_query(
+    sql="""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+k AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+             CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS kept FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM k"""
+)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.warc import archive_round_trip
+
+    found = archive_round_trip(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.frames import crc32_of_id
+    from tidewire.llm.language import fit_languages, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc32_of_id() % 5 == 0
+    models = fit_languages(docs.filter(~held_out))
+    found = identify(docs.select("doc_id", "text", held_out.alias("held_out")), models)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@_query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.frames import crc32_of_id
+    from tidewire.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").filter(crc32_of_id() % 3 != 1)
+    model = fit_toxicity(docs, labels.select("doc_id", "toxic"))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", (crc32_of_id() % 3 == 1).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.sharding import balanced_shards
+
+    return balanced_shards(_table(spark, sf_dir, "documents"))
+
+
+@_query(
+    sql="""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM conversations),
+c AS (SELECT conv_id, count(*) AS n_turns,
+             string_agg('<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '')
+                        || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered,
+             list({'r': role, 't': text} ORDER BY place) AS turns
+      FROM t GROUP BY conv_id),
+heads AS (SELECT DISTINCT turns[1:k] AS head
+          FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM c)),
+d AS (SELECT min(conv_id) AS conv_id, any_value(n_turns) AS n_turns, count(*) AS n_snapshots,
+             min(rendered) AS rendered, turns FROM c GROUP BY turns)
+SELECT conv_id, 0::BIGINT AS part, n_turns, n_snapshots, rendered
+FROM d WHERE turns NOT IN (SELECT head FROM heads)"""
+)
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.chat import format_chats
+
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
+@_query
+def op8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.lattice import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidewire.llm.frames import crc32_of_id
+    from tidewire.llm.lattice_lm import score_texts
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = docs.withColumn("train", crc32_of_id() % 7 != 2)
+    found = score_texts(marked, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(
+        "doc_id", (crc32_of_id() % 7 == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score",
+    )
