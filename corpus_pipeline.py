@@ -1,12 +1,78 @@
-"""A training corpus from raw documents: five stages, each written and read again by the next."""
+"""A training corpus from raw documents: five stages, each written and read again by the next.
+
+Every stage works on all rows its predecessor kept and drops whole rows: texts of no known language, toxic
+texts, all but one of each group of near copies, texts that hold benchmark passages. The last turns the rest
+into tokens. A row without an id is never dropped as a copy.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tidewire.llm.bpe import encode_decode
+from tidewire.llm.decontamination import contamination
+from tidewire.llm.frames import crc32_of_id
+from tidewire.llm.jaccard import jaccard_components
+from tidewire.llm.language import fit_languages, identify
+from tidewire.llm.toxicity import fit_toxicity, score_toxicity
 from tidewire.settings import materialize
 
-STAGES: list = []
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """The whole row beside its text, so that no operator's column can clash with one of the row."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the models know; the others are rejected."""
+    models = fit_languages(docs.filter(crc32_of_id() % 5 != 0))
+    return identify(_carried(docs), models).filter("not rejected").select("row.*")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc32_of_id() % 3 != 1)
+    model = fit_toxicity(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    return score_toxicity(_carried(docs), model).filter("predicted = 0").select("row.*")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest id; of rows with one id, one."""
+    found = jaccard_components(docs.select("doc_id", "text"))
+    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    alone = Window.partitionBy("doc_id").orderBy("doc_id")
+    rows = rows.withColumn("__row", F.row_number().over(alone)).filter("__row = 1").drop("__row")
+    return rows.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage. Decided by the text alone, so by a hash of it."""
+    marked = docs.withColumn("__mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contamination(marked.select("__mark", "text"), items, id_column="__mark")
+    bad = materialize(found.filter("contaminated").select(F.col("doc_id").alias("__mark")).distinct(), "contaminated")
+    return marked.join(bad, "__mark", "left_anti").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of each document, with digests of the ids and of the text they decode to."""
+    outputs = ("n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
+    return encode_decode(docs.select("doc_id", "text"), VOCABULARY, outputs).drop("text")
+
+
+STAGES = [
+    ("language", language),
+    ("toxicity", toxicity),
+    ("near_copies", near_copies),
+    ("decontamination", decontamination),
+    ("tokens", tokens),
+]
+# Trained models and hashing of shingles have no SQL form; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
