@@ -153,28 +153,33 @@ def item_windows(
     return Windows(words, places, np.array(lengths, np.int64), np.array(owners, object))
 
 
-def _near(sorted_positions: np.ndarray, wanted: np.ndarray, slop: int) -> np.ndarray:
-    """Which wanted positions have a listed one at most ``slop`` away."""
-    at = np.searchsorted(sorted_positions, wanted - slop)
+def _near(sorted_positions: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which of the ranges (both ends included) hold a listed position."""
+    at = np.searchsorted(sorted_positions, least)
     inside = np.minimum(at, len(sorted_positions) - 1)
-    return (at < len(sorted_positions)) & (sorted_positions[inside] <= wanted + slop)
+    return (at < len(sorted_positions)) & (sorted_positions[inside] <= most)
 
 
-def _occurrences(lists, windows: Windows, i: int, starts: np.ndarray, total: int, slop: int):
-    """Positions in the block at which window ``i`` begins, inside one document."""
+def _occurrences(lists, windows: Windows, i: int, starts: np.ndarray, ends: np.ndarray, slop: int):
+    """Positions in the block at which window ``i`` begins, inside one document.
+
+    ``starts`` and ``ends`` are those of the documents that have words.
+    """
     begin = None
     for word, place in zip(windows.words[i].tolist(), windows.places[i].tolist(), strict=True):
         positions = lists.get(word)
         if positions is None:
             return None
         if begin is None:
+            doc = np.searchsorted(starts, positions, side="right") - 1
             begin = positions - place
-            length = windows.lengths[i]
-            begin = begin[(begin >= 0) & (begin + length <= total)]
-            doc = np.searchsorted(starts, begin, side="right")
-            begin = begin[np.searchsorted(starts, begin + length - 1, side="right") == doc]
+            fits = (begin >= starts[doc]) & (begin + windows.lengths[i] <= ends[doc])
+            begin, doc = begin[fits], doc[fits]
         else:
-            begin = begin[_near(positions, begin + place, slop)]
+            wanted = begin + place
+            least, most = np.maximum(wanted - slop, starts[doc]), np.minimum(wanted + slop, ends[doc] - 1)
+            fits = _near(positions, least, most)
+            begin, doc = begin[fits], doc[fits]
         if not len(begin):
             return None
     return begin
@@ -202,12 +207,13 @@ def search(
         positions = np.frombuffer(row["positions"], np.int32).astype(np.int64)
         lists = dict(zip(words, np.split(positions, ends[:-1]), strict=True)) if words else {}
         starts = np.cumsum(counts) - counts
+        ends_of = np.cumsum(counts)
         filled = np.flatnonzero(counts)  # documents with words; their starts differ
         begins, finishes, owners = [], [], []
         for sent in shared:
             windows = sent.value
             for i in range(len(windows.words)):
-                found = _occurrences(lists, windows, i, starts[filled], int(counts.sum()), slop)
+                found = _occurrences(lists, windows, i, starts[filled], ends_of[filled], slop)
                 if found is not None:
                     begins.append(found)
                     finishes.append(found + windows.lengths[i])

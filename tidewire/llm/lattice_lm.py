@@ -4,23 +4,27 @@ The pieces of an existing vocabulary weight every way to cut a word: the probabi
 over all segmentations, of the product of their pieces, found by forward recursion in log space. The
 pieces start from the vocabulary's own scores and are re-estimated from every distinct training word
 (expected counts over all segmentations). A word of the training texts also has its own count; counts are
-discounted, and the mass taken off goes to the lattice, so that
+discounted, and the mass taken off goes to the lattice:
 
     P(word) = max(c - d, 0) / N + d * V / N * P_lattice(word).
 
-The probability of a text is the product over its words and its end, so the marginal over the
-segmentations of the whole text.
+Classes of texts (languages, say) have counts of their own in the same form, with P in the place of the
+lattice. A text of a class is drawn from an urn: a word's chance is (A * P_class(word) + times seen before
+in this text) / (A + words before), with A = ``CONCENTRATION``. The probability of a text is the sum over the
+classes, by their shares of the training texts, of the product over its words and its end. So it is the
+marginal over the segmentations of all words and over the classes; the class of a text is never an input.
 
 Everything counted grows with the corpus and stays distributed. Texts are cut into blocks; a block keeps
-the numbers of its words, and its vocabulary (each distinct word once, with its count in training texts of
+the numbers of its words, and its vocabulary (each distinct word once, with its counts in training texts of
 the block) is joined with the counts of all blocks by word and comes back by block. So what is shuffled are
 the distinct words of blocks, not the tokens, and no word, however frequent, has more rows than there are
 blocks. Only the piece weights, a number per piece of the fixed vocabulary, pass through the driver.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased; every text has one end besides. Null is
-the empty text: only the end. Repeated rows count each. Without training rows the words have their lattice
-probability and base counts are zero. An empty table gives an empty result; columns other than id, text and
-the training mark are ignored.
+the empty text: only the end. Repeated rows count each. A training row without a class counts for the
+general model only; of more than ``MAX_CLASSES`` classes the most frequent ones are told apart. Without training rows
+the words have their lattice probability, the end has probability one and all base counts are zero. An
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewire.llm.flat import flat_bytes, mixed, row_slices, word_bounds, word_hashes
 from tidewire.settings import materialize
@@ -40,6 +45,8 @@ from tidewire.settings import materialize
 BLOCK_BYTES = 16 << 20  # text of a block; a longer text is a block of its own
 ROUNDS = 2  # of re-estimation
 WORDS_AT_ONCE = 20_000
+CONCENTRATION = 3000.0  # words of the urn before the first draw
+MAX_CLASSES = 16
 PRIOR = 1000.0  # weight of the vocabulary's own scores, in words
 WORD_START = "▁"
 
@@ -121,7 +128,7 @@ def _normalised(weight: np.ndarray, ends: float, first: np.ndarray) -> tuple[np.
         return np.where(weight > 0, np.log(weight / total), _NEVER), float(np.log(ends / total[~first][0]))
 
 
-def _edges(lattice: Lattice, codes: np.ndarray, tails: list[np.ndarray]) -> list[tuple]:
+def _edges(lattice: Lattice, codes: np.ndarray) -> list[tuple]:
     """For each piece length, the log weight and the number of the piece at each place of each word.
 
     ``codes`` has a word per row, with the word start in front. A character without a piece is spelled
@@ -149,11 +156,8 @@ def _edges(lattice: Lattice, codes: np.ndarray, tails: list[np.ndarray]) -> list
                 cost = {c: float(lattice.log_p[lattice.bytes_of[list(chr(c).encode())]].sum())
                         for c in np.unique(codes[spelled]).tolist()}
                 weight[spelled] = [cost[c] for c in codes[spelled].tolist()]
-            weight[:, 0] = _NEVER if width > 1 else weight[:, 0]
-            start = lattice.numbers[0][lattice.keys[0] == _hash(_codes(WORD_START).reshape(1, 1))]
-            if width > 1 and len(start):  # the word start alone is a piece of its own
-                weight[:, 0] = lattice.log_p[start[0]]
-                number[:, 0] = start[0]
+            if (number[:, 0] < 0).any():  # without a piece for the word start alone
+                weight[:, 0] = _NEVER
         edges.append((weight, number))
     return edges
 
@@ -195,7 +199,7 @@ def word_log_probabilities(lattice: Lattice, words: list[str]) -> np.ndarray:
     """ln P_lattice of each (non-empty) word: the marginal over all its segmentations."""
     out = np.empty(len(words))
     for rows, codes in _by_length(words):
-        edges = _edges(lattice, codes, [])
+        edges = _edges(lattice, codes)
         out[rows] = _forward(edges, codes.shape[1], len(rows))[-1] + lattice.log_end
     return out
 
@@ -206,7 +210,7 @@ def expected_pieces(lattice: Lattice, words: list[str]) -> tuple[np.ndarray, flo
     ends = 0.0
     for rows, codes in _by_length(words):
         width = codes.shape[1]
-        edges = _edges(lattice, codes, [])
+        edges = _edges(lattice, codes)
         alpha, beta = _forward(edges, width, len(rows)), _backward(edges, width, len(rows))
         whole = alpha[-1]
         for n, (weight, number) in enumerate(edges, 1):
@@ -218,8 +222,9 @@ def expected_pieces(lattice: Lattice, words: list[str]) -> tuple[np.ndarray, flo
     return total, ends
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """One row per block: ids and marks, word numbers of all texts, and the block's vocabulary."""
+def _blocks(docs: DataFrame, classes: int) -> DataFrame:
+    """One row per block: ids, word numbers of all texts, and the block's vocabulary with its counts in
+    all training texts and in those of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -242,46 +247,52 @@ def _blocks(docs: DataFrame) -> DataFrame:
                     counts.append(n)
                 hashes, counts = np.concatenate(hashes), np.concatenate(counts)
                 train = np.asarray(batch.column(2).slice(begin, end - begin).fill_null(False))
+                kind = np.asarray(batch.column(3).slice(begin, end - begin).fill_null(-1))
                 distinct, inverse, n = np.unique(hashes, return_inverse=True, return_counts=True)
                 order = np.argsort(-n, kind="stable")  # frequent words get small numbers
                 place = np.empty(len(order), np.int32)
                 place[order] = np.arange(len(order), dtype=np.int32)
                 numbers = place[inverse]
-                trained = np.bincount(numbers, np.repeat(train, counts), len(order)).astype(np.int64)
+                marks = [train, *[train & (kind == k) for k in range(classes)]]
+                trained = [np.bincount(numbers, np.repeat(m, counts), len(order)) for m in marks]
                 row = [
                     pickle.dumps(batch.column(0).slice(begin, end - begin).to_pylist()),
-                    counts.tobytes(), train.tobytes(), numbers.tobytes(),
-                    b"\n".join([words[h] for h in distinct[order].tolist()]), trained.tobytes(),
+                    counts.tobytes(), numbers.tobytes(),
+                    b"\n".join([words[h] for h in distinct[order].tolist()]),
+                    np.array(trained).astype(np.int64).tobytes(),
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64()), *[pa.array([v], pa.binary()) for v in row]],
-                    names=["block", "ids", "counts", "train", "numbers", "words", "trained"],
+                    names=["block", "ids", "counts", "numbers", "words", "trained"],
                 )
                 number += 1
 
-    schema = "block long, ids binary, counts binary, train binary, numbers binary, words binary, trained binary"
+    schema = "block long, ids binary, counts binary, numbers binary, words binary, trained binary"
     return materialize(docs.mapInArrow(run, schema), "text-blocks")
 
 
-def _vocabulary(blocks: DataFrame) -> DataFrame:
-    """``word``, ``block``, ``number`` in the block and ``n``, its count in training texts there."""
+def _vocabulary(blocks: DataFrame, classes: int) -> DataFrame:
+    """``word``, ``block``, ``number`` in the block and its training counts there, ``n0`` in all texts
+    and ``n1`` and on in those of each class."""
+    counts = [f"n{k}" for k in range(classes + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words, trained in zip(*batch.columns, strict=True):
-                words, n = words.as_py(), np.frombuffer(trained.as_py(), np.int64)
-                words = words.split(b"\n") if len(n) else []
+                n = np.frombuffer(trained.as_py(), np.int64).reshape(classes + 1, -1)
+                words = words.as_py().split(b"\n") if n.shape[1] else []
                 for begin in range(0, len(words), 50_000):
                     some = words[begin : begin + 50_000]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(some, pa.binary()), pa.array(np.full(len(some), block.as_py())),
                          pa.array(np.arange(begin, begin + len(some), dtype=np.int32)),
-                         pa.array(n[begin : begin + 50_000])],
-                        names=["word", "block", "number", "n"],
+                         *[pa.array(x[begin : begin + 50_000]) for x in n]],
+                        names=["word", "block", "number", *counts],
                     )
 
     rows = blocks.select("block", "words", "trained")
-    return rows.mapInArrow(run, "word binary, block long, number int, n long")
+    schema = "word binary, block long, number int, " + ", ".join(f"{c} long" for c in counts)
+    return rows.mapInArrow(run, schema)
 
 
 def _decoded(column: pa.Array) -> list[str]:
@@ -308,7 +319,7 @@ def _reestimated(words: DataFrame, lattice: Lattice, rounds: int) -> Lattice:
                 [pa.array(np.append(used, -1)), pa.array(np.append(total[used], ends))], names=["piece", "n"]
             )
 
-        found = words.filter("c > 0").select("word").mapInArrow(run, "piece long, n double")
+        found = words.filter("c0 > 0").select("word").mapInArrow(run, "piece long, n double")
         sums = {r["piece"]: r["n"] for r in found.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
         ends = sums.pop(-1, 0.0) + PRIOR * prior_ends
         weight = PRIOR * own
@@ -321,9 +332,46 @@ def _reestimated(words: DataFrame, lattice: Lattice, rounds: int) -> Lattice:
     return lattice
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function for x >= 1: eight steps up, then Stirling's series."""
+    product = np.ones_like(x)
+    for k in range(8):
+        product = product * (x + k)
+    y = x + 8.0
+    inverse = 1.0 / (y * y)
+    series = (1 / 12 - inverse * (1 / 360 - inverse * (1 / 1260 - inverse / 1680))) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(product)
+
+
+def urn_log_probabilities(
+    doc: np.ndarray, log_p: np.ndarray, times: np.ndarray, texts: int
+) -> np.ndarray:
+    """ln of the chance to draw each text's words in order, from pairs of text and distinct word.
+
+    ``log_p`` is the word's ln probability, ``times`` how often the text has it.
+    """
+    # the first draw of a word, then the others, which find it in the urn
+    value = np.log(CONCENTRATION) + log_p
+    again = np.flatnonzero(times > 1)
+    prior = CONCENTRATION * np.exp(log_p[again])
+    value[again] += _log_gamma(prior + times[again]) - _log_gamma(prior + 1.0)
+    drawn = np.bincount(doc, times, texts)
+    start = np.full(texts, CONCENTRATION)
+    return np.bincount(doc, value, texts) - (_log_gamma(start + drawn) - _log_gamma(start))
+
+
+def _shares(docs: DataFrame, max_classes: int) -> tuple[int, dict[str, int]]:
+    """The number of training texts, and of those of each class that is told apart."""
+    sizes = docs.filter("train").groupBy("class").count()
+    texts = sizes.agg(F.sum("count")).first()[0] or 0
+    top = sizes.filter("class is not null").orderBy(F.desc("count"), "class").limit(max_classes)
+    return texts, {r["class"]: r["count"] for r in top.collect()}
+
+
 def score_texts(
     docs: DataFrame, vocabulary_path: str, *, id_column: str = "doc_id", text_column: str = "text",
-    train_column: str = "train", rounds: int = ROUNDS,
+    train_column: str = "train", class_column: str | None = None, rounds: int = ROUNDS,
+    max_classes: int = MAX_CLASSES,
 ) -> DataFrame:
     """Per row the id, its tokens and the log10 probability of its text.
 
@@ -332,74 +380,96 @@ def score_texts(
     ``base_score`` is the score of a plain word model with one added to each count, ``score`` that of the
     lattice model.
     """
+    kind = F.lit(None) if class_column is None else F.col(class_column)
     chosen = docs.select(
-        F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(train_column).alias("train")
-    )
-    id_type = chosen.schema["id"].dataType.simpleString()
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_arrow = to_arrow_type(chosen.schema["id"].dataType)
-    blocks = _blocks(chosen)
-    vocabulary = _vocabulary(blocks)
-    words = materialize(vocabulary.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    known = words.filter("c > 0").agg(
-        F.count("*"), F.sum("c"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))
-    )
-    distinct, tokens, ones, twos = known.first()
-    texts = chosen.filter("train").count()
-    total = (tokens or 0) + texts  # N, ends included
-    size = distinct + (1 if texts else 0)  # V
+        F.col(id_column).alias("id"), F.col(text_column).alias("text"),
+        F.coalesce(F.col(train_column), F.lit(False)).alias("train"), kind.cast("string").alias("class"),
+    )
+    id_type = chosen.schema["id"].dataType
+    texts, classes = _shares(chosen, max_classes)
+    number = F.lit(-1)
+    for k, name in enumerate(classes):
+        number = F.when(F.col("class") == name, k).otherwise(number)
+    # ends of texts by model: the general one and the classes
+    ends = [texts, *classes.values()]
+    blocks = _blocks(chosen.withColumn("class", number), len(classes))
+    vocabulary = _vocabulary(blocks, len(classes))
+    models = range(len(ends))
+    sums = [F.sum(f"n{k}").alias(f"c{k}") for k in models]
+    words = materialize(vocabulary.groupBy("word").agg(*sums), "words")
+    facts = words.agg(
+        *[F.count(F.when(F.col(f"c{k}") > 0, 1)).alias(f"v{k}") for k in models],
+        *[F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"t{k}") for k in models],
+        F.count(F.when(F.col("c0") == 1, 1)).alias("ones"), F.count(F.when(F.col("c0") == 2, 1)).alias("twos"),
+    ).first()
+    tokens = [facts[f"t{k}"] + ends[k] for k in models]  # N, ends included
+    distinct = facts["v0"] + (1 if texts else 0)  # V
+    ones, twos = facts["ones"], facts["twos"]
     discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-    taken = discount * distinct / total if total else 1.0
+    taken = [discount * facts[f"v{k}"] / tokens[k] if facts[f"v{k}"] else 1.0 for k in models]
     lattice = _reestimated(words, lattice_of(*piece_scores(vocabulary_path)), rounds)
     shared = docs.sparkSession.sparkContext.broadcast(lattice)
-    base_of = lambda c: np.log10((c + 1.0) / (total + 1.0 * (size + 1)))
+
+    def base_of(count):
+        return np.log10((count + 1.0) / (tokens[0] + 1.0 * (distinct + 1)))
+
+    def mixed_log(counts, lower, k):
+        """ln P of the model ``k`` from its counts and what it falls back to."""
+        with np.errstate(divide="ignore"):
+            own = np.log(np.maximum(counts - discount, 0.0) / max(tokens[k], 1))
+        return np.logaddexp(own, np.log(taken[k]) + lower)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = np.asarray(batch.column(1)).astype(float)
-            spelled = np.log(taken) + word_log_probabilities(shared.value, _decoded(batch.column(0)))
-            with np.errstate(divide="ignore"):
-                counted = np.log(np.maximum(c - discount, 0.0) / max(total, 1))
-            model = np.logaddexp(counted, spelled) / np.log(10.0)
+            counts = [np.asarray(c).astype(float) for c in batch.columns[1:]]
+            general = mixed_log(counts[0], word_log_probabilities(shared.value, _decoded(batch.column(0))), 0)
+            logs = [general, *[mixed_log(counts[k], general, k) for k in models if k]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(model)], names=["word", "c", "model"]
+                [batch.column(0), batch.column(1), *[pa.array(x.astype(np.float32)) for x in logs]],
+                names=["word", "c0", *[f"m{k}" for k in models]],
             )
 
-    values = words.mapInArrow(scored, "word binary, c long, model double")
-    values = materialize(values, "word-scores")
-    local = vocabulary.select("word", "block", "number").join(values, "word")
-    local = local.select("block", "number", "c", "model")
-    # an end is a token like the others, but no piece spells it
-    base_end = float(base_of(texts))
-    model_end = float(np.log10(texts / total)) if texts else 0.0
+    logs = ", ".join(f"m{k} float" for k in models)
+    values = materialize(words.mapInArrow(scored, f"word binary, c0 long, {logs}"), "word-scores")
+    local = vocabulary.select("word", "block", "number").join(values, "word").drop("word")
+    # the end is a word like the others, but no piece spells it
+    end_general = float(np.log(max(texts - discount, 1e-9) / tokens[0])) if texts else 0.0
+    end_logs = [end_general, *[float(mixed_log(np.float64(ends[k]), end_general, k)) for k in models if k]]
+    shares = np.log((np.array([texts - sum(classes.values()), *classes.values()]) + 1.0) / (texts + len(ends)))
 
     def per_text(key, left, right):
-        out = {n: [] for n in ("id", "n_tokens", "n_known", "base_score", "score")}
         order = np.argsort(np.asarray(right["number"]))
-        c = np.asarray(right["c"])[order].astype(float)
-        columns = [c > 0, base_of(c), np.asarray(right["model"])[order]]
+        counts = np.asarray(right["c0"])[order].astype(float)
+        base, known = base_of(counts), counts > 0
+        log_p = [np.asarray(right[f"m{k}"])[order].astype(float) for k in models]
+        out = {n: [] for n in ("id", "n_tokens", "n_known", "base_score", "score")}
         for row in left.to_pylist():
-            counts = np.frombuffer(row["counts"], np.int64)
-            numbers = np.frombuffer(row["numbers"], np.int32)
-            ends = np.cumsum(counts)
-            sums = []
-            for column in columns:
-                running = np.concatenate([[0.0], np.cumsum(column[numbers])]) if len(numbers) else np.zeros(1)
-                sums.append(running[ends] - running[ends - counts])
+            sizes = np.frombuffer(row["counts"], np.int64)
+            n = len(sizes)
+            text = np.repeat(np.arange(n), sizes)
+            pairs = text * max(1, len(counts)) + np.frombuffer(row["numbers"], np.int32)
+            pairs, times = np.unique(pairs, return_counts=True)
+            doc, word = np.divmod(pairs, max(1, len(counts)))
+            # the end of each text as one more pair
+            every = np.arange(n)
+            doc_and_end, times_and_end = np.append(doc, every), np.append(times, np.ones(n, np.int64))
+            scores = [
+                share + urn_log_probabilities(doc_and_end, np.append(log_p[k][word], np.full(n, end)), times_and_end, n)
+                for k, (share, end) in enumerate(zip(shares, end_logs, strict=True))
+            ]
             out["id"] += pickle.loads(row["ids"])
-            out["n_tokens"] += (counts + 1).tolist()
-            out["n_known"] += (np.rint(sums[0]).astype(np.int64) + (1 if texts else 0)).tolist()
-            out["base_score"] += (sums[1] + base_end).tolist()
-            out["score"] += (sums[2] + model_end).tolist()
-        types = [id_arrow, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            out["n_tokens"] += (sizes + 1).tolist()
+            out["n_known"] += (np.bincount(doc, times * known[word], n) + (texts > 0)).astype(np.int64).tolist()
+            out["base_score"] += (np.bincount(doc, times * base[word], n) + base_of(float(texts))).tolist()
+            out["score"] += (np.logaddexp.reduce(scores, axis=0) / np.log(10.0)).tolist()
+        types = [to_arrow_type(id_type), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
 
     texts_of = blocks.select("block", "ids", "counts", "numbers")
     result = texts_of.groupBy("block").cogroup(local.groupBy("block")).applyInArrow(
-        per_text, f"id {id_type}, n_tokens long, n_known long, base_score double, score double"
+        per_text, f"id {id_type.simpleString()}, n_tokens long, n_known long, base_score double, score double"
     )
     return result.select(
-        F.col("id").alias(id_column), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"),
-        "base_score", "score",
+        F.col("id").alias(id_column), "n_tokens", "n_known",
+        F.lit(int(tokens[0])).cast("long").alias("train_tokens"), "base_score", "score",
     )

@@ -134,9 +134,10 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.frames import crc32_of_id
     from tidewire.llm.lattice_lm import score_texts
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     marked = docs.withColumn("train", crc32_of_id() % 7 != 2)
-    found = score_texts(marked, public_tokenizers.path("piece_bpe_32k.model"))
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    found = score_texts(marked, vocabulary, class_column="lang")
     return found.select(
         "doc_id", (crc32_of_id() % 7 == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens",
         "base_score", "score",

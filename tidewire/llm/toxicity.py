@@ -19,6 +19,7 @@ replaced.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,7 +39,8 @@ from tidewire.settings import materialize
 MAX_ROWS = 6000  # sampled rows of each label
 MAX_ENTRIES = 2000  # of the lexicon
 THRESHOLD = 0.7
-STEMS = (4, 5, 6)  # lengths of word beginnings
+LEAST_ODDS = 3.0  # ln of how much more often toxic texts have an entry of the lexicon
+STEMS = (4, 5, 6, 7, 8)  # lengths of word beginnings
 CALIBRATION = 4  # every fourth row calibrates
 WINDOW = 20  # words of a stretch
 
@@ -51,13 +53,14 @@ SECOND_PERSON = frozenset(
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 
 _WORD = re.compile(r"[^\W\d_]+")
-_OBFUSCATED = re.compile(r"[^\W\d_][\w@$!*.\-]*[\d@$!*._\-][\w@$!*.\-]*[^\W\d_]")
+_INNER_SIGN = re.compile(r"(?<=[^\W\d_])[\d@$!*._\-]+(?=[^\W\d_])")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
-_SHOUTED = re.compile(r"\b[^\W\d_a-z]{3,}\b")
+_CAPITAL = re.compile("[A-ZÀ-ÖØ-Þ]")
+_SHOUTED = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 
 FEATURES = (
-    "lexicon_density", "lexicon_hits", "lexicon_weight", "heaviest_entry", "densest_stretch",
+    "lexicon_density", "lexicon_hits", "distinct_hits", "lexicon_weight", "heaviest_entry", "densest_stretch",
     "second_person", "second_person_proximity", "obfuscated_density", "obfuscated_hits", "capitals",
     "shouting", "punctuation", "repeated_letters", "words",
 )
@@ -76,17 +79,12 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     text = text or ""
     lower = text.lower()
     words = _WORD.findall(lower)
-    weights: dict[str, float] = {}
-    hits, you = [], []
-    for i, word in enumerate(words):
-        weight = weights.get(word)
-        if weight is None:
-            weight = max((lexicon.get(e, 0.0) for e in entries_of(word)), default=0.0)
-            weights[word] = weight
-        if weight:
-            hits.append((i, weight))
-        if word in SECOND_PERSON:
-            you.append(i)
+    distinct = set(words)
+    weights = {w: max(lexicon.get(e, 0.0) for e in entries_of(w)) for w in distinct}
+    weights = {w: x for w, x in weights.items() if x}
+    hits = [(i, weights[w]) for i, w in enumerate(words) if w in weights] if weights else []
+    persons = distinct & SECOND_PERSON
+    you = [i for i, w in enumerate(words) if w in persons] if persons else []
     n = max(1, len(words))
     near, dense = 0.0, 0
     if hits:
@@ -100,15 +98,17 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
             apart = np.minimum(np.abs(after - places), np.abs(places - before))
             near = float(np.exp(-apart / 5.0).max())
     hidden, hidden_hits = 0, 0
-    for token in _OBFUSCATED.findall(lower):
-        hidden += 1
-        plain = _NOT_LETTER.sub("", token.translate(LOOKALIKES))
-        hidden_hits += any(e in lexicon for e in entries_of(plain))
+    if _INNER_SIGN.search(lower):
+        for token in lower.split():
+            if _INNER_SIGN.search(token):
+                hidden += 1
+                plain = _NOT_LETTER.sub("", token.translate(LOOKALIKES))
+                hidden_hits += any(e in lexicon for e in entries_of(plain))
     chars = max(1, len(text))
-    capitals = sum(map(str.isupper, text)) if lower != text else 0
+    capitals = len(_CAPITAL.findall(text))
     total = sum(w for _, w in hits)
     return [
-        len(hits) / n, float(np.log1p(len(hits))), total / n, max((w for _, w in hits), default=0.0),
+        len(hits) / n, float(np.log1p(len(hits))), float(np.log1p(len(weights))), total / n, max((w for _, w in hits), default=0.0),
         float(dense), len(you) / n, near, hidden / n, float(hidden_hits), capitals / chars,
         len(_SHOUTED.findall(text)) / n, (text.count("!") + text.count("?")) / chars,
         len(_REPEATED.findall(lower)) / n, float(np.log1p(len(words))),
@@ -152,29 +152,40 @@ def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     return found.groupBy("label", "mark").agg(F.min("text").alias("text"))
 
 
-def _lexicon(sample: DataFrame, sizes: dict[float, int], max_entries: int) -> dict[str, float]:
-    """Entries of many toxic and hardly any other texts, with their log odds."""
-    toxic, other = sizes[1.0], sizes[0.0]
+def _lexicon(sample: DataFrame, max_entries: int) -> dict[str, float]:
+    """Entries that toxic texts have much more often than others, with the log odds per word.
+
+    An entry stands in at least 3 toxic texts and 1 in 100 of them.
+    """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[str, list[int]] = {}
+            counts: dict[str, list[int]] = {"": [0, 0, 0]}
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = set(_WORD.findall(text.as_py().lower()))
-                for entry in {e for w in words for e in entries_of(w)}:
-                    counts.setdefault(entry, [0, 0])[int(label)] += 1
+                words = Counter(_WORD.findall(text.as_py().lower()))
+                entries: Counter[str] = Counter()
+                for word, n in words.items():
+                    for entry in entries_of(word):
+                        entries[entry] += n
+                entries[""] = sum(words.values())
+                for entry, n in entries.items():
+                    row = counts.setdefault(entry, [0, 0, 0])
+                    row[int(label)] += n
+                    row[2] += int(label)
+            columns = zip(*counts.values(), strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts)), pa.array([c[0] for c in counts.values()], pa.int64()),
-                 pa.array([c[1] for c in counts.values()], pa.int64())],
-                names=["entry", "other", "toxic"],
-            )
-
-    table = sample.select("label", "text").mapInArrow(found, "entry string, other long, toxic long")
-    table = table.groupBy("entry").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1))
-    least = max(3, round(0.01 * toxic))
-    best = table.withColumn("odds", odds).filter((F.col("toxic") >= least) & (F.col("odds") >= 2.5))
-    rows = best.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "entry").limit(max_entries)
+                [pa.array(list(counts)), *[pa.array(c, pa.int64()) for c in columns]],
+                names=["entry", "other", "toxic", "texts"],
+            )
+
+    table = sample.select("label", "text").mapInArrow(found, "entry string, other long, toxic long, texts long")
+    names = ("other", "toxic", "texts")
+    table = materialize(table.groupBy("entry").agg(*[F.sum(n).alias(n) for n in names]), "toxicity-entries")
+    total = table.filter("entry = ''").first()
+    odds = F.log((F.col("toxic") + 0.5) / (total["toxic"] + 1)) - F.log((F.col("other") + 0.5) / (total["other"] + 1))
+    least = max(3, round(0.01 * total["texts"]))
+    best = table.withColumn("odds", odds).filter((F.col("texts") >= least) & (F.col("odds") >= LEAST_ODDS))
+    rows = best.orderBy(F.desc(F.col("odds") * F.sqrt("texts")), "entry").limit(max_entries)
     return {r["entry"]: r["odds"] for r in rows.collect()}
 
 
@@ -201,7 +212,7 @@ def fit_toxicity(
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return ToxicityModel(constant=1.0 if 1.0 in sizes else 0.0)
-    lexicon = _lexicon(sample, sizes, max_entries)
+    lexicon = _lexicon(sample, max_entries)
     rows = _with_features(sample.select("label", "text", "mark"), lexicon)
     rows = materialize(
         rows.select("label", (F.pmod(F.xxhash64("mark"), F.lit(CALIBRATION)) == 0).alias("held"), "__features"),
@@ -211,7 +222,7 @@ def fit_toxicity(
     fit, held = vectors.filter("not held"), vectors.filter("held")
     if fit.select("label").distinct().count() < 2:
         fit = vectors
-    trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=1, maxBins=32).fit(fit.coalesce(4))
+    trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=1, maxBins=64).fit(fit.coalesce(4))
     raw = trees.transform(held)
     raw = raw.select("label", vector_to_array("probability")[1].alias("raw"))
     if held.select("label").distinct().count() < 2:
