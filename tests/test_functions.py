@@ -52,9 +52,41 @@ def test_regex_transform(spark, pattern, template, given, expected):
     assert one(spark, text.regex_transform(F.col("t"), pattern, template), t=given) == expected
 
 
-def test_regex_transform_refuses_many_groups():
-    with pytest.raises(ValueError):
-        text.regex_transform(F.lit("x"), "(a)" * 10, "$1")
+@pytest.mark.parametrize(
+    "pattern, groups",
+    [
+        ("(a)" * 12, 12), (r"\(a\)(b)", 1), (r"\Q(a)(\E(b)", 1), ("[(](b)", 1), ("[[(]x](b)", 1), ("[](](b)", 1),
+        ("[^](](b)", 1), ("(?:a)(?<n>b)(?<=c)(?<!d)(?=e)(?i)(f)", 2), (r"\p{Alpha}\h([\p{L}&&[^x]])", 1), ("", 0),
+        (r"\Q(", 0),
+    ],
+)
+def test_groups_of_java_patterns(pattern, groups):
+    assert text.count_groups(pattern) == groups
+
+
+def test_regex_transform_takes_any_number_of_groups(spark):
+    made = text.regex_transform(F.col("t"), "(.)" * 11, "$1-$10-$9")
+    assert one(spark, made, t="abcdefghijk") == "a-a0-i"
+    assert one(spark, text.regex_transform(F.col("t"), r"(\p{Alpha})\Q.\E([a-z&&[^x]])", "$2$1"), t="Q.b") == "bQ"
+
+
+@pytest.mark.parametrize("given", ["1700000000000000000", "-9223372036854775808", "99999999999999999999", "1e12", ""])
+def test_epochs_out_of_range_are_null(spark, given):
+    assert one(spark, times.millis(times.from_epoch(F.col("t"))), t=given) is None
+
+
+@pytest.mark.parametrize("given", [0, -1, 9223372036854775, -9223372036854775])
+def test_epochs_in_range(spark, given):
+    assert one(spark, times.millis(times.from_epoch(F.col("t"))), t=str(given)) == given
+
+
+def test_root_fields_that_differ_in_case(spark):
+    body = JsonBody()
+    paths = [body.need(parse_path(p)) for p in ("$.Type", "$.type", "$.TYPE.a", "$.other")]
+    body.need_map(parse_path("$.Type"))
+    df = spark.createDataFrame([('{"Type":{"x":"1"},"type":"low","TYPE":{"a":2},"other":3}',)], "body string")
+    row = body.attach(df).select(*[body.value(p).alias(f"c{i}") for i, p in enumerate(paths)], body.text_map(paths[0]).alias("m"))
+    assert tuple(row.first()) == ('{"x":"1"}', "low", "2", "3", {"x": "1"})
 
 
 LAST = r"{ADDRESS|.+\.([^\.]*)$|$1}"

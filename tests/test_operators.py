@@ -371,6 +371,23 @@ def test_kafka_records(spark):
         "7L AS offset, timestamp'2024-01-01 00:00:00' AS timestamp, "
         "array(named_struct('key', 'application', 'value', encode('x', 'UTF-8'))) AS headers"
     )
-    row = messages.from_kafka_records(raw).first()
+    row = messages.from_kafka_records(raw, ["top.ic"]).first()
     assert (row.address, row.body, row.group_id, row.properties) == ("top.ic", '{"a":1}', "g", {"application": "x"})
-    assert row.message_id == (2 << 48) + 7 and row.size == 7
+    assert row.message_id == (2 << 39) + 7 and row.size == 7
+
+
+def test_kafka_ids_are_unique(spark):
+    places = [("a", 0, 5), ("b", 0, 5), ("a", 1, 5), ("a", 0, 6), ("b", 16383, (1 << 39) - 1)]
+    raw = spark.createDataFrame(places, "topic string, partition int, offset long")
+    ids = [r[0] for r in raw.select(messages.kafka_message_id(["a", "b"])).collect()]
+    assert len(set(ids)) == 5 and min(ids) >= 0
+    with pytest.raises(Exception, match="no message id"):
+        raw.select(messages.kafka_message_id(["a"])).collect()
+
+
+def test_points_keep_their_types(spark, tmp_path):
+    rows = [("007", "1", 1.5), ("", "m", 2.0), ("b", "", 3.0)]
+    points = spark.createDataFrame(rows, "bucket string, measurement string, value double")
+    sinks.write_points(points, str(tmp_path / "points"))
+    back = sinks.read_points(spark, str(tmp_path / "points"), points.schema)
+    assert back.dtypes == points.dtypes and sorted(map(tuple, back.collect())) == sorted(rows)

@@ -260,7 +260,11 @@ class JsonBody:
 
     def attach(self, df: DataFrame) -> DataFrame:
         """Add the parsed body as one struct column, and one column for each list of results."""
-        fields = [T.StructField(n, child.type()) for n, child in self.root.fields.items()]
+        fields = [
+            T.StructField(n, child.type())
+            for n, child in self.root.fields.items()
+            if n not in self._ambiguous()
+        ]
         schema = T.StructType([*fields, T.StructField(self.CORRUPT, T.StringType())])
         parsed = F.from_json(
             F.when(is_object(F.col(self.body)), F.col(self.body)),
@@ -271,6 +275,13 @@ class JsonBody:
         lists = {name: self._listed(path) for path, name in self.lists.items()}
         return attached.withColumns(lists) if lists else attached
 
+    def _ambiguous(self) -> set[str]:
+        """Root fields that differ only in case; they are read from the text of the body."""
+        spelled: dict[str, list[str]] = {}
+        for name in self.root.fields:
+            spelled.setdefault(name.lower(), []).append(name)
+        return {name for names in spelled.values() if len(names) > 1 for name in names}
+
     def drop(self, df: DataFrame) -> DataFrame:
         return df.drop(self.column, *self.lists.values())
 
@@ -285,7 +296,7 @@ class JsonBody:
 
     def _raw(self, steps: tuple[str | int, ...]) -> Column:
         """Text of the value at definite ``steps``."""
-        if not steps or isinstance(steps[0], int):
+        if not steps or isinstance(steps[0], int) or steps[0] in self._ambiguous():
             return F.get_json_object(F.col(self.body), spark_path(steps))
         node, value = self.root, F.col(self.column)
         for at, step in enumerate(steps):
@@ -303,7 +314,7 @@ class JsonBody:
         """The object at a definite path as a map of texts; null when there is none."""
         value = self._raw(path.steps)
         node = self._node(path.steps)
-        if node is not None and node.mapped:
+        if node is not None and node.mapped and path.steps[0] not in self._ambiguous():
             return value
         return F.when(is_object(value), F.from_json(value, TEXT_MAP))
 

@@ -31,23 +31,44 @@ def match_address(address: Column, pattern: str, mode: str = "full") -> Column:
 def regex_transform(text: Column, pattern: str, template: str) -> Column:
     """Whole match: the template with ``$1`` … ``$9`` filled in. No match: the text unchanged.
 
-    The anchored pattern matches at most once, so one replacement does both.
+    The anchored pattern matches at most once, so one replacement does both. References have one
+    digit: ``$10`` is the first group and a zero, however many groups there are.
     """
-    groups = re.compile(_python_groups(pattern)).groups
-    if groups > 9:
-        raise ValueError(f"more than 9 groups: {pattern}")
-    # only $1 … $groups refer to groups, everything else in the template is literal
-    replacement = "".join(
-        part if re.fullmatch(r"\$[1-9]", part) and int(part[1]) <= groups
-        else part.replace("\\", "\\\\").replace("$", "\\$")
-        for part in re.split(r"(\$[1-9])", template)
-    )
+    groups = count_groups(pattern)
+    replacement = ""
+    for part in re.split(r"(\$[1-9])", template):
+        if re.fullmatch(r"\$[1-9]", part) and int(part[1]) <= groups:
+            replacement += part
+            continue
+        literal = part.replace("\\", "\\\\").replace("$", "\\$")
+        # a digit after a reference must not become a part of it
+        replacement += "\\" + literal if literal[:1].isdigit() else literal
     return F.regexp_replace(text, whole(pattern), replacement)
 
 
-def _python_groups(pattern: str) -> str:
-    """Java and Python differ in a few notations that do not change the number of groups."""
-    return re.sub(r"\(\?<([A-Za-z]\w*)>", r"(?P<\1>", pattern).replace(r"\z", r"\Z").replace("++", "+").replace("*+", "*")
+def count_groups(pattern: str) -> int:
+    """The number of capturing groups of a Java pattern."""
+    groups = at = depth = 0  # depth of nested character classes
+    while at < len(pattern):
+        if pattern.startswith("\\Q", at):
+            end = pattern.find("\\E", at)
+            at = len(pattern) if end < 0 else end + 2
+            continue
+        c = pattern[at]
+        if c == "\\":
+            at += 1
+        elif c == "[":
+            depth += 1
+            # a bracket right at the start of a class belongs to it
+            at += pattern.startswith("^", at + 1)
+            at += pattern.startswith("]", at + 1)
+        elif c == "]" and depth:
+            depth -= 1
+        elif c == "(" and not depth:
+            named = re.match(r"\(\?<[A-Za-z]", pattern[at:])
+            groups += bool(named) or not pattern.startswith("(?", at)
+        at += 1
+    return groups
 
 
 @dataclass

@@ -15,9 +15,15 @@ TIME_FORMAT = re.compile(r"^BODY\|(.+)\|(.+)$")
 EPOCH = "TIMESTAMP"
 
 
+# The largest number of milliseconds whose microseconds a timestamp can hold.
+LAST_MS = (2**63 - 1) // 1000
+
+
 def from_epoch(text: Column) -> Column:
-    """Epoch milliseconds, as a number or as text; null when it is neither."""
-    return F.timestamp_millis(F.when(text.rlike(r"\A[+-]?\d+\z"), text.try_cast("bigint")))
+    """Epoch milliseconds, as a number or as text; null when it is neither, or beyond what a
+    timestamp can hold."""
+    ms = F.when(text.rlike(r"\A[+-]?\d+\z"), text.try_cast("bigint"))
+    return F.timestamp_millis(F.when(ms.between(-LAST_MS, LAST_MS), ms))
 
 
 def from_pattern(text: Column, pattern: str) -> Column:

@@ -113,14 +113,8 @@ def access_audit(
     matched = match_patterns(sends.select("address").distinct(), granting.select("pattern").distinct())
     # an address matches at most one pattern of each form, so this stays near the size of ``sends``
     covered = sends.select("user", "address").join(matched, "address")
-    granted = (
-        covered.select("user", "pattern")
-        .distinct()
-        .join(granting, "pattern")
-        .join(user_roles.select("user", "role"), ["user", "role"], "left_semi")
-        .select("user", "pattern")
-        .distinct()
-    )
+    # the roles of users first: as many rows as users have patterns, not users times roles
+    granted = user_roles.select("user", "role").join(granting, "role").select("user", "pattern").distinct()
     permitted = (
         covered.join(granted, ["user", "pattern"], "left_semi")
         .select("user", "address")

@@ -116,10 +116,8 @@ def unanswered_requests(
 def request_reply(requests: DataFrame, replies: DataFrame) -> DataFrame:
     """Each request with its replies by correlation id, or with none.
 
-    ``requests``: ``message_id, correlation_id, application_id, ts``; the same for ``replies``. The
-    answered and the unanswered requests are found apart: adaptive execution can split both sides of
-    an inner join, so neither many requests nor many replies of one id end in one task. Requests
-    without an id take no part in the joins.
+    ``requests``: ``message_id, correlation_id, application_id, ts``; the same for ``replies``. Requests
+    without an id get a join key of their own, which no reply has, so that they do not meet in one task.
     """
     asked = requests.select(
         F.col("message_id").alias("request_id"),
@@ -133,10 +131,8 @@ def request_reply(requests: DataFrame, replies: DataFrame) -> DataFrame:
         F.col("ts").alias("reply_ts"),
         F.col("application_id").alias("subject"),
     )
-    identified = asked.filter(F.col("correlation_id").isNotNull())
-    answered = identified.join(answers, "correlation_id")
-    ids = answers.select("correlation_id").distinct()
-    open_ = identified.join(ids, "correlation_id", "left_anti").unionByName(
-        asked.filter(F.col("correlation_id").isNull())
-    )
-    return answered.unionByName(open_, allowMissingColumns=True)
+    own = F.struct(F.lit(None).cast("string").alias("id"), F.col("request_id").alias("own"))
+    given = F.struct(F.col("correlation_id").alias("id"), F.lit(None).cast("bigint").alias("own"))
+    keyed = asked.withColumn("__key", F.when(F.col("correlation_id").isNull(), own).otherwise(given))
+    found = answers.withColumn("__key", given).drop("correlation_id")
+    return keyed.join(found, "__key", "left").drop("__key")

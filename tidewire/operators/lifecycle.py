@@ -47,20 +47,48 @@ def first_publish(messages: DataFrame) -> DataFrame:
     return ranked.filter(F.col("__rank") == 1).drop("__id", "__rank")
 
 
+def original_id(df: DataFrame) -> Column:
+    """The id a message had on the node that received it first."""
+    if "original_message_id" in df.columns:
+        return F.coalesce("original_message_id", "message_id")
+    return F.col("message_id")
+
+
 def _received(delivered: DataFrame, acknowledged: DataFrame) -> DataFrame:
-    acks = acknowledged.select("message_id", "queue", F.col("ts").alias("ack_ts"))
-    return delivered.select(
-        "message_id", "queue", "consumer", F.col("ts").alias("deliver_ts")
-    ).join(acks, ["message_id", "queue"], "left")
+    """Deliveries, each with the first acknowledgement between it and the next delivery.
+
+    A message that was delivered again is acknowledged for its latest delivery so far.
+    """
+    acks = acknowledged.select(
+        original_id(acknowledged).alias("message_id"), "queue", F.col("ts").alias("ack_ts")
+    )
+    received = delivered.select(
+        original_id(delivered).alias("message_id"), "queue", "consumer", F.col("ts").alias("deliver_ts")
+    )
+    in_turn = Window.partitionBy("message_id", "queue").orderBy("deliver_ts", "consumer")
+    turns = received.withColumns(
+        {"__next": F.lead("deliver_ts").over(in_turn), "__turn": F.row_number().over(in_turn)}
+    )
+    between = F.expr("ack_ts >= deliver_ts AND (__next IS NULL OR ack_ts < __next)")
+    keys = (F.col("d.message_id") == F.col("a.message_id")) & (F.col("d.queue") == F.col("a.queue"))
+    joined = turns.alias("d").join(acks.alias("a"), keys & between, "left")
+    return (
+        joined.groupBy("d.message_id", "d.queue", "__turn", "consumer", "deliver_ts")
+        .agg(F.min("ack_ts").alias("ack_ts"))
+        .drop("__turn")
+    )
 
 
 def correlate_lifecycle(published: DataFrame, delivered: DataFrame, acknowledged: DataFrame) -> DataFrame:
     """One row per delivered message and queue, with its publish fields and acknowledge time.
 
     ``published``: ``message_id, ts, queue, client_id, node, size``; ``delivered``:
-    ``message_id, ts, queue, consumer``; ``acknowledged``: ``message_id, ts, queue``. Deliveries are
-    the outer side of both joins, so adaptive execution can split a message with very many of them.
+    ``message_id, ts, queue, consumer``; ``acknowledged``: ``message_id, ts, queue``. All may have
+    ``original_message_id``: events of any node are then correlated, and reported, by the original id,
+    and a publish that carries one is a copy between nodes and no publish of its own.
     """
+    if "original_message_id" in published.columns:
+        published = published.filter("original_message_id IS NULL OR original_message_id = message_id")
     sent = published.select(
         "message_id",
         F.col("ts").alias("publish_ts"),

@@ -151,6 +151,48 @@ def acknowledged_of(events: DataFrame) -> DataFrame:
     return _received(events.filter(F.col("event_id") % 10 != 0), _deliver_ms() + _ack_ms()).drop("consumer")
 
 
+COPY = 1_000_000_000  # added to the ids of copies on the second node
+
+
+def two_node_lifecycle_of(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Publish, deliver and acknowledge events on two nodes.
+
+    A third of the messages goes on to a second node, which publishes a copy under an id of its own and
+    delivers and acknowledges that. Every seventh message is delivered again after 10 seconds, and then
+    acknowledged 2 seconds later.
+    """
+    from_first = F.lit(None).cast("bigint").alias("original_message_id")
+
+    def on_nodes(df: DataFrame, ms: int) -> tuple[DataFrame, DataFrame]:
+        away = df.filter(F.col("message_id") % 3 == 0).withColumns(
+            {
+                "original_message_id": F.col("message_id"),
+                "message_id": F.col("message_id") + COPY,
+                "ts": after(F.col("ts"), F.lit(ms)),
+            }
+        )
+        return df.select("*", from_first), away
+
+    home, away = on_nodes(published_of(events), 5)
+    published = home.unionByName(away.withColumn("node", F.lit("node-b")))
+
+    def moved(df: DataFrame) -> DataFrame:
+        """What the second node handles instead of the first."""
+        home, away = on_nodes(df, 0)
+        return home.filter(F.col("message_id") % 3 != 0).unionByName(away)
+
+    delivered, acknowledged = delivered_of(events), acknowledged_of(events)
+    again = delivered.filter(F.col("message_id") % 7 == 0).withColumns(
+        {"ts": after(F.col("ts"), F.lit(10_000)), "consumer": F.lit("w-again")}
+    )
+    late = again.withColumn("ts", after(F.col("ts"), F.lit(2_000))).drop("consumer")
+    return (
+        published,
+        moved(delivered.unionByName(again)),
+        moved(acknowledged.unionByName(late)),
+    )
+
+
 def queue_messages_of(events: DataFrame) -> DataFrame:
     """One row per message with its times on the queue: what the snapshots start from."""
     e = with_event_time(events)

@@ -187,13 +187,18 @@ def _per_bucket(points: DataFrame) -> DataFrame:
     "points_written",
     with_(MESSAGES, POINTS, select="""
 SELECT bucket, measurement, count(*) AS points, CAST(sum(k) AS BIGINT) AS k_sum, min(ms) AS first_ms, max(ms) AS last_ms
-FROM points WHERE rule = 0 GROUP BY 1, 2"""),
+FROM (SELECT * REPLACE (CASE WHEN rule = 1 AND k % 10 = 7 THEN '007' WHEN rule = 1 AND k % 10 = 8 THEN '' ELSE bucket END AS bucket) FROM points)
+GROUP BY 1, 2"""),
 )
 def _points_written(spark, sf_dir):
-    """Points of the first rule written to the point store and read back."""
+    """All points written to the point store and read back; some buckets look like numbers or are empty."""
     path = scratch_path(spark, "points")
-    sinks.write_points(extract.extract_points(messages(spark, sf_dir), RULES[:1]), path)
-    return _per_bucket(spark.read.parquet(path))
+    points = extract.extract_points(messages(spark, sf_dir), RULES)
+    last = F.when(F.col("rule") == 1, F.try_element_at("fields_num", F.lit("k")) % 10)
+    bucket = F.when(last == 7, "007").when(last == 8, "").otherwise(F.col("bucket"))
+    points = points.withColumn("bucket", bucket)
+    sinks.write_points(points, path)
+    return _per_bucket(sinks.read_points(spark, path, points.schema))
 
 
 @query(
@@ -403,6 +408,31 @@ def _lifecycle_joined(spark, sf_dir):
     return lifecycle_rows(lifecycle.correlate_lifecycle(*_lifecycle_inputs(spark, sf_dir)))
 
 
+@query(
+    "lifecycle_two_nodes",
+    with_(LIFECYCLE, select="""
+, d AS (SELECT event_id, queue, 'w-' || (k % 4) AS consumer, deliver_us FROM received
+        UNION ALL SELECT event_id, queue, 'w-again', deliver_us + 10000000 FROM received WHERE event_id % 7 = 0),
+a AS (SELECT event_id, queue, ack_us FROM received WHERE ack_us IS NOT NULL
+      UNION ALL SELECT event_id, queue, deliver_us + 12000000 FROM received WHERE event_id % 7 = 0),
+-- the latest delivery not after an acknowledgement gets it
+latest AS (SELECT a.event_id, a.queue, a.ack_us, max(d.deliver_us) AS deliver_us
+           FROM a JOIN d ON d.event_id = a.event_id AND d.queue = a.queue AND d.deliver_us <= a.ack_us GROUP BY ALL),
+acked AS (SELECT event_id, queue, deliver_us, min(ack_us) AS ack_us FROM latest GROUP BY ALL),
+p AS (SELECT DISTINCT event_id, event_type, user_id, size, publish_us FROM received)
+SELECT d.event_id AS message_id, d.queue, d.consumer, 'data.' || event_type AS publish_queue,
+       'client-' || user_id AS publish_client_id, size AS message_size,
+       publish_us // 1000 AS publish_ms, d.deliver_us // 1000 AS deliver_ms, acked.ack_us // 1000 AS ack_ms
+FROM d JOIN p ON p.event_id = d.event_id
+LEFT JOIN acked ON acked.event_id = d.event_id AND acked.queue = d.queue AND acked.deliver_us = d.deliver_us"""),
+)
+def _lifecycle_two_nodes(spark, sf_dir):
+    """Redelivered messages and messages handled by a second node under another id."""
+    return lifecycle_rows(
+        lifecycle.correlate_lifecycle(*inputs.two_node_lifecycle_of(table(spark, sf_dir, "events")))
+    )
+
+
 METRICS = """
 metrics AS (
   SELECT DISTINCT event_id AS message_id, 'data_' || event_type || '_MessagePublished_Size_SENSOR' AS name, size AS value, publish_us // 1000 AS timestamp FROM received
@@ -625,10 +655,14 @@ def _registered_requests(spark, sf_dir):
     "unanswered_requests",
     with_(DEFINITIONS, REGISTRY, REQUESTS, select="""
 SELECT message_id, application_id, 'app_' || application_id || '_bucket' AS bucket FROM requests
-WHERE application_id NOT IN (SELECT application_id FROM registry WHERE message_id % 2 = 0)"""),
+WHERE application_id NOT IN (SELECT application_id FROM registry
+                             WHERE application_id IN (SELECT 'app-' || user_id FROM events WHERE event_type = 'error'))"""),
 )
 def _unanswered_requests(spark, sf_dir):
-    bridged = bridging.app_registry(_definitions(spark, sf_dir)).filter(F.col("message_id") % 2 == 0)
+    """Registered applications whose bridge has reported (here: raised an error event) are bridged."""
+    reported = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+    reported = reported.select(F.concat(F.lit("app-"), F.col("user_id")).alias("application_id"))
+    bridged = bridging.app_registry(_definitions(spark, sf_dir)).join(reported, "application_id", "left_semi")
     return bridging.unanswered_requests(_requests(spark, sf_dir), bridged).select(
         "message_id", "application_id", "bucket"
     )
@@ -693,7 +727,7 @@ policies AS (
          CASE n_nationkey % 4 WHEN 0 THEN 'data.users.*.click' WHEN 1 THEN 'data.users.' || n_nationkey || '.>'
                               WHEN 2 THEN '>.view' ELSE 'data.*.' || n_nationkey || '.error' END AS match
   FROM nation),
-user_roles AS (SELECT DISTINCT 'user-' || (c_custkey % 200) AS "user", 'role-' || c_nationkey AS role FROM customer WHERE c_custkey % 3 = 0),
+user_roles AS (SELECT DISTINCT 'user-' || (c_custkey % 200) AS "user", 'role-' || c_nationkey AS role FROM customer),
 granting AS (SELECT name, '^' || replace(replace(replace(match, '.', '\\.'), '*', '[^.]+'), '\\.>', '(\\..*)?') || '$' AS r FROM policies WHERE write)
 """.replace("\\\\", "\\")
 
@@ -721,7 +755,7 @@ def _access_audit(spark, sf_dir):
     policies = table(spark, sf_dir, "nation").select(
         F.concat(F.lit("role-"), n).alias("name"), match.alias("match"), (n % 3 != 0).alias("write")
     )
-    user_roles = table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 3 == 0).select(
+    user_roles = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("user-"), F.col("c_custkey") % 200).alias("user"),
         F.concat(F.lit("role-"), F.col("c_nationkey")).alias("role"),
     )
@@ -793,29 +827,24 @@ def _roles_by_match(spark, sf_dir):
 @query(
     "policy_reconcile",
     with_(ELIGIBLE, select="""
-, incoming AS (SELECT match, name, bool_or(write) AS write FROM eligible WHERE k % 5 <> 0 GROUP BY 1, 2),
-current AS (SELECT DISTINCT 'data.' || c_nationkey || '.>' AS match, 'role-' || (c_custkey % 45) AS name FROM customer
-            WHERE c_custkey % 13 = 0 AND c_nationkey % 2 = 0
-            UNION SELECT 'old.' || c_nationkey, 'role-1' FROM customer WHERE c_custkey % 13 = 0 AND c_nationkey % 2 = 0),
+, incoming AS (SELECT match, name, bool_or(write) AS write FROM eligible GROUP BY 1, 2),
+current AS (SELECT DISTINCT CASE WHEN c_nationkey % 2 = 0 THEN 'data.' || c_nationkey || '.>' ELSE 'old.' || c_nationkey END AS match,
+                   'role-' || (c_custkey % 45) AS name FROM customer),
 kept AS (SELECT c.match, c.name, i.write FROM current c JOIN incoming i ON i.match = c.match AND i.name = c.name)
 SELECT * FROM kept
 UNION ALL SELECT DISTINCT match, NULL, NULL::BOOLEAN FROM current WHERE match NOT IN (SELECT match FROM kept)
 UNION ALL SELECT match, name, write FROM incoming WHERE match NOT IN (SELECT match FROM current)"""),
 )
 def _policy_reconcile(spark, sf_dir):
-    k = F.regexp_extract("id", r"(\d+)", 1).cast("bigint")
-    incoming = (
-        access.role_flags(_eligible(spark, sf_dir))
-        .filter(k % 5 != 0)
-        .groupBy("match", "name")
-        .agg(F.bool_or("write").alias("write"))
-    )
-    held = table(spark, sf_dir, "customer").filter((F.col("c_custkey") % 13 == 0) & (F.col("c_nationkey") % 2 == 0))
-    current = held.select(
-        F.concat(F.lit("data."), F.col("c_nationkey"), F.lit(".>")).alias("match"),
+    """The matches held are those of even nations; those of odd ones are only incoming, or only old."""
+    flags = access.role_flags(_eligible(spark, sf_dir))
+    incoming = flags.groupBy("match", "name").agg(F.bool_or("write").alias("write"))
+    nation = F.col("c_nationkey")
+    current = table(spark, sf_dir, "customer").select(
+        F.when(nation % 2 == 0, F.concat(F.lit("data."), nation, F.lit(".>")))
+        .otherwise(F.concat(F.lit("old."), nation))
+        .alias("match"),
         F.concat(F.lit("role-"), F.col("c_custkey") % 45).alias("name"),
-    ).unionByName(
-        held.select(F.concat(F.lit("old."), F.col("c_nationkey")).alias("match"), F.lit("role-1").alias("name"))
     )
     return access.reconcile(current, incoming, "match", "name")
 
@@ -883,7 +912,7 @@ def _queue_snapshot(spark, sf_dir):
     "add_rate",
     with_(MESSAGES, select="""
 , days AS (SELECT event_type AS queue, us // 86400000000 AS day, max(us) // 1000 AS time_ms, count(*) AS n FROM messages
-           WHERE event_id % 100 > 3 GROUP BY 1, 2),
+           GROUP BY 1, 2),
 totals AS (SELECT queue, time_ms, CAST(sum(n) OVER (PARTITION BY queue ORDER BY day) AS BIGINT) AS messages_added FROM days)
 SELECT queue, time_ms, messages_added,
        coalesce((messages_added - lag(messages_added) OVER w) / ((time_ms - lag(time_ms) OVER w) / 1000e0), 0e0) AS messages_added_frequency
@@ -893,8 +922,7 @@ def _add_rate(spark, sf_dir):
     """Snapshots at irregular times: the last message of every day."""
     from tidewire.plans.running import running_total
 
-    sent = messages(spark, sf_dir).filter(F.col("message_id") % 100 > 3)
-    days = sent.groupBy(F.substring_index("address", ".", -1).alias("queue"), F.date_trunc("day", "ts").alias("day")).agg(
+    days = messages(spark, sf_dir).groupBy(F.substring_index("address", ".", -1).alias("queue"), F.date_trunc("day", "ts").alias("day")).agg(
         F.timestamp_millis(millis(F.max("ts"))).alias("time"), F.count(F.lit(1)).alias("n")
     )
     totals = running_total(days, ["queue"], "day", F.date_trunc("month", "day"), "n", "messages_added")

@@ -18,12 +18,18 @@ from tidewire.plans.inputs import messages
     with_(MESSAGES, select=r"""
 SELECT message_id,
        CASE WHEN regexp_full_match(address, 'data\.users\.(\d+)\.(click|view)')
-            THEN regexp_replace(address, '^data\.users\.(\d+)\.(click|view)$', '\2:\1-$') ELSE address END AS text
+            THEN regexp_replace(address, '^data\.users\.(\d+)\.(click|view)$', '\2:\1-$') ELSE address END AS text,
+       CASE WHEN regexp_full_match(address, 'data\.users\.\d\d+\.[a-z]{5,}')
+            THEN regexp_replace(address, '^data\.users\.(\d)(\d)(\d*)\.([a-z])([a-z])([a-z])([a-z])([a-z])([a-z]*)$', '\9/\20\1') || '$'
+            ELSE address END AS many
 FROM messages"""),
 )
 def _regex_transform(spark, sf_dir):
     made = text.regex_transform(F.col("address"), r"data\.users\.(\d+)\.(click|view)", "$2:$1-$")
-    return messages(spark, sf_dir).select("message_id", made.alias("text"))
+    # notations that only Java has, and more groups than references can name
+    pattern = r"\Qdata.users.\E(\d)(\d)(\d*)\.(\p{Lower})([a-z&&[^A-Z]])(\p{Alpha})([a-z])([a-z])([a-z]*)()()()"
+    many = text.regex_transform(F.col("address"), pattern, "$9/$20$1$")
+    return messages(spark, sf_dir).select("message_id", made.alias("text"), many.alias("many"))
 
 
 @query(
@@ -104,7 +110,9 @@ def _time_query(expression: str):
         body.need(rule.path)
         quote = F.when(F.col("message_id") % 2 == 0, '"').otherwise("")
         stamped = F.concat(
-            F.lit('{"date":'), quote, F.unix_millis("ts"), quote,
+            F.lit('{"date":'), quote, F.unix_millis("ts"),
+            # nanoseconds, which are no time in milliseconds
+            F.when(F.col("message_id") % 10 == 3, "000000").otherwise(""), quote,
             F.lit(',"text":"'),
             F.when(F.col("message_id") % 7 != 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss 'UTC'")).otherwise("soon"),
             F.lit('"}'),
@@ -115,7 +123,10 @@ def _time_query(expression: str):
     return run
 
 
-query("time_epoch", with_(MESSAGES, select=" SELECT message_id, ms AS time_ms FROM messages"))(
+query(
+    "time_epoch",
+    with_(MESSAGES, select=" SELECT message_id, CASE WHEN message_id % 10 <> 3 THEN ms END AS time_ms FROM messages"),
+)(
     _time_query("BODY|$.date|TIMESTAMP")
 )
 query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +45,23 @@ def read_kafka(spark: SparkSession, servers: str, topics: str, streaming: bool =
         .options(**options)
         .load()
     )
-    return from_kafka_records(raw)
+    return from_kafka_records(raw, [topic.strip() for topic in topics.split(",")])
+
+
+def kafka_message_id(topics: Sequence[str]) -> Column:
+    """One number per record: 10 bits for the topic's place in ``topics``, 14 for the partition and 39
+    for the offset. A record that does not fit, or of another topic, is an error."""
+    if len(topics) > 1 << 10:
+        raise ValueError(f"more than {1 << 10} topics")
+    topic = F.array_position(F.array(*[F.lit(t) for t in topics]), F.col("topic")).cast("bigint") - 1
+    partition, offset = F.col("partition").cast("bigint"), F.col("offset").cast("bigint")
+    fits = (topic >= 0) & (partition < 1 << 14) & (offset < 1 << 39)
+    number = F.shiftleft(topic, 53) + F.shiftleft(partition, 39) + offset
+    return F.when(fits, number).otherwise(F.raise_error(F.lit("no message id for this Kafka record")))
 
 
-def from_kafka_records(raw: DataFrame) -> DataFrame:
-    """Kafka columns to the message layout; the id packs partition and offset."""
+def from_kafka_records(raw: DataFrame, topics: Sequence[str]) -> DataFrame:
+    """Kafka columns to the message layout; ``topics`` are those that were read, in a fixed order."""
     headers = F.map_from_entries(
         F.transform(
             F.coalesce("headers", F.array().cast("array<struct<key:string,value:binary>>")),
@@ -55,7 +69,7 @@ def from_kafka_records(raw: DataFrame) -> DataFrame:
         )
     )
     return raw.select(
-        (F.shiftleft(F.col("partition").cast("bigint"), 48) + F.col("offset")).alias("message_id"),
+        kafka_message_id(topics).cast("bigint").alias("message_id"),
         F.col("topic").alias("address"),
         F.decode("value", "UTF-8").alias("body"),
         headers.alias("properties"),

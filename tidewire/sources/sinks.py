@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 
 def write_points(points: DataFrame, base: str, mode: str = "append") -> None:
@@ -21,6 +22,17 @@ def write_points(points: DataFrame, base: str, mode: str = "append") -> None:
     )
 
 
+def read_points(spark: SparkSession, base: str, points: StructType) -> DataFrame:
+    """Points as they were written: ``points`` is the schema of what ``write_points`` got.
+
+    Bucket and measurement stay text (``007`` is not 7). Folders cannot have an empty name, so an empty
+    bucket or measurement comes back from the default folder; null ones are never points.
+    """
+    names = ("bucket", "measurement")
+    found = spark.read.schema(points).parquet(base)
+    return found.withColumns({n: F.coalesce(n, F.lit("")) for n in names}).select(*points.names)
+
+
 def stream_points(
     points: DataFrame, base: str, checkpoint: str, interval: str | None = "1 second"
 ) -> StreamingQuery:
