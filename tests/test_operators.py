@@ -141,6 +141,54 @@ def test_pipeline_of_sixty_messages(spark):
     assert {r.group_id for r in outputs["stepB"].collect()} == {str(i) for i in range(1, 8)}
 
 
+def test_steps_need_no_join_and_read_the_source_once(spark, capsys):
+    rows = [
+        {"step": "a", "input_stream": "src", "key_source": "BODY_JSON", "key_expr": "$.k"},
+        {"step": "b", "input_stream": "a", "key_source": None, "key_expr": None},
+        {"step": "c", "input_stream": "a", "key_source": "PROPERTY", "key_expr": "p"},
+    ]
+    df = log(spark, [(i, "iotdpp.src.output", f'{{"k":{i % 3}}}', {"p": "x"}, "u", None) for i in range(9)])
+    outputs = routing.run_steps(df, rows, {})
+    assert {r.group_id for r in outputs["b"].collect()} == {"0", "1", "2"}
+    assert {(r.group_id, r.address) for r in outputs["c"].collect()} == {("x", "iotdpp.c.output")}
+    outputs["b"].unionByName(outputs["c"]).explain()
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and "Scan ExistingRDD" not in plan
+
+
+def test_exclusive_groups_are_in_one_task_in_order(spark):
+    rows = [(i, "x", "{}", None, "u", str(i % 5) if i % 10 else None) for i in range(200)]
+    met = routing.group_exclusive(log(spark, rows).orderBy(F.rand(5)), partitions=7)
+    placed = met.select("message_id", "group_id", F.spark_partition_id().alias("task")).collect()
+    tasks, order = {}, {}
+    for r in placed:
+        tasks.setdefault(r.group_id, set()).add(r.task)
+        order.setdefault((r.group_id, r.task), []).append(r.message_id)
+    assert all(len(t) == 1 for g, t in tasks.items() if g is not None) and len(tasks[None]) > 1
+    assert all(ids == sorted(ids) for ids in order.values())
+
+
+def test_an_acknowledgement_belongs_to_the_latest_delivery(spark):
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    published = spark.createDataFrame(
+        [(1, None, at(0), "q", "c", "n", 5), (9, 1, at(1), "q", "c", "m", 5)],
+        "message_id long, original_message_id long, ts timestamp, queue string, client_id string, node string, size long",
+    )
+    delivered = spark.createDataFrame(
+        [(1, None, at(1), "q", "w1"), (9, 1, at(10), "q", "w2"), (1, None, at(20), "q", "w3")],
+        "message_id long, original_message_id long, ts timestamp, queue string, consumer string",
+    )
+    acked = spark.createDataFrame(
+        [(1, None, at(5), "q"), (1, None, at(7), "q"), (9, 1, at(10), "q")],
+        "message_id long, original_message_id long, ts timestamp, queue string",
+    )
+    rows = lifecycle.correlate_lifecycle(published, delivered, acked).collect()
+    assert {(r.consumer, r.message_id, r.publish_node, r.ack_ts) for r in rows} == {
+        ("w1", 1, "n", at(5)), ("w2", 1, "n", at(10)), ("w3", 1, "n", None),
+    }
+    assert len(rows) == 3
+
+
 def test_step_order_refuses_cycles():
     rows = [{"step": "a", "input_stream": "b"}, {"step": "b", "input_stream": "a"}]
     with pytest.raises(ValueError):

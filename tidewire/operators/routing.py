@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.grouping import BODY_JSON, object_text, raw_group_key
+from tidewire.settings import materialize
 from tidewire.sources.config import inline_table
 from tidewire import schemas
 
@@ -105,6 +107,17 @@ def group_affinity(receptions: DataFrame) -> DataFrame:
     return workers.withColumn("split", F.col("workers") > 1)
 
 
+def group_exclusive(messages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Messages in order within each group, and each group in one task: for functions with a state.
+
+    This is what one exclusive worker per group means, so a group is never split; where only the order
+    matters, ``group_ordered`` does without. Messages without a group are spread by their id.
+    """
+    home = F.when(F.col("group_id").isNull(), F.xxhash64("message_id")).otherwise(F.xxhash64("group_id"))
+    spread = messages.repartition(partitions, home) if partitions else messages.repartition(home)
+    return spread.sortWithinPartitions("group_id", "ts", "message_id")
+
+
 def group_ordered(messages: DataFrame, partitions: int | None = None) -> DataFrame:
     """Messages in order within each group, for step functions that need the order.
 
@@ -135,21 +148,40 @@ def step_order(steps: Sequence[Mapping]) -> list[Mapping]:
     return ordered
 
 
+def received_by(messages: DataFrame, step: Mapping) -> DataFrame:
+    """What one step gets, with the groups its accessor gives. The step is known when the plan is made,
+    so this is a filter and a projection; ``route_and_annotate`` does the same for many steps at once."""
+    read = messages.filter(F.col("address") == f"{PREFIX}{step['input_stream']}.output")
+    address = F.lit(f"{PREFIX}{step['step']}.input.{step['input_stream']}")
+    sent = read.withColumn("address", address)
+    if not step["key_source"]:
+        return sent
+    source, expression = step["key_source"], step["key_expr"]
+    found = F.col("__key")
+    key = object_text(found) if source == BODY_JSON else found
+    keyed = sent.withColumn("__key", raw_group_key(source, expression))
+    return keyed.withColumn("group_id", F.coalesce(key, "group_id")).drop("__key")
+
+
 def run_steps(
     messages: DataFrame, steps: Sequence[Mapping], functions: Mapping[str, StepFunction]
 ) -> dict[str, DataFrame]:
     """Chain the user's step functions: what one step gives out feeds the steps that read it.
 
     A function gets the messages of its step with their ``group_id`` and returns messages; the
-    result holds the output of every step, sent to the step's output address.
+    result holds the output of every step, sent to the step's output address. In batch, an output
+    that several steps read is written once; in a stream each output is a sink of its own.
     """
     outputs: dict[str, DataFrame] = {}
+    readers = Counter(row["input_stream"] for row in steps)
     for row in step_order(steps):
         source = outputs.get(row["input_stream"], messages)
-        received = route_and_annotate(source, [row]).drop("step", "input_stream")
         body = functions.get(row["step"], lambda df: df)
         address = F.lit(f"{PREFIX}{row['step']}.output")
-        outputs[row["step"]] = received.transform(body).withColumn("address", address)
+        output = received_by(source, row).transform(body).withColumn("address", address)
+        if readers[row["step"]] > 1 and not output.isStreaming:
+            output = materialize(output, f"output-{row['step']}")
+        outputs[row["step"]] = output
     return outputs
 
 

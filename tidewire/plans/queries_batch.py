@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import filters, text
@@ -305,13 +305,24 @@ def _group_affinity(spark, sf_dir):
 
 @query(
     "group_ordered",
-    with_(MESSAGES, select=" SELECT message_id, CAST(k AS VARCHAR) AS group_id FROM messages"),
+    with_(MESSAGES, select="""
+SELECT message_id, CAST(k AS VARCHAR) AS group_id, row_number() OVER (PARTITION BY k ORDER BY us, message_id) AS position,
+       true AS one_task
+FROM messages"""),
 )
 def _group_ordered(spark, sf_dir):
+    """The place of each message in its group as a task meets it, and whether one task has the group."""
     keyed = messages(spark, sf_dir).select(
         "message_id", "ts", F.get_json_object("body", "$.props.k").alias("group_id")
     )
-    return routing.group_ordered(keyed).select("message_id", "group_id")
+    met = routing.group_exclusive(keyed).select(
+        "message_id", "group_id",
+        F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("met"),
+    )
+    group = Window.partitionBy("group_id")
+    one_task = F.min("task").over(group) == F.max("task").over(group)
+    position = F.row_number().over(group.orderBy("met"))
+    return met.select("message_id", "group_id", position.cast("bigint").alias("position"), one_task.alias("one_task"))
 
 
 @query(
