@@ -36,7 +36,7 @@ PENDING_WORDS = 50_000  # words encoded together at most
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-LATIN_END = 0x250  # texts below this code point take the quick word cut
+LATIN_END = 0x180  # texts below this code point take the quick word cut; lower case stays below
 
 
 def _class(codes: Iterable[int]) -> str:

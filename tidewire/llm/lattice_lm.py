@@ -461,7 +461,7 @@ def score_texts(
             out["n_tokens"] += (sizes + 1).tolist()
             out["n_known"] += (np.bincount(doc, times * known[word], n) + (texts > 0)).astype(np.int64).tolist()
             out["base_score"] += (np.bincount(doc, times * base[word], n) + base_of(float(texts))).tolist()
-            out["score"] += (np.logaddexp.reduce(scores, axis=0) / np.log(10.0)).tolist()
+            out["score"] += np.minimum(0.0, np.logaddexp.reduce(scores, axis=0) / np.log(10.0)).tolist()
         types = [to_arrow_type(id_type), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
 

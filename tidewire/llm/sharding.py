@@ -8,7 +8,7 @@ move is granted. Then the documents without links fill the shards up to equal si
 
 The state is a row per cell, at most ``CELLS`` per link, however often a text occurs; a link that holds a
 third of all rows is spread over its cells like any other, and fills one shard after the other. What the
-driver sees has a bound: sizes per shard and hash bucket (shards x 1,024 rows at most) and, for the documents
+driver sees has a bound: sizes per shard and hash bucket (64 x 1,024 rows at most for 8 shards) and, for the documents
 without links, per class of size and hash bucket (64 x 128 rows at most).
 
 A null text has size 1 and, like the empty text, is linked with nothing. Repeated rows are documents of
@@ -31,43 +31,65 @@ FILL_BUCKETS = 128
 SLOT_ROWS = 20_000  # rows numbered in one task, about
 
 
+def _granted(wanted: list, load: dict[int, int], capacity: float) -> tuple[list[tuple], set[int]]:
+    """Which of the wanted moves (from, target, bucket, bytes) fit the capacity, and the full shards.
+
+    A move makes room where it starts, so the list is gone through until nothing more fits.
+    """
+    load = dict(load)
+    left = sorted(wanted, key=lambda r: (r["target"], r["bucket"], r["shard"]))
+    granted: list[tuple] = []
+    while True:
+        denied = []
+        for row in left:
+            if load.get(row["target"], 0) + row["bytes"] <= capacity:
+                load[row["target"]] = load.get(row["target"], 0) + row["bytes"]
+                load[row["shard"]] -= row["bytes"]
+                granted.append((row["shard"], row["target"], row["bucket"], True))
+            else:
+                denied.append(row)
+        if len(denied) in (0, len(left)):
+            return granted, {row["target"] for row in denied}
+        left = denied
+
+
 def _propagated(cells: DataFrame, shards: int, capacity: float, rounds: int) -> DataFrame:
     """The cells (``link``, ``cell``, ``n``, ``bytes``, ``shard``) with their shards after all rounds."""
     spark = cells.sparkSession
+    full: set[int] = set()
     for _ in range(rounds):
-        load = {r["shard"]: r["bytes"] for r in cells.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}
-        room = {s: max(0.0, capacity - load.get(s, 0)) for s in range(shards)}
-        order = sorted(range(shards), key=lambda s: (-room[s], s))
-        roomy = spark.createDataFrame([(s, i) for i, s in enumerate(order)], "shard int, rank int")
-        # of shards with as many of the link's documents, the one with more room
-        votes = cells.groupBy("link", "shard").agg(F.sum("n").alias("votes")).join(roomy, "shard")
-        open_shards = [s for s in range(shards) if room[s] > 0]
-        votes = votes.withColumn("open", F.col("shard").isin(open_shards))
-        best = votes.groupBy("link").agg(
-            F.max_by("shard", F.struct("votes", -F.col("rank"))).alias("home"),
-            F.max_by(F.when(F.col("open"), F.col("shard")), F.struct("open", "votes", -F.col("rank"))).alias("next"),
+        sizes = cells.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()
+        load = {r["shard"]: r["bytes"] for r in sizes}
+        order = sorted(range(shards), key=lambda s: (load.get(s, 0), s))
+        emptier = spark.createDataFrame(
+            [(s, -rank, s not in full) for rank, s in enumerate(order)], "shard int, room int, open boolean"
+        )
+        # of shards with as many of the link's documents, the emptier one
+        votes = cells.groupBy("link", "shard").agg(F.sum("n").alias("votes")).join(emptier, "shard")
+        votes = votes.withColumn("rank", F.struct("votes", "room"))
+        best = votes.filter("open").groupBy("link")
+        best = best.agg(F.max_by("shard", "rank").alias("home"), F.max("rank").alias("most"))
+        # a cell asks for the shard with most of its link, among those that are not full; it never
+        # leaves for one with fewer
+        better = F.col("most") > F.col("rank")
+        bucket = F.pmod(F.xxhash64("link", "cell"), F.lit(MOVE_BUCKETS))
+        known = cells.join(votes.select("link", "shard", "rank"), ["link", "shard"])
+        asks = known.join(best, "link", "left").select(
+            *cells.columns, bucket.alias("bucket"), F.when(better, F.col("home")).alias("target")
         )
-        joined = cells.join(best, "link")
-        # the cells at home stay; the others ask for home, or for the best shard that has room
-        target = F.when(F.col("home").isin(open_shards), F.col("home")).otherwise(F.col("next"))
-        asks = joined.select(
-            *cells.columns, F.when(F.col("shard") != F.col("home"), target).alias("target"),
-            F.pmod(F.xxhash64("link", "cell"), F.lit(MOVE_BUCKETS)).alias("bucket"),
-        )
         asks = materialize(asks, "moves")
-        wanted = asks.filter("target is not null and target <> shard").groupBy("target", "bucket")
-        wanted = wanted.agg(F.sum("bytes").alias("bytes")).collect()  # shards x MOVE_BUCKETS rows at most
-        granted = []
-        for row in sorted(wanted, key=lambda r: (r["target"], r["bucket"])):
-            if row["bytes"] <= room[row["target"]]:
-                room[row["target"]] -= row["bytes"]
-                granted.append((row["target"], row["bucket"], True))
-        if not granted:
+        wanted = asks.filter("target is not null and target <> shard").groupBy("shard", "target", "bucket")
+        # shards x shards x MOVE_BUCKETS rows at most
+        wanted = wanted.agg(F.sum("bytes").alias("bytes")).collect()
+        granted, denied = _granted(wanted, load, capacity)
+        if not granted and denied <= full:
             return cells
-        grants = spark.createDataFrame(granted, "target int, bucket long, granted boolean")
-        moved = asks.join(F.broadcast(grants), ["target", "bucket"], "left")
-        shard = F.when(F.col("granted") & F.col("target").isNotNull(), F.col("target")).otherwise(F.col("shard"))
-        cells = materialize(moved.select("link", "cell", "n", "bytes", shard.alias("shard")), "cells")
+        full |= denied
+        if granted:
+            grants = spark.createDataFrame(granted, "shard int, target int, bucket long, granted boolean")
+            moved = asks.join(F.broadcast(grants), ["shard", "target", "bucket"], "left")
+            shard = F.when(F.col("granted"), F.col("target")).otherwise(F.col("shard"))
+            cells = materialize(moved.select("link", "cell", "n", "bytes", shard.alias("shard")), "cells")
     return cells
 
 
@@ -85,7 +107,7 @@ def _filled(free: list, load: dict[int, int], shards: int) -> list[tuple]:
 
 def balanced_shards(
     docs: DataFrame, shards: int = 8, *, id_column: str = "doc_id", text_column: str = "text",
-    rounds: int = 8,
+    rounds: int = 10,
 ) -> DataFrame:
     """Each row's ``size`` in bytes plus 1, ``text_crc32``, ``shard`` and ``slot``.
 
