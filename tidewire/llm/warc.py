@@ -110,19 +110,18 @@ def write_archives(
     repeated = repeated.groupBy("page_id", "digest", "kept").agg(F.count("*").alias("rows"))
     total = small.agg(F.sum("bytes")).first()[0] or 0
     archives = 1 + total // ARCHIVE_BYTES
-    record = F.col("record_id")
-    joined = headers.join(repeated.hint("shuffle_hash"), ["page_id", "digest"], "left")
-    # pages that keep a payload; they are alone in (id, payload) unless their row is repeated
-    first = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
-    alone = joined.filter("kept is null or page_id <> kept or rows = 1")
-    again = joined.filter("page_id = kept and rows > 1").withColumn("__first", first)
-    alone = alone.withColumn("kept", F.expr("if(page_id = kept, null, kept)"))
-    again = again.withColumn("kept", F.expr("if(__first = 1, null, kept)")).drop("__first")
-    ready = alone.unionByName(again).withColumn("record_id", _record_id(F.col("page_id")))
+    # payloads move once: to the archive of their page, where the header rows meet them
+    key = ["page_id", "digest"]
+    dealt = headers.repartition(archives, *key).join(repeated.repartition(archives, *key), key, "left")
+    # of repeated rows of the page that keeps the payload, the first does
+    order = F.row_number().over(Window.partitionBy(*key).orderBy("url"))
+    keeps = (F.col("page_id") == F.col("kept")) & ((F.col("rows") == 1) | (F.col("order") == 1))
+    kept = F.when(~keeps, F.col("kept"))
+    ready = dealt.withColumn("order", order).withColumn("kept", kept)
+    ready = ready.withColumn("record_id", _record_id(F.col("page_id")))
     ready = ready.withColumn("kept_record", _record_id(F.col("kept")))
-    text = ready.select(_record_text(date).alias("value"), record)
-    dealt = text.repartition(archives, "record_id").select("value")
-    dealt.write.option("lineSep", LINE + LINE).option("compression", "gzip").text(path)
+    text = ready.select(_record_text(date).alias("value"))
+    text.write.option("lineSep", LINE + LINE).option("compression", "gzip").text(path)
 
 
 def _parsed(data: bytes) -> Iterator[tuple]:
