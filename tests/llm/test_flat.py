@@ -42,3 +42,8 @@ def test_sliced_arrays_keep_their_texts():
     data, starts = flat.flat_bytes(texts)
     assert data.tobytes() == b"threefour five six" and starts.tolist() == [0, 5, 5, 18]
     assert np.array_equal(flat.word_hashes(data, starts)[1], [1, 0, 3])
+
+
+def test_few_words():
+    for text in ("", "a", "a b", "a b c", "a b c d", "a b c d e"):
+        assert [len(s) for _, s in flat.sets_of(pa.array([text]))] == [1 if text else 0]

@@ -136,10 +136,10 @@ def shingle_sets(words: np.ndarray, counts: np.ndarray, k: int = 5) -> list[np.n
 
     A text of fewer words has one shingle, the whole sequence; a text without words has none.
     """
-    n = len(words)
-    rolled = np.zeros(max(n - k + 1, 0), np.uint64)
+    n = max(len(words) - k + 1, 0)
+    rolled = np.zeros(n, np.uint64)
     for j in range(k):
-        rolled += words[j : n - k + 1 + j] * SHINGLE_FACTORS[j]
+        rolled += words[j : n + j] * SHINGLE_FACTORS[j]
     rolled = mixed(rolled)
     sets, begin = [], 0
     for count in counts.tolist():
