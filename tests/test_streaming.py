@@ -125,7 +125,7 @@ def test_open_deliveries_come_out_without_acknowledgement(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
         struct = spark.createDataFrame([], schema).schema
         streams.append(runs.stream_files(spark, str(tmp_path / name), struct))
-    out = runs.run_to_table(runs.correlate_lifecycle_stream(*streams), "test").filter("message_id < 9")
+    out = runs.run_to_table(runs.correlate_lifecycle_stream(*streams, within="1 hour"), "test").filter("message_id < 9")
     got = {(r.message_id, r.publish_ts is not None, r.ack_ts is not None) for r in out.collect()}
     assert got == {(1, True, True), (2, True, False), (3, False, False)}
 

@@ -145,18 +145,26 @@ def _changes(states: DataFrame) -> DataFrame:
 def _oldest_pending(states: DataFrame) -> DataFrame:
     """``queue, block, tick, oldest, holds``: from ``tick`` to ``holds`` the message is the oldest one.
 
-    A span is cut at the borders of blocks, so that each block knows what it starts with.
+    A span is cut at the borders of blocks, so that each block knows what it starts with. States first
+    seen at an earlier tick are older, so they matter only by how long the longest of them lasts: one
+    value per tick, carried on per block. States are ranked only among those first seen at one tick.
     """
-    pending = states.filter(F.col("last") >= F.col("seen")).withColumn("block", _block(F.col("seen")))
-    peaks = pending.groupBy("queue", "block").agg(F.max("last").alias("peak"))
+    pending = states.filter(F.col("last") >= F.col("seen"))
+    ticks = pending.groupBy("queue", "seen").agg(F.max("last").alias("peak"))
+    ticks = ticks.withColumn("block", _block(F.col("seen")))
+    peaks = ticks.groupBy("queue", "block").agg(F.max("peak").alias("peak"))
     before = carried(peaks, ["queue"], "block", {"outlasted": F.max("peak")})
-    order = Window.partitionBy("queue", "block").orderBy("oldest", "last").rowsBetween(*BEFORE)
-    earlier = F.max("last").over(order)
+    in_block = Window.partitionBy("queue", "block").orderBy("seen").rowsBetween(*BEFORE)
+    earlier = ticks.join(before, ["queue", "block"]).select(
+        "queue", "seen", F.greatest("outlasted", F.max("peak").over(in_block)).alias("outlasted")
+    )
+    outlasts = F.col("outlasted").isNull() | (F.col("last") > F.col("outlasted"))
+    in_tick = Window.partitionBy("queue", "seen").orderBy("oldest", "last").rowsBetween(*BEFORE)
     leaders = (
-        pending.join(before, ["queue", "block"])
-        .withColumn("outlasted", F.greatest(F.col("outlasted"), earlier))
-        .filter(F.col("outlasted").isNull() | (F.col("last") > F.col("outlasted")))
-        .drop("block")
+        pending.join(earlier, ["queue", "seen"])
+        .filter(outlasts)
+        .withColumn("outlasted", F.greatest(F.col("outlasted"), F.max("last").over(in_tick)))
+        .filter(outlasts)
     )
     first = F.greatest(F.col("seen"), F.col("outlasted") + 1)
     spans = _blocks(leaders, first, F.least(F.col("last"), F.col("until")))

@@ -76,7 +76,7 @@ def _correlated_stream(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     published = inputs.published_of(events)
     # the closing row is not acknowledged and would stay open for ever
     acknowledged = inputs.acknowledged_of(events)
-    return published, runs.correlate_lifecycle_stream(published, inputs.delivered_of(events), acknowledged)
+    return published, runs.correlate_lifecycle_stream(published, inputs.delivered_of(events), acknowledged, within="1 hour")
 
 
 @query("lifecycle_joined_stream", LIFECYCLE_SQL)
@@ -156,7 +156,7 @@ def _request_reply_stream(spark, sf_dir):
     asked = events.withColumn(
         "event_type", F.when(F.col("event_id") == CLOSING_ID, "purchase").otherwise(F.col("event_type"))
     )
-    matched = runs.request_reply_stream(inputs.requests_of(asked), replies_and_closing(asked))
+    matched = runs.request_reply_stream(inputs.requests_of(asked), replies_and_closing(asked), within="1 hour")
     rows = runs.run_to_table(matched, "request-reply").filter(F.col("request_id") != CLOSING_ID)
     return rows.select(
         "request_id",

@@ -110,13 +110,15 @@ def correlate_lifecycle_stream(
     published: DataFrame,
     delivered: DataFrame,
     acknowledged: DataFrame,
-    within: str = "1 hour",
+    within: str,
     watermark: str = WATERMARK,
 ) -> DataFrame:
     """``lifecycle.correlate_lifecycle`` for streams.
 
     A delivery waits for its acknowledgement, and for its publish event, no longer than ``within``;
-    then it is given out without.
+    then it is given out without. Rows that came out open can be correlated again by the batch form, from
+    the stored events. An acknowledgement is given to every delivery of its message within the bound; the
+    batch form gives it to the latest only.
     """
     limit = f"INTERVAL {within}"
     d = on_disk(delivered).select(
@@ -203,7 +205,7 @@ def registry_from_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def request_reply_stream(
-    requests: DataFrame, replies: DataFrame, within: str = "1 hour", watermark: str = WATERMARK
+    requests: DataFrame, replies: DataFrame, within: str, watermark: str = WATERMARK
 ) -> DataFrame:
     """``bridging.request_reply`` for streams: a request waits for replies no longer than ``within``."""
     asked = on_disk(requests).select(
