@@ -13,7 +13,7 @@ The items are sent in groups of bounded size.
 
 Words are runs of ASCII letters and digits and of all non-ASCII bytes, A-Z lower-cased. A window is
 ``WINDOW`` consecutive words of an item; an item of fewer words is one window, an item without words has
-none. Null and empty texts have no words. Repeated rows and equal items each count for themselves; an
+none; items without an id are left out. Null and empty texts have no words. Repeated rows and equal items each count for themselves; an
 empty table gives an empty result, an empty benchmark gives documents without hits. Input columns other
 than the id and the text are ignored.
 """
@@ -268,7 +268,7 @@ def matches(
     for group in groups:
         rows = group.collect()  # at most about ITEM_BYTES of text
         texts = _hashes([r["text"] for r in rows])
-        hashed.append([(r["item"], h) for r, h in zip(rows, texts, strict=True) if r["item"]])
+        hashed.append([(r["item"], h) for r, h in zip(rows, texts, strict=True) if r["item"] is not None])
     used = [h for group in hashed for _, h in group]
     vocabulary = np.unique(np.concatenate(used)) if used else np.zeros(0, np.uint64)
     index = build_index(docs, vocabulary, id_column, text_column)
