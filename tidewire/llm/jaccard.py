@@ -3,16 +3,22 @@
 A document's set is its distinct 5-word shingles (hashes of 64 bits). Documents with equal sets are one
 class. Two classes link when 100 * |intersection| >= ``percent`` * |union|.
 
-1. *Tokens that can matter.* If two sets link, they share one of the first ``n - ceil(n * percent / 100)
-   + 1`` tokens of each in any common order. The order puts tokens of frequent cells last; the cell
-   counts (2^20 counters over all documents) decide the cost only, never the result.
-2. *Groups.* Every class is compared with the smallest class on each of its token lists. The connected
-   classes form groups, which are split into parts of some ``PART`` classes.
-3. *Token-group matrix.* For each part the union of its tokens is stored. A class Q that shares a listed
-   token with a part of another group can only link into it if |Q ∩ union| >= percent * |Q|. Only the
-   parts that meet this bound are opened and their members compared.
-4. *Components* of all links found. Classes that are in one group already need no comparison, so a
-   large group of near copies costs a number of comparisons in proportion to its size.
+1. *Tokens that can matter.* If two sets link, they have at least ``needed(n)`` of the first
+   ``prefix_length(n)`` tokens of each in common, in any order that all sets follow. The order puts tokens
+   of frequent cells last; the cell counts (2^20 counters over all documents) decide the cost only, never
+   the result. Tokens that one class alone has are dropped, and so are classes left with too few.
+2. *Seeds.* Each class is compared with the hub of its token lists, the class on a list that shares most
+   of its own listed tokens, if the two share enough. In a large group of near copies this connects most
+   classes by a number of comparisons in proportion to their number.
+3. *Token-group matrix.* Classes with the same hub form groups, split into those the seeds connected with
+   the hub and the rest, and into parts of some ``PART`` classes. A row for each token of each part is the
+   union of its classes' tokens. Two parts can only hold a link between classes that are not connected yet
+   if their unions have enough tokens in common; only these pairs of parts are opened, and their classes
+   compared in one task, which gives out the links and nothing else.
+4. *Components* of all links found. Classes that are connected already are not compared.
+
+Comparisons use 40 of the 64 bits of the tokens, so that less is moved; that a pair is misjudged by this
+has a chance below 1 in 10^8.
 
 Texts that are null, empty or without words have no set and link with nothing, and so do rows without an
 id. Repeated rows are copies of one class. Whole texts are read. An empty table gives an empty result;
@@ -37,6 +43,10 @@ from tidewire.settings import materialize
 CELL_BITS = 20
 CHUNK_BITS = 14  # cells of a row of counts
 PART = 32  # classes of a part of a group, about
+PART_TOKENS = 1 << 16  # tokens of all sets of a part, about
+SPARE = 16  # one listed token more for each so many tokens of a set
+FILTER_BITS = 1 << 27  # of the filter for texts to read again, at most
+TOKEN_BYTES = 5
 
 
 def _digest(tokens: np.ndarray) -> int:
@@ -116,8 +126,15 @@ def _levels(counted: DataFrame) -> np.ndarray:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """How many tokens of a set of ``n`` must be looked at to meet every set that links with it."""
-    return n + (-n * percent) // 100 + 1
+    """How many tokens of a set of ``n`` are listed: enough to see ``needed`` common ones of every set
+    that links with it. Two such sets have c >= n * percent / 100 in common; the k-th of these in the
+    order has at most n - c tokens that are not common before it."""
+    return min(n, n + (-n * percent) // 100 + 1 + n // SPARE)
+
+
+def needed(n: str, percent: int) -> str:
+    """SQL for the number of listed tokens a set of ``n`` shares with any set it links with."""
+    return f"(1 + (({n} * {percent} + 99) div 100) div {SPARE})"
 
 
 def _postings(docs: DataFrame, levels: np.ndarray, shingle: int, percent: int) -> DataFrame:
@@ -161,26 +178,57 @@ def _postings(docs: DataFrame, levels: np.ndarray, shingle: int, percent: int) -
     return docs.mapInArrow(run, "token long, digest long")
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """The postings whose token belongs to more than one class, with the smallest class on the list
-    and whether the list has a third one."""
+def _shared(
+    postings: DataFrame, classes: DataFrame, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """The postings (``token``, ``digest``, ``hub``) whose token belongs to more than one class, and the
+    classes (``digest``, ``id``, ``n``) that have enough of them."""
     token = Window.partitionBy("token")
     ends = postings.select(
         "token", "digest",
         F.min("digest").over(token).alias("low"), F.max("digest").over(token).alias("high"),
     ).filter("low <> high")
-    inner = (F.col("digest") != F.col("low")) & (F.col("digest") != F.col("high"))
-    return ends.select("token", "digest", "low", F.max(inner).over(token).alias("more"))
+    found = materialize(ends.select("token", "digest").distinct(), "shared-tokens")
+    counted = found.groupBy("digest").agg(F.count("*").alias("listed"))
+    able = counted.join(classes, "digest").filter(f"listed >= {needed('n', percent)}")
+    able = materialize(able, "listed-classes")
+    share = able.select("digest", (F.col("listed") / F.col("n")).alias("share"))
+    hub = F.max(F.struct("share", "digest")).over(token)
+    lists = found.join(share, "digest").select("token", "digest", hub["digest"].alias("hub"))
+    return materialize(lists, "token-lists"), able.select("digest", "id", "n")
+
+
+def _filter_of(classes: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for the hash of each class's id, in at most ``FILTER_BITS`` bits."""
+    rows = 1 << 15  # bits of one row of the aggregate
+    bits = min(FILTER_BITS, rows * (1 + classes.count() * 32 // rows))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    marks = classes.select(place.alias("place")).groupBy(F.floor(F.col("place") / rows).alias("row"))
+    found = np.zeros((bits // rows, rows // 8), np.uint8)
+    for r in marks.agg(F.bitmap_construct_agg(F.col("place") % rows).alias("bits")).collect():
+        found[r["row"]] = np.frombuffer(r["bits"], np.uint8)
+    return found.reshape(-1), bits
 
 
 def _sets_of_classes(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
-    """The token sets of some classes (``digest``, ``id``, ``n``), read again from one text of each."""
+    """The token sets of some classes (``digest``, ``id``, ``n``), read again from one text of each.
+
+    A filter of bounded size keeps most other texts from being moved.
+    """
+    found, bits = _filter_of(classes)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.asarray(batch.column(2))
+            keep = (shared.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(keep.astype(bool))).select(["id", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests = batch.column(0).to_pylist()
             found = [
-                (digests[i], tokens.tobytes())
+                (digests[i], _packed(tokens))
                 for i, tokens in sets_of(batch.column(1), shingle)
                 if len(tokens) and _digest(tokens) == digests[i]
             ]
@@ -189,20 +237,36 @@ def _sets_of_classes(docs: DataFrame, classes: DataFrame, shingle: int) -> DataF
                 names=["digest", "tokens"],
             )
 
-    texts = docs.join(classes.select("id", "digest").hint("shuffle_hash"), "id")
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    texts = docs.filter("id is not null and text is not null").select("id", "text", place.alias("place"))
+    id_type = docs.schema["id"].dataType.simpleString()
+    texts = texts.mapInArrow(chosen, f"id {id_type}, text string")
+    texts = texts.join(classes.select("id", "digest").hint("shuffle_hash"), "id")
     sets = texts.select("digest", "text").mapInArrow(run, "digest long, tokens binary")
     return materialize(sets, "class-sets")
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """The high bytes of sorted tokens, which keep their order."""
+    raw = tokens.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return raw[:, :TOKEN_BYTES].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    parts = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN_BYTES)
+    full = np.zeros((len(parts), 8), np.uint8)
+    full[:, :TOKEN_BYTES] = parts
+    return full.view(">u8").reshape(-1).astype(np.uint64)
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a``, ``b`` (with sizes ``na``, ``nb``) that link."""
+    """Those of the pairs ``a``, ``b`` that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x = np.frombuffer(x.as_buffer(), np.uint64)
-                y = np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
                 if len(y) < len(x):
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -213,80 +277,113 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 [batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"]
             )
 
-    fits = pairs.filter(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na").select("a", "b")
     left = sets.select(F.col("digest").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("digest").alias("b"), F.col("tokens").alias("y"))
-    sides = fits.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    sides = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return materialize(sides.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
 
 
-def _between_groups(
-    shared: DataFrame, sizes: DataFrame, sets: DataFrame, roots: DataFrame, percent: int
-) -> DataFrame:
-    """Links between classes of different groups, by the token-group matrix."""
-    # classes with their group, its size and the part they are in
-    member = sizes.join(roots.withColumnRenamed("node", "digest"), "digest", "left")
-    member = member.select("digest", "n", F.coalesce("root", "digest").alias("group"))
+def _parts(classes: DataFrame, roots: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``digest``, ``n``, ``root`` and ``part`` of each class."""
+    home = hubs.groupBy("digest").agg(F.max_by("hub", F.struct("common", "hub")).alias("family"))
+    member = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left")
+    member = member.select("digest", "n", F.coalesce("root", "digest").alias("root"))
+    of_family = roots.select(F.col("node").alias("family"), F.col("root").alias("main"))
+    member = member.join(home, "digest").join(of_family, "family", "left")
+    rest = F.col("root") != F.coalesce("main", "family")
+    member = materialize(member.withColumn("rest", rest).drop("main"), "groups")
+    sizes = member.groupBy("family", "rest").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
     # written, so that the join can split a large group
-    counted = materialize(member.groupBy("group").agg(F.count("*").alias("size")), "group-sizes")
-    member = member.join(counted, "group").select(
-        "digest", "n", "group", "size",
-        F.pmod(F.xxhash64("digest"), F.expr(f"1 + size div {PART}")).alias("part"),
-    )
-    member = materialize(member, "groups")
-    token = Window.partitionBy("token")
-    lists = shared.filter("more").select("token", "digest").join(member, "digest")
-    lists = lists.withColumn("one", F.min("group").over(token) == F.max("group").over(token))
-    lists = materialize(lists.filter("not one").drop("one").distinct(), "lists")
-    if lists.isEmpty():
-        return sets.select(F.col("digest").alias("a"), F.col("digest").alias("b")).limit(0)
-    parts = lists.groupBy("token", "group", "size", "part").agg(
-        F.min("n").alias("least"), F.max("n").alias("most")
-    )
-    q, p = lists.alias("q"), parts.alias("p")
-    # the class of the smaller group asks
-    asks = (F.col("p.size") > F.col("q.size")) | (
-        (F.col("p.size") == F.col("q.size")) & (F.col("p.group") > F.col("q.group"))
-    )
-    fits = (F.col("p.most") * 100 >= F.col("q.n") * percent) & (
-        F.col("p.least") * percent <= F.col("q.n") * 100
+    sizes = materialize(sizes, "group-sizes")
+    buckets = f"1 + greatest(size div {PART}, tokens div {PART_TOKENS})"
+    bucket = F.pmod(F.xxhash64("digest"), F.expr(buckets))
+    named = member.join(sizes, ["family", "rest"]).select(
+        "digest", "n", "root", F.xxhash64("family", "rest", bucket).alias("part")
     )
-    asked = q.join(p, "token").filter(asks & fits)
-    asked = asked.select("q.digest", "q.n", "p.group", "p.part").distinct()
-    asked = materialize(asked, "questions")
+    return materialize(named, "parts")
 
-    def union(key, table):
-        tokens = np.unique(np.concatenate([np.frombuffer(t.as_buffer(), np.uint64) for t in table["tokens"]]))
+
+def _opened(lists: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """The pairs of parts ``p``, ``q`` that the token-group matrix does not rule out."""
+    facts = member.groupBy("part").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"),
+        F.min("root").alias("root"), (F.min("root") != F.max("root")).alias("mixed"),
+    )
+    facts = facts.withColumn("enough", F.expr(needed("least", percent)))
+    facts = materialize(facts, "part-facts")
+    matrix = lists.select("token", "digest").join(member.select("digest", "part"), "digest")
+    matrix = materialize(matrix.select("token", "part").distinct(), "token-group-matrix")
+    other = matrix.withColumnRenamed("part", "q")
+    meet = matrix.withColumnRenamed("part", "p").join(other, "token").filter("p < q")
+    meet = meet.groupBy("p", "q").agg(F.count("*").alias("common"))
+    x, y = facts.alias("x"), facts.alias("y")
+    both = meet.join(x, F.col("p") == F.col("x.part")).join(y, F.col("q") == F.col("y.part"))
+    both = both.filter("common >= greatest(x.enough, y.enough)")
+    both = both.filter(f"100 * x.most >= {percent} * y.least and 100 * y.most >= {percent} * x.least")
+    both = both.filter("x.mixed or y.mixed or x.root <> y.root").select("p", "q")
+    inside = facts.filter("mixed").select(F.col("part").alias("p"), F.col("part").alias("q"))
+    return materialize(both.unionByName(inside), "opened-parts")
+
+
+def _between_parts(opened: DataFrame, member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links between classes that are not connected yet, in the opened pairs of parts."""
+
+    def packed(key, table):
+        sizes = [len(t.as_buffer()) for t in table["tokens"]]
         return pa.table(
-            {"group": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()),
-             "tokens": pa.array([tokens.tobytes()], pa.binary())}
+            {"part": pa.array([key[0].as_py()], pa.int64()),
+             "digests": pa.array([np.asarray(table["digest"]).tobytes()], pa.binary()),
+             "roots": pa.array([np.asarray(table["root"]).tobytes()], pa.binary()),
+             "sizes": pa.array([(np.array(sizes) // TOKEN_BYTES).tobytes()], pa.binary()),
+             "tokens": pa.array([b"".join(table["tokens"].to_pylist())], pa.binary())}
         )
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x = np.frombuffer(x.as_buffer(), np.uint64)
-                y = np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                keep.append(100 * int(np.count_nonzero(y[at] == x)) >= percent * len(x))
-            keep = pa.array(keep, pa.bool_())
-            yield batch.filter(keep).select(["digest", "n", "group", "part"])
-
-    wanted = asked.select("group", "part").distinct()
-    rows = member.join(wanted, ["group", "part"], "left_semi").join(sets, "digest")
-    matrix = rows.select("group", "part", "tokens").groupBy("group", "part").applyInArrow(
-        union, "group long, part long, tokens binary"
+            a, b = [], []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                da, db = _part_links(x, y, percent)
+                a.append(da)
+                b.append(db)
+            a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    wanted = opened.select(F.col("p").alias("part")).union(opened.select("q")).distinct()
+    rows = member.join(wanted, "part", "left_semi").join(sets, "digest")
+    parts = rows.select("part", "digest", "root", "tokens").groupBy("part").applyInArrow(
+        packed, "part long, digests binary, roots binary, sizes binary, tokens binary"
     )
-    matrix = materialize(matrix, "token-group-matrix")
-    with_union = asked.join(matrix.withColumnRenamed("tokens", "y"), ["group", "part"])
-    both = with_union.join(sets.withColumnRenamed("tokens", "x"), "digest")
-    opened = both.mapInArrow(bounded, "digest long, n long, group long, part long")
-    opened = materialize(opened, "opened-parts")
-    inside = member.select("group", "part", F.col("digest").alias("b"), F.col("n").alias("nb"))
-    pairs = opened.join(inside, ["group", "part"])
-    pairs = pairs.select(F.col("digest").alias("a"), F.col("n").alias("na"), "b", "nb").distinct()
-    return _compared(pairs, sets, percent)
+    parts = materialize(parts, "packed-parts")
+    whole = F.struct("digests", "roots", "sizes", "tokens")
+    left = parts.select(F.col("part").alias("p"), whole.alias("x"))
+    right = parts.select(F.col("part").alias("q"), whole.alias("y"))
+    both = opened.join(left, "p").join(right, "q").select("x", "y")
+    return materialize(both.mapInArrow(compared, "a long, b long").distinct(), "links-between-parts")
+
+
+def _part_links(x: dict, y: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs between the classes of two parts whose roots differ."""
+    (dx, dy), (rx, ry), (nx, ny) = (
+        [np.frombuffer(side[k], np.int64) for side in (x, y)] for k in ("digests", "roots", "sizes")
+    )
+    tx, ty = _unpacked(x["tokens"]), _unpacked(y["tokens"])
+    ox, oy = np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)
+    order = np.argsort(ty, kind="stable")
+    ty, oy = ty[order], oy[order]
+    first, last = np.searchsorted(ty, tx, "left"), np.searchsorted(ty, tx, "right")
+    common = np.zeros((len(nx), len(ny)), np.int64)
+    # the k-th class of y that has the token; as many rounds as the classes of a part at most
+    k = 0
+    while True:
+        has = np.flatnonzero(first + k < last)
+        if not len(has):
+            break
+        np.add.at(common, (ox[has], oy[first[has] + k]), 1)
+        k += 1
+    either = nx[:, None] + ny[None, :] - common
+    linked = (100 * common >= percent * either) & (rx[:, None] != ry[None, :])
+    i, j = np.nonzero(linked)
+    return np.minimum(dx[i], dy[j]), np.maximum(dx[i], dy[j])
 
 
 def jaccard_components(
@@ -304,19 +401,23 @@ def jaccard_components(
     )
     levels = _levels(found.filter("chunk is not null"))
     known = docs.filter("id is not null and text is not null")
-    shared = materialize(_shared(_postings(known, levels, shingle, percent)), "shared-tokens")
-    listed = shared.select("digest").distinct()
-    sizes = materialize(classes.join(listed, "digest"), "listed-classes")
-    sets = _sets_of_classes(docs, sizes, shingle)
-
-    n = sizes.select("digest", "n")
-    near = shared.filter("digest <> low").select(F.col("low").alias("a"), F.col("digest").alias("b"))
-    near = near.distinct().join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
-    seeds = _compared(near, sets, percent)
-    roots = components(seeds)
-    more = _between_groups(shared, n, sets, roots, percent)
-    if not more.isEmpty():
-        roots = components(seeds.unionByName(more))
+    lists, able = _shared(_postings(known, levels, shingle, percent), classes, percent)
+    sets = _sets_of_classes(docs, able, shingle)
+    hubs = lists.groupBy("hub", "digest").agg(F.count("*").alias("common"))
+    hubs = materialize(hubs, "hubs")
+    n = able.select("digest", "n")
+    near = hubs.filter("hub <> digest").select(F.col("hub").alias("a"), F.col("digest").alias("b"), "common")
+    near = near.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
+    near = near.filter(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na")
+    near = near.filter(f"common >= greatest({needed('na', percent)}, {needed('nb', percent)})")
+    links = _compared(near, sets, percent)
+    roots = components(links)
+    member = _parts(n, roots, hubs)
+    opened = _opened(lists, member, percent)
+    if not opened.isEmpty():
+        more = _between_parts(opened, member, sets, percent)
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
     linked = roots.withColumnRenamed("node", "digest").join(classes, "digest")
     lowest = materialize(linked.groupBy("root").agg(F.min("id").alias("component")), "lowest")
     reached = linked.select("digest", "root").join(lowest, "root").select("digest", "component")
