@@ -16,7 +16,7 @@ marginal over the segmentations of all words and over the classes; the class of
 
 Everything counted grows with the corpus and stays distributed. Texts are cut into blocks; a block keeps
 the numbers of its words, and its vocabulary (each distinct word once, with its counts in training texts of
-the block) is joined with the counts of all blocks by word and comes back by block. So what is shuffled are
+the block) is joined with the counts of all blocks by a 64-bit hash of the word and comes back by block. So what is shuffled are
 the distinct words of blocks, not the tokens, and no word, however frequent, has more rows than there are
 blocks. Only the piece weights, a number per piece of the fixed vocabulary, pass through the driver.
 
@@ -39,12 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewire.llm.flat import flat_bytes, mixed, row_slices, word_bounds, word_hashes
-from tidewire.settings import materialize
+from tidewire.llm.flat import flat_bytes, mixed, row_slices, signed, word_bounds, word_hashes
+from tidewire.settings import materialize, scratch_path
 
 BLOCK_BYTES = 16 << 20  # text of a block; a longer text is a block of its own
 ROUNDS = 2  # of re-estimation
 WORDS_AT_ONCE = 20_000
+TOKENS_AT_ONCE = 1 << 18
 CONCENTRATION = 3000.0  # words of the urn before the first draw
 MAX_CLASSES = 16
 PRIOR = 1000.0  # weight of the vocabulary's own scores, in words
@@ -268,30 +269,35 @@ def _blocks(docs: DataFrame, classes: int) -> DataFrame:
                 number += 1
 
     schema = "block long, ids binary, counts binary, numbers binary, words binary, trained binary"
-    return materialize(docs.mapInArrow(run, schema), "text-blocks")
+    path = scratch_path(docs.sparkSession, "text-blocks")
+    docs.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def _vocabulary(blocks: DataFrame, classes: int) -> DataFrame:
-    """``word``, ``block``, ``number`` in the block and its training counts there, ``n0`` in all texts
-    and ``n1`` and on in those of each class."""
+    """Each distinct ``word`` of a block with its hash ``key``, the ``block``, its ``number`` there and its
+    training counts there, ``n0`` in all texts and ``n1`` and on in those of each class."""
     counts = [f"n{k}" for k in range(classes + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words, trained in zip(*batch.columns, strict=True):
                 n = np.frombuffer(trained.as_py(), np.int64).reshape(classes + 1, -1)
+                data = np.frombuffer(words.as_py(), np.uint8)
+                keys = signed(word_hashes(data, np.array([0, len(data)]))[0])
                 words = words.as_py().split(b"\n") if n.shape[1] else []
                 for begin in range(0, len(words), 50_000):
                     some = words[begin : begin + 50_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(some, pa.binary()), pa.array(np.full(len(some), block.as_py())),
+                        [pa.array(keys[begin : begin + 50_000]), pa.array(some, pa.binary()),
+                         pa.array(np.full(len(some), block.as_py())),
                          pa.array(np.arange(begin, begin + len(some), dtype=np.int32)),
                          *[pa.array(x[begin : begin + 50_000]) for x in n]],
-                        names=["word", "block", "number", *counts],
+                        names=["key", "word", "block", "number", *counts],
                     )
 
     rows = blocks.select("block", "words", "trained")
-    schema = "word binary, block long, number int, " + ", ".join(f"{c} long" for c in counts)
+    schema = "key long, word binary, block long, number int, " + ", ".join(f"{c} long" for c in counts)
     return rows.mapInArrow(run, schema)
 
 
@@ -421,17 +427,19 @@ def score_texts(
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [np.asarray(c).astype(float) for c in batch.columns[1:]]
-            general = mixed_log(counts[0], word_log_probabilities(shared.value, _decoded(batch.column(0))), 0)
-            logs = [general, *[mixed_log(counts[k], general, k) for k in models if k]]
+            data = np.frombuffer(b"\n".join(batch.column(0).to_pylist()), np.uint8)
+            keys = word_hashes(data, np.array([0, len(data)]))[0]
+            spelled = word_log_probabilities(shared.value, _decoded(batch.column(0)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(x.astype(np.float32)) for x in logs]],
-                names=["word", "c0", *[f"m{k}" for k in models]],
+                [pa.array(signed(keys)), pa.array(spelled.astype(np.float32)), *batch.columns[1:]],
+                names=["key", "spelled", *[f"c{k}" for k in models]],
             )
 
-    logs = ", ".join(f"m{k} float" for k in models)
-    values = materialize(words.mapInArrow(scored, f"word binary, c0 long, {logs}"), "word-scores")
-    local = vocabulary.select("word", "block", "number").join(values, "word").drop("word")
+    # counts are mostly small, so they move in less space than the probabilities made of them
+    counts_of = ", ".join(f"c{k} long" for k in models)
+    values = words.mapInArrow(scored, f"key long, spelled float, {counts_of}")
+    values = materialize(values, "word-scores")
+    local = vocabulary.select("key", "block", "number").join(values, "key").drop("key")
     # the end is a word like the others, but no piece spells it
     end_general = float(np.log(max(texts - discount, 1e-9) / tokens[0])) if texts else 0.0
     end_logs = [end_general, *[float(mixed_log(np.float64(ends[k]), end_general, k)) for k in models if k]]
@@ -441,13 +449,14 @@ def score_texts(
         order = np.argsort(np.asarray(right["number"]))
         counts = np.asarray(right["c0"])[order].astype(float)
         base, known = base_of(counts), counts > 0
-        log_p = [np.asarray(right[f"m{k}"])[order].astype(float) for k in models]
+        log_p = [mixed_log(counts, np.asarray(right["spelled"])[order].astype(float), 0)]
+        log_p += [mixed_log(np.asarray(right[f"c{k}"])[order], log_p[0], k) for k in models if k]
         out = {n: [] for n in ("id", "n_tokens", "n_known", "base_score", "score")}
-        for row in left.to_pylist():
-            sizes = np.frombuffer(row["counts"], np.int64)
+
+        def add(sizes, numbers):
+            """The scores of some of the texts, from the numbers of their words."""
             n = len(sizes)
-            text = np.repeat(np.arange(n), sizes)
-            pairs = text * max(1, len(counts)) + np.frombuffer(row["numbers"], np.int32)
+            pairs = np.repeat(np.arange(n), sizes) * max(1, len(counts)) + numbers
             pairs, times = np.unique(pairs, return_counts=True)
             doc, word = np.divmod(pairs, max(1, len(counts)))
             # the end of each text as one more pair
@@ -457,11 +466,22 @@ def score_texts(
                 share + urn_log_probabilities(doc_and_end, np.append(log_p[k][word], np.full(n, end)), times_and_end, n)
                 for k, (share, end) in enumerate(zip(shares, end_logs, strict=True))
             ]
-            out["id"] += pickle.loads(row["ids"])
             out["n_tokens"] += (sizes + 1).tolist()
             out["n_known"] += (np.bincount(doc, times * known[word], n) + (texts > 0)).astype(np.int64).tolist()
             out["base_score"] += (np.bincount(doc, times * base[word], n) + base_of(float(texts))).tolist()
             out["score"] += np.minimum(0.0, np.logaddexp.reduce(scores, axis=0) / np.log(10.0)).tolist()
+
+        for ids, sizes, numbers in zip(left["ids"], left["counts"], left["numbers"], strict=True):
+            out["id"] += pickle.loads(ids.as_buffer())
+            sizes = np.frombuffer(sizes.as_buffer(), np.int64)
+            numbers = np.frombuffer(numbers.as_buffer(), np.int32)
+            ends = np.cumsum(sizes)
+            begin = 0
+            while begin < len(sizes):  # some texts at a time
+                first = ends[begin] - sizes[begin]
+                end = max(begin + 1, int(np.searchsorted(ends, first + TOKENS_AT_ONCE, side="right")))
+                add(sizes[begin:end], numbers[first : ends[end - 1]])
+                begin = end
         types = [to_arrow_type(id_type), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
 
