@@ -60,6 +60,28 @@ def test_without_both_labels(spark):
         assert {r["score"] for r in score_toxicity(docs, model).collect()} == {score}
 
 
+def test_a_score_does_not_depend_on_which_label_is_sampled(spark):
+    """Of the texts with many exclamation marks a third is toxic, also when only clean rows are left out."""
+    rng = random.Random(5)
+    rows = []
+    for i, text in enumerate(t for _, t, _ in corpus(2400, seed=6)):
+        words = [w for w in text.split() if w not in BAD]
+        toxic = int(i % 6 == 0)
+        if i % 12 == 0 or (i % 6 in (1, 2) and i % 12 < 6 and not toxic):
+            words = [f"{w}!!" for w in words]
+        elif toxic:
+            words[rng.randrange(len(words))] = rng.choice(BAD)
+        rows.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    border = [r for r in rows if "!!" in r[1]]
+    share = sum(r[2] for r in border) / len(border)
+    assert share == pytest.approx(1 / 3)
+    for max_rows in (6000, 450):
+        model = fit_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), max_rows=max_rows)
+        scored = score_toxicity(docs.filter("text like '%!!%'"), model).collect()
+        assert sum(r["score"] for r in scored) / len(scored) == pytest.approx(share, abs=0.12)
+
+
 def test_features():
     lexicon = {"zulk": 3.0, "grobna*": 2.0}
     value = dict(zip(FEATURES, features("You are a ZULK, grobnarat! And z.u1k z0z", lexicon), strict=True))

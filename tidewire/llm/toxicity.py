@@ -6,9 +6,11 @@ words. The lexicon is learned from labelled rows: words, and beginnings of words
 any other texts have. Trees are fitted on one part of the rows and calibrated on another, by Spark's own
 estimators.
 
-Labelled rows are sampled: at most about ``max_rows`` of each label, whole texts, chosen by a hash of the
-id; texts with the same smallest shingle (copies, mostly) count once, so that a text with many copies does
-not become the lexicon. Scoring reads every text whole.
+Labelled rows are sampled: at most about ``max_rows`` of each label, whole texts; texts with the same
+smallest shingle (copies, mostly) count once and are chosen by a hash of it, so that a text with many copies
+does not become the lexicon. Each stands for as many distinct texts of its label as the sample leaves out,
+in the trees and in the calibration, so a score means the same however many rows there are. Scoring reads
+every text whole.
 
 Null and empty texts are scored like any other (all features 0). Rows whose label is null are left out; of
 several labels of an id the highest counts. Without both labels in the sample every score is the share of
@@ -125,31 +127,39 @@ class ToxicityModel:
     constant: float = 0.0
 
 
-def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """``label`` and ``text`` of a bounded sample of the labelled documents."""
+def _marked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``__mark``, the smallest shingle of the text; null texts count as empty."""
+    fields = [T.StructField("__mark", T.LongType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).fill_null("")
+            lowest = [int(signed(s[:1])[0]) if len(s) else 0 for _, s in sets_of(texts)]
+            yield appended(batch, fields, [lowest])
+
+    return with_columns(rows, fields, run)
+
+
+def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[DataFrame, dict[float, int]]:
+    """``label``, ``text`` and ``mark`` of a bounded sample of the distinct labelled texts, and how many
+    there are of each label."""
     marks = labels.filter("doc_id is not null and toxic is not null")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
-    marks = marks.withColumn("pick", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
     here = docs.select("doc_id", "text")
-    sizes = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
+    found = _marked(here).select("doc_id", F.col("__mark").alias("mark")).join(marks, "doc_id")
+    groups = found.groupBy("label", "mark").agg(F.min("doc_id").alias("doc_id"))
+    groups = materialize(groups, "toxicity-marks")
+    sizes = {r["label"]: r["count"] for r in groups.groupBy("label").count().collect()}
     limit = F.lit(0)
     for label, n in sizes.items():
         part = int(min(1.0, max_rows / n) * (1 << 30))
         limit = F.when(F.col("label") == label, part).otherwise(limit)
     # as many rows as ``max_rows`` allows, so it may be sent to all tasks
-    chosen = F.broadcast(marks.filter(F.col("pick") <= limit).select("doc_id", "label"))
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).fill_null("")
-            lowest = [int(signed(s[:1])[0]) if len(s) else 0 for _, s in sets_of(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), texts, pa.array(lowest, pa.int64())], names=["label", "text", "mark"]
-            )
-
-    found = here.join(chosen, "doc_id").select("label", "text")
-    found = found.mapInArrow(marked, "label double, text string, mark long")
-    return found.groupBy("label", "mark").agg(F.min("text").alias("text"))
+    chosen = F.broadcast(groups.filter(F.pmod(F.xxhash64("mark"), F.lit(1 << 30)) <= limit))
+    # of several texts of an id only the one that the mark is from
+    texts = _marked(here.join(chosen, "doc_id")).filter("mark = __mark")
+    texts = texts.groupBy("label", "mark").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return texts, sizes
 
 
 def _lexicon(sample: DataFrame, max_entries: int) -> dict[str, float]:
@@ -208,7 +218,8 @@ def fit_toxicity(
     docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTRIES
 ) -> ToxicityModel:
     """A model from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``toxic`` 0 or 1)."""
-    sample = materialize(_sample(docs, labels, max_rows), "toxicity-sample")
+    sample, whole = _sample(docs, labels, max_rows)
+    sample = materialize(sample, "toxicity-sample")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return ToxicityModel(constant=1.0 if 1.0 in sizes else 0.0)
@@ -218,16 +229,19 @@ def fit_toxicity(
         rows.select("label", (F.pmod(F.xxhash64("mark"), F.lit(CALIBRATION)) == 0).alias("held"), "__features"),
         "toxicity-features",
     )
-    vectors = rows.select("label", "held", array_to_vector("__features").alias("features"))
+    toxic, clean = (whole[label] / sizes[label] for label in (1.0, 0.0))
+    weight = F.when(F.col("label") == 1.0, toxic).otherwise(clean).alias("weight")
+    vectors = rows.select("label", "held", weight, array_to_vector("__features").alias("features"))
     fit, held = vectors.filter("not held"), vectors.filter("held")
     if fit.select("label").distinct().count() < 2:
         fit = vectors
-    trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=1, maxBins=64).fit(fit.coalesce(4))
+    trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=1, maxBins=64, weightCol="weight")
+    trees = trees.fit(fit.coalesce(4))
     raw = trees.transform(held)
-    raw = raw.select("label", vector_to_array("probability")[1].alias("raw"))
+    raw = raw.select("label", "weight", vector_to_array("probability")[1].alias("raw"))
     if held.select("label").distinct().count() < 2:
         return ToxicityModel(lexicon, trees)
-    calibration = IsotonicRegression(featuresCol="raw", labelCol="label").fit(raw)
+    calibration = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(raw)
     return ToxicityModel(lexicon, trees, calibration)
 
 
