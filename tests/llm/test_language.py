@@ -56,6 +56,42 @@ def test_bounds_of_the_sample(spark):
     assert all(r["lang"] == r["lang_pred"] for r in identify(probe, small).collect())
 
 
+def test_mislabelled_texts_do_not_loosen_the_limit(spark):
+    """Texts of a language left out of training are rejected, also with a few of them under other labels."""
+    rows = [(t, lang) for lang in ("aa", "bb") for t in texts(lang, 300)]
+    rows += [(t, lang) for lang in ("aa", "bb") for t in texts("cc", 12, seed=lang)]
+    rows += [(t, "few") for t in texts("aa", 4, seed=7)]
+    fitted = fit_languages(spark.createDataFrame(rows, "text string, lang string"))
+    assert np.isfinite(fitted.limit).all()
+    rng = random.Random(3)
+    mixed = ["".join(rng.choice("kalomitune") for _ in range(5)) for _ in range(400)]
+    foreign = [" ".join(mixed[i : i + 20]) for i in range(0, 400, 20)]
+    assert all(r for *_, r in fitted.predict(foreign))
+    own = [(t, lang) for lang in ("aa", "bb") for t in texts(lang, 30, 4)]
+    got = list(fitted.predict([t for t, _ in own]))
+    assert not any(r for *_, r in got)
+
+
+def test_limits_by_median():
+    """One held-back text far off, in a language of many, moves neither limit; few texts are pooled."""
+    fitted = LanguageModels(["aa", "bb", "cc"], [None] * 3)
+    rng = np.random.default_rng(1)
+    own = [rng.normal(1.4, 0.02, 200), rng.normal(1.5, 0.02, 200), np.array([1.45, 3.4])]
+    limits = []
+    for outlier in (1.4, 3.4):
+        own[0][0] = outlier
+        values = np.full((402, 3), 4.0)
+        truth = np.repeat([0, 1, 2], [200, 200, 2])
+        values[np.arange(402), truth] = np.concatenate(own)
+        given = iter(np.array_split(values, [100, 200, 300, 400]))
+        fitted.cross_entropies = lambda some, given=given: next(given)
+        fitted.calibrate(["abc"] * 402, [fitted.languages[j] for j in truth])
+        limits.append((*fitted.limit[:2], *fitted.spread[:2]))
+        assert np.isfinite(fitted.limit).all() and fitted.limit[2] < 3.4
+    assert limits[0] == pytest.approx(limits[1], rel=0.02)
+    assert all(x < 2 for x in limits[1][:2])
+
+
 def test_characters_follow_a_distribution(models):
     """After any context the probabilities of all characters sum to one."""
     model = models.models[0]

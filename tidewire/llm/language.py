@@ -36,6 +36,7 @@ UNDETERMINED = "und"
 MAX_TEXTS = 2000
 MAX_GRAMS = 200_000
 HELD_BACK = 5
+FEW = 20  # held-back texts below which a language takes the limits of all
 CACHED_GRAMS = 1 << 20  # n-grams of which a worker keeps the scores
 TEMPERATURES = (1, 2, 4, 8, 16, 32, 64)
 
@@ -213,7 +214,9 @@ class LanguageModels:
         """Fit the temperature of the scores and the limits of the rejection.
 
         The limit is far above what the held-back texts show: six standard deviations and a fifth
-        of the mean, and more for short texts.
+        of the median, and more for short texts. The deviations are formed from medians, so a
+        mislabelled or foreign text among many does not move them. Languages with fewer than ``FEW``
+        held-back texts take the deviations of all, and no lower centre than that of all.
         """
         pairs = [(letters(t), x) for t, x in zip(texts, languages, strict=True)]
         pairs = [(t, self.languages.index(x)) for t, x in pairs if t and x in self.languages]
@@ -232,14 +235,25 @@ class LanguageModels:
 
         self.temperature = float(min(TEMPERATURES, key=loss))
         own = entropies[np.arange(len(truth)), truth]
+        medians = np.full(len(self.languages), -np.inf)
+        for j in set(truth.tolist()):
+            medians[j] = np.median(own[truth == j])
+        # what all languages show, for those with few held-back texts
+        middle, apart = float(np.median(own)), own - medians[truth]
+        pooled = _deviations(apart, size)
         for j in range(len(self.languages)):
-            mine, n = own[truth == j], size[truth == j]
-            if len(mine) < 5:
-                continue
-            mean, std = float(np.median(mine)), float(mine.std())
-            self.limit[j] = max(1.2 * mean + 6 * std, 1.1 * float(mine.max()))
-            # the deviation of one character's share
-            self.spread[j] = 6 * float(np.sqrt(np.mean((mine - mean) ** 2 * n)))
+            mine = truth == j
+            enough = np.count_nonzero(mine) >= FEW
+            center = float(medians[j]) if enough else max(float(medians[j]), middle)
+            deviation, per_character = _deviations(apart[mine], size[mine]) if enough else pooled
+            self.limit[j] = 1.2 * center + 6 * deviation
+            self.spread[j] = 6 * per_character  # the deviation of one character's share
+
+
+def _deviations(apart: np.ndarray, size: np.ndarray) -> tuple[float, float]:
+    """Standard deviations of the differences and of one character's share, from the medians of their
+    absolute values, which single texts do not move."""
+    return 1.4826 * float(np.median(np.abs(apart))), 1.4826 * float(np.median(np.abs(apart) * np.sqrt(size)))
 
 
 def fit_languages(
