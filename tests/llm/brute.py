@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BY_SPACE = re.compile(rb"[^\x20\x09-\x0D]+")
 ALPHANUMERIC = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -93,3 +96,63 @@ def base_scores(rows):
         )
         for i, w in tokens.items()
     }
+
+
+def prefix_trie(rows, rebuilt=True):
+    """The trie's rows for turns of (conversation, turn, role, text), as a set."""
+    found = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            found.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    found = {c: [t[2:] for t in sorted(turns)] for c, turns in found.items()}
+    if rebuilt:
+        heads = {c: crc(c) % 6 for c in found}
+        found = {c: found.get(c - c % 100, [])[: heads[c]] + t[heads[c] :] for c, t in found.items()}
+    nodes, children = {}, {}
+    for c, turns in found.items():
+        for d in range(len(turns) + 1):
+            nodes.setdefault(tuple(turns[:d]), []).append(c)
+    for k in nodes:
+        if k:
+            children.setdefault(k[:-1], []).append(k)
+    leaves, saved, out = {}, {}, set()
+    for k in sorted(nodes, key=len, reverse=True):
+        below = children.get(k, [])
+        leaves[k] = sum(leaves[x] for x in below) or 1
+        saved[k] = sum(saved[x] for x in below) + ((len(nodes[k]) - 1) * len(k[-1][1]) if k else 0)
+        ends = ",".join(str(c) for c in sorted(nodes[k]) if len(found[c]) == len(k))
+        parent = min(nodes[k[:-1]]) if k else None
+        digest = hashlib.sha256(ends.encode()).hexdigest()
+        out.add((min(nodes[k]), len(k), parent, len(nodes[k]), len(below), leaves[k], saved[k], digest))
+    return out
+
+
+def whitened(rows, components=32):
+    """{(id, component): (n, deviation, whitened, explained)} for rows of (id, vector)."""
+    rows = [(i, v) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    x = np.floor(64 * np.array([v for _, v in rows], float)).astype(np.int64) + 1_000_000
+    n, sums = len(x), x.sum(axis=0)
+    centred = (n * x - sums) / n
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    z = centred @ vectors[:, :components] / np.sqrt(values[:components])
+    deviation = ((n * x - sums) ** 2).sum(axis=1)
+    return {
+        (i, k + 1): (n, int(deviation[r]), z[r, k], values[k] / values.sum())
+        for r, (i, _) in enumerate(rows)
+        for k in range(z.shape[1])
+    }
+
+
+def compare_whitened(got, expected):
+    """Rows by (id, component) against ``whitened``; each component may have the other sign."""
+    assert set(got) == set(expected)
+    for k in {k for _, k in expected}:
+        keys = sorted(key for key in expected if key[1] == k)
+        a = np.array([got[key]["whitened"] for key in keys])
+        b = np.array([expected[key][2] for key in keys])
+        assert min(np.abs(a - b).max(), np.abs(a + b).max()) < 1e-6
+    for key, (n, deviation, _, explained) in expected.items():
+        row = got[key]
+        assert (row["n"], row["deviation"]) == (n, deviation) and row["identity_error"] < 1e-9
+        assert abs(row["explained"] / explained - 1) < 1e-6

@@ -37,7 +37,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in llm.QUERIES)
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_op1(spark, documents):
@@ -115,3 +115,10 @@ def test_op10(spark, documents):
         assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (n, known, total)
         assert row["base_score"] == pytest.approx(base) and row["score"] <= 0
         assert row["held_out"] == (brute.crc(i) % 7 == 2)
+
+
+def test_op12(spark):
+    rows = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()
+    expected = brute.whitened([(r["vec_id"], r["embedding"]) for r in rows])
+    got = {(r["vec_id"], r["component"]): r for r in run(spark, "op12_whitening").collect()}
+    brute.compare_whitened(got, expected)

@@ -142,3 +142,99 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (crc32_of_id() % 7 == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens",
         "base_score", "score",
     )
+
+
+@_query(
+    sql="""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+a AS (
+  SELECT c, list({'r': r, 'x': x} ORDER BY p) AS v,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+           lambda crc, b: list_reduce(
+             list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+             lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384::BIGINT) ELSE y // 2 END))) % 6 AS h
+  FROM t GROUP BY c),
+rebuilt AS (
+  SELECT a.c, list_concat(coalesce(b.v, [])[1:a.h], a.v[a.h + 1:]) AS v
+  FROM a LEFT JOIN a AS b ON b.c = a.c - a.c % 100),
+heads AS (SELECT c, v, v[1:d] AS k, d FROM (SELECT c, v, unnest(range(0, len(v) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n,
+         sha256(coalesce(string_agg(CASE WHEN len(v) = d THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends
+  FROM heads GROUP BY k, d),
+children AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+facts AS (
+  SELECT nodes.*, coalesce(children.n, 0) AS kids, CASE WHEN nodes.d = 0 THEN 0 ELSE (nodes.n - 1) * length(nodes.k[-1].x) END AS saved
+  FROM nodes LEFT JOIN children ON children.d = nodes.d AND children.k = nodes.k),
+below AS (
+  SELECT k[1:j] AS k, j AS d, sum((kids = 0)::BIGINT)::BIGINT AS leaves, sum(saved)::BIGINT AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM facts) GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, below.leaves AS n_leaves,
+       below.saved AS saved_tokens, f.ends AS ends_sha256
+FROM facts f JOIN below ON below.d = f.d AND below.k = f.k
+     LEFT JOIN nodes p ON p.d = f.d - 1 AND p.k = f.k[1:f.d - 1]"""
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.trie import prefix_trie, sequences, with_shared_openings
+
+    return prefix_trie(with_shared_openings(sequences(_table(spark, sf_dir, "conversations"))))
+
+
+@_query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+@_query(
+    sql="""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS own FROM documents),
+n AS (
+  SELECT doc_id, own, length(own) // 3 AS moved,
+         coalesce(lead(own) OVER (ORDER BY doc_id DESC), first_value(own) OVER (ORDER BY doc_id DESC)) AS next
+  FROM d),
+e AS (
+  SELECT doc_id, own, substring(own, 1, length(own) - moved) || substring(next, 1, moved) AS edited, next FROM n),
+texts AS (SELECT DISTINCT t FROM (SELECT unnest([own, edited, next]) AS t FROM e)),
+clauses AS (
+  SELECT t, list_transform(string_split(t, chr(10)), lambda p: list_transform(
+           regexp_extract_all(p, '[^.,;:!?]*[.,;:!?]|[^.,;:!?]+'), lambda x: md5(x))) AS c
+  FROM texts),
+paragraphs AS (SELECT t, c, list_transform(c, lambda x: md5(array_to_string(x, ''))) AS p FROM clauses),
+shown AS (
+  SELECT t, list_distinct(list_transform(flatten(c), lambda x: x[:8])) AS leaves, p,
+         list_transform(range(1, len(p) + 1), lambda i: '|' || p[i][:12] || '='
+           || array_to_string(list_transform(c[i], lambda x: x[:8]), ',')) AS b
+  FROM paragraphs),
+sections AS (
+  SELECT t, leaves,
+         list_transform(string_split(rtrim(array_to_string(list_transform(p, lambda x: x
+           || CASE WHEN x < '4' THEN '/' ELSE '' END), ''), '/'), '/'), lambda x: md5(x)) AS s,
+         string_split(rtrim(array_to_string(list_transform(range(1, len(p) + 1), lambda i: b[i]
+           || CASE WHEN p[i] < '4' THEN '/' ELSE '' END), ''), '/'), '/') AS b
+  FROM shown),
+trees AS (
+  SELECT t, leaves, md5(array_to_string(s, '')) AS root,
+         md5(array_to_string(s, '')) || array_to_string(
+           list_transform(range(1, len(s) + 1), lambda i: '/' || s[i][:16] || b[i]), '') AS tree
+  FROM sections),
+pairs AS (
+  SELECT e.doc_id, e.own, e.edited, x.tree AS fingerprint, y.tree AS edited_fingerprint,
+         CASE WHEN x.root = y.root THEN 1.0e0 WHEN greatest(len(x.leaves), len(y.leaves)) = 0 THEN 0.0e0
+              ELSE len(list_intersect(x.leaves, y.leaves)) / greatest(len(x.leaves), len(y.leaves))::DOUBLE END AS near_edited,
+         CASE WHEN x.root = z.root THEN 1.0e0 WHEN greatest(len(x.leaves), len(z.leaves)) = 0 THEN 0.0e0
+              ELSE len(list_intersect(x.leaves, z.leaves)) / greatest(len(x.leaves), len(z.leaves))::DOUBLE END AS near_next
+  FROM e JOIN trees x ON x.t = e.own JOIN trees y ON y.t = e.edited JOIN trees z ON z.t = e.next)
+SELECT doc_id, length(own)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
+       near_edited, near_next
+FROM pairs"""
+)
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.merkle import edited_fingerprints
+
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
