@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -116,3 +117,60 @@ def test_repeated_rows_and_no_training(spark):
     assert [r[:4] for r in got] == [(1, 3, 0, 0), (1, 3, 0, 0), (2, 1, 0, 0)] and got[0] == got[1]
     assert got[2][4] == 0.0 and got[0][5] < got[2][5] <= 0
     assert score_texts(docs.limit(0), PATH).count() == 0
+
+
+def scores_by_hand(rows, spelled):
+    """{id: (score, lattice score)} word by word, for rows of (id, text, train, class)."""
+    end = object()
+    tokens = {i: [w.decode() for w in brute.words(t)] for i, t, _, _ in rows}
+    groups = {None: [i for i, _, train, _ in rows if train]}
+    for i, _, train, kind in rows:
+        if train and kind is not None:
+            groups.setdefault(kind, []).append(i)
+    counts = {k: Counter(w for i in ids for w in tokens[i]) for k, ids in groups.items()}
+    totals = {k: sum(c.values()) + len(groups[k]) for k, c in counts.items()}
+    ones, twos = (sum(n == k for n in counts[None].values()) for k in (1, 2))
+    d = ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def p(word, kind):
+        if word is end:
+            own = max(len(groups[kind]) - d, 1e-9 if kind is None else 0.0) / totals[kind]
+            return own if kind is None else own + d * len(counts[kind]) / totals[kind] * p(word, None)
+        lower = math.exp(spelled[word]) if kind is None else p(word, None)
+        taken = d * len(counts[kind]) / totals[kind] if counts[kind] else 1.0
+        return max(counts[kind][word] - d, 0.0) / totals[kind] + taken * lower
+
+    a = lattice_lm.CONCENTRATION
+    unclassed = len(groups[None]) - sum(len(v) for k, v in groups.items() if k is not None)
+    out = {}
+    for i, words in tokens.items():
+        total = 0.0
+        for kind in groups:
+            share = ((unclassed if kind is None else len(groups[kind])) + 1) / (len(groups[None]) + len(groups))
+            seen, chance = Counter(), math.log(share)
+            for k, w in enumerate([*words, end]):
+                chance += math.log((a * p(w, kind) + seen[w]) / (a + k))
+                seen[w] += 1
+            total += math.exp(chance)
+        stop = len(groups[None]) / totals[None]
+        alone = sum(spelled[w] / math.log(10) + math.log10(1 - stop) for w in words) + math.log10(stop)
+        out[i] = (math.log10(total), alone)
+    return out
+
+
+@pytest.mark.parametrize("classes", [1, 20])
+def test_scores_by_hand(spark, classes):
+    rng = random.Random(classes)
+    rows = [
+        (i, " ".join(rng.choice("ab ba abba Baba é ing er".split()) for _ in range(rng.randint(0, 12))), i % 5 != 0,
+         rng.choice([None, *[f"class {k}" for k in range(classes)]]))
+        for i in range(120)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean, kind string")
+    got = score_texts(docs, PATH, class_column="kind", rounds=0).collect()
+    lattice = lattice_of(*piece_scores(PATH))
+    words = sorted({w.decode() for _, t, _, _ in rows for w in brute.words(t)})
+    spelled = dict(zip(words, word_log_probabilities(lattice, words).tolist(), strict=True))
+    expected = scores_by_hand(rows, spelled)
+    for r in got:
+        assert (r["score"], r["lattice_score"]) == pytest.approx(expected[r["doc_id"]], rel=1e-4)

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.flat import sets_of, signed
+from tidewire.llm.frames import released, small_batches
 from tidewire.llm.graph import components
 from tidewire.settings import materialize
 
@@ -100,7 +101,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     names = ["id", "n", "digest", "chunk", "counts"]
     id_arrow = to_arrow_type(docs.schema["id"].dataType)
     id_type = docs.schema["id"].dataType.simpleString()
-    out = docs.mapInArrow(run, f"id {id_type}, n long, digest long, chunk int, counts binary")
+    out = docs.mapInArrow(lambda b: released(run(b)), f"id {id_type}, n long, digest long, chunk int, counts binary")
     return materialize(out, "shingle-sets")
 
 
@@ -137,9 +138,8 @@ def needed(n: str, percent: int) -> str:
     return f"(1 + (({n} * {percent} + 99) div 100) div {SPARE})"
 
 
-def _postings(docs: DataFrame, levels: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """The tokens of each class that can matter, once per task and class."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def _postings(docs: DataFrame, shared, shingle: int, percent: int) -> DataFrame:
+    """The tokens of each class that can matter, once per task and class; ``shared`` holds the levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
@@ -175,7 +175,7 @@ def _postings(docs: DataFrame, levels: np.ndarray, shingle: int, percent: int) -
             if found:
                 yield flush()
 
-    return docs.mapInArrow(run, "token long, digest long")
+    return docs.mapInArrow(lambda b: released(run(b)), "token long, digest long")
 
 
 def _shared(
@@ -226,7 +226,7 @@ def _sets_of_classes(docs: DataFrame, classes: DataFrame, shingle: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests = batch.column(0).to_pylist()
+            digests = np.asarray(batch.column(0)).tolist()
             found = [
                 (digests[i], _packed(tokens))
                 for i, tokens in sets_of(batch.column(1), shingle)
@@ -242,8 +242,10 @@ def _sets_of_classes(docs: DataFrame, classes: DataFrame, shingle: int) -> DataF
     id_type = docs.schema["id"].dataType.simpleString()
     texts = texts.mapInArrow(chosen, f"id {id_type}, text string")
     texts = texts.join(classes.select("id", "digest").hint("shuffle_hash"), "id")
-    sets = texts.select("digest", "text").mapInArrow(run, "digest long, tokens binary")
-    return materialize(sets, "class-sets")
+    sets = texts.select("digest", "text").mapInArrow(lambda b: released(run(b)), "digest long, tokens binary")
+    sets = materialize(sets, "class-sets")
+    shared.destroy()
+    return sets
 
 
 def _packed(tokens: np.ndarray) -> bytes:
@@ -280,7 +282,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("digest").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("digest").alias("b"), F.col("tokens").alias("y"))
     sides = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return materialize(sides.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
+    return materialize(sides.mapInArrow(lambda b: released(run(b)), "a long, b long").distinct(), "jaccard-links")
 
 
 def _parts(classes: DataFrame, roots: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -341,8 +343,8 @@ def _between_parts(opened: DataFrame, member: DataFrame, sets: DataFrame, percen
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                da, db = _part_links(x, y, percent)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                da, db = _part_links(x.as_py(), y.as_py(), percent)
                 a.append(da)
                 b.append(db)
             a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
@@ -358,7 +360,7 @@ def _between_parts(opened: DataFrame, member: DataFrame, sets: DataFrame, percen
     left = parts.select(F.col("part").alias("p"), whole.alias("x"))
     right = parts.select(F.col("part").alias("q"), whole.alias("y"))
     both = opened.join(left, "p").join(right, "q").select("x", "y")
-    return materialize(both.mapInArrow(compared, "a long, b long").distinct(), "links-between-parts")
+    return materialize(both.mapInArrow(lambda b: released(compared(b)), "a long, b long").distinct(), "links-between-parts")
 
 
 def _part_links(x: dict, y: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -392,6 +394,7 @@ def jaccard_components(
 ) -> DataFrame:
     """Per row the id, ``n_shingles`` (size of its set) and ``component_id``: the smallest id that
     can be reached by links, itself included."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     found = _sets(docs, shingle)
     documents = found.filter("chunk is null")
@@ -399,9 +402,10 @@ def jaccard_components(
     classes = materialize(
         named.groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n")), "classes"
     )
-    levels = _levels(found.filter("chunk is not null"))
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(found.filter("chunk is not null")))
     known = docs.filter("id is not null and text is not null")
     lists, able = _shared(_postings(known, levels, shingle, percent), classes, percent)
+    levels.destroy()
     sets = _sets_of_classes(docs, able, shingle)
     hubs = lists.groupBy("hub", "digest").agg(F.count("*").alias("common"))
     hubs = materialize(hubs, "hubs")

@@ -22,7 +22,8 @@ blocks. Only the piece weights, a number per piece of the fixed vocabulary, pass
 
 Words are runs of anything but ASCII white space, A-Z lower-cased; every text has one end besides. Null is
 the empty text: only the end. Repeated rows count each. A training row without a class counts for the
-general model only; of more than ``MAX_CLASSES`` classes the most frequent ones are told apart. Without training rows
+general model only. Class counts are rows (class, word, count), so there may be any number of classes; every
+text is scored by each of them, and a row per class passes through the driver. Without training rows
 the words have their lattice probability, the end has probability one and all base counts are zero. An
 empty table gives an empty result; other columns are ignored.
 """
@@ -35,19 +36,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewire.llm.flat import flat_bytes, mixed, row_slices, signed, word_bounds, word_hashes
+from tidewire.llm.frames import released, small_batches
 from tidewire.settings import materialize, scratch_path
 
-BLOCK_BYTES = 16 << 20  # text of a block; a longer text is a block of its own
+BLOCK_BYTES = 4 << 20  # text of a block; a longer text is a block of its own
 ROUNDS = 2  # of re-estimation
 WORDS_AT_ONCE = 20_000
-TOKENS_AT_ONCE = 1 << 18
+ROWS_AT_ONCE = 50_000
 CONCENTRATION = 3000.0  # words of the urn before the first draw
-MAX_CLASSES = 16
 PRIOR = 1000.0  # weight of the vocabulary's own scores, in words
 WORD_START = "▁"
 
@@ -223,9 +225,9 @@ def expected_pieces(lattice: Lattice, words: list[str]) -> tuple[np.ndarray, flo
     return total, ends
 
 
-def _blocks(docs: DataFrame, classes: int) -> DataFrame:
+def _blocks(docs: DataFrame) -> DataFrame:
     """One row per block: ids, word numbers of all texts, and the block's vocabulary with its counts in
-    all training texts and in those of each class."""
+    all training texts and, where there are any, in those of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -248,57 +250,95 @@ def _blocks(docs: DataFrame, classes: int) -> DataFrame:
                     counts.append(n)
                 hashes, counts = np.concatenate(hashes), np.concatenate(counts)
                 train = np.asarray(batch.column(2).slice(begin, end - begin).fill_null(False))
-                kind = np.asarray(batch.column(3).slice(begin, end - begin).fill_null(-1))
-                distinct, inverse, n = np.unique(hashes, return_inverse=True, return_counts=True)
+                distinct, n = np.unique(hashes, return_counts=True)
                 order = np.argsort(-n, kind="stable")  # frequent words get small numbers
                 place = np.empty(len(order), np.int32)
                 place[order] = np.arange(len(order), dtype=np.int32)
-                numbers = place[inverse]
-                marks = [train, *[train & (kind == k) for k in range(classes)]]
-                trained = [np.bincount(numbers, np.repeat(m, counts), len(order)) for m in marks]
+                numbers = place[np.searchsorted(distinct, hashes).astype(np.int32)]
+                del hashes
+                learned = np.repeat(train, counts)
+                trained = np.bincount(numbers[learned], minlength=len(order))
                 row = [
                     pickle.dumps(batch.column(0).slice(begin, end - begin).to_pylist()),
                     counts.tobytes(), numbers.tobytes(),
                     b"\n".join([words[h] for h in distinct[order].tolist()]),
-                    np.array(trained).astype(np.int64).tobytes(),
+                    trained.astype(np.int64).tobytes(),
+                    pickle.dumps(_by_class(batch.column(3).slice(begin, end - begin), train, counts, numbers)),
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64()), *[pa.array([v], pa.binary()) for v in row]],
-                    names=["block", "ids", "counts", "numbers", "words", "trained"],
+                    names=["block", "ids", "counts", "numbers", "words", "trained", "classes"],
                 )
                 number += 1
 
-    schema = "block long, ids binary, counts binary, numbers binary, words binary, trained binary"
+    schema = (
+        "block long, ids binary, counts binary, numbers binary, words binary, trained binary, classes binary"
+    )
     path = scratch_path(docs.sparkSession, "text-blocks")
-    docs.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    blocks = docs.mapInArrow(lambda batches: released(run(batches)), schema)
+    blocks.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
-def _vocabulary(blocks: DataFrame, classes: int) -> DataFrame:
-    """Each distinct ``word`` of a block with its hash ``key``, the ``block``, its ``number`` there and its
-    training counts there, ``n0`` in all texts and ``n1`` and on in those of each class."""
-    counts = [f"n{k}" for k in range(classes + 1)]
+def _by_class(kinds: pa.Array, train: np.ndarray, counts: np.ndarray, numbers: np.ndarray) -> list[tuple]:
+    """Per class that training texts of a block have, the numbers of its words and how often they occur."""
+    known = np.asarray(kinds.is_valid()) & train
+    kind = np.asarray(kinds.fill_null(0))
+    found = []
+    for k in np.unique(kind[known]).tolist():
+        mine = np.repeat(known & (kind == k), counts)
+        words, n = np.unique(numbers[mine], return_counts=True)
+        found.append((k, words.astype(np.int32), n.astype(np.int32)))
+    return found
+
+
+def _keys(words: bytes) -> np.ndarray:
+    data = np.frombuffer(words, np.uint8)
+    return signed(word_hashes(data, np.array([0, len(data)]))[0])
+
+
+def _vocabulary(blocks: DataFrame) -> DataFrame:
+    """Each distinct ``word`` of a block with its hash ``key``, the ``block``, its ``number`` there and ``n0``,
+    its count in the block's training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words, trained in zip(*batch.columns, strict=True):
-                n = np.frombuffer(trained.as_py(), np.int64).reshape(classes + 1, -1)
-                data = np.frombuffer(words.as_py(), np.uint8)
-                keys = signed(word_hashes(data, np.array([0, len(data)]))[0])
-                words = words.as_py().split(b"\n") if n.shape[1] else []
-                for begin in range(0, len(words), 50_000):
-                    some = words[begin : begin + 50_000]
+                n = np.frombuffer(trained.as_py(), np.int64)
+                keys = _keys(words.as_py())
+                words = words.as_py().split(b"\n") if len(n) else []
+                for begin in range(0, len(words), ROWS_AT_ONCE):
+                    some = words[begin : begin + ROWS_AT_ONCE]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[begin : begin + 50_000]), pa.array(some, pa.binary()),
+                        [pa.array(keys[begin : begin + ROWS_AT_ONCE]), pa.array(some, pa.binary()),
                          pa.array(np.full(len(some), block.as_py())),
                          pa.array(np.arange(begin, begin + len(some), dtype=np.int32)),
-                         *[pa.array(x[begin : begin + 50_000]) for x in n]],
-                        names=["key", "word", "block", "number", *counts],
+                         pa.array(n[begin : begin + ROWS_AT_ONCE])],
+                        names=["key", "word", "block", "number", "n0"],
                     )
 
     rows = blocks.select("block", "words", "trained")
-    schema = "key long, word binary, block long, number int, " + ", ".join(f"{c} long" for c in counts)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "key long, word binary, block long, number int, n0 long")
+
+
+def _class_words(blocks: DataFrame) -> DataFrame:
+    """``key``, ``kind``, ``c``: how often training texts of each class have each word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, classes in zip(*batch.columns, strict=True):
+                keys = _keys(words.as_py())
+                for kind, numbers, n in pickle.loads(classes.as_buffer()):
+                    for begin in range(0, len(n), ROWS_AT_ONCE):
+                        some = numbers[begin : begin + ROWS_AT_ONCE]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(keys[some]), pa.array(np.full(len(some), kind)),
+                             pa.array(n[begin : begin + ROWS_AT_ONCE].astype(np.int64))],
+                            names=["key", "kind", "n"],
+                        )
+
+    rows = blocks.select("words", "classes").mapInArrow(run, "key long, kind long, n long")
+    return materialize(rows.groupBy("key", "kind").agg(F.sum("n").alias("c")), "class-words")
 
 
 def _decoded(column: pa.Array) -> list[str]:
@@ -327,6 +367,7 @@ def _reestimated(words: DataFrame, lattice: Lattice, rounds: int) -> Lattice:
 
         found = words.filter("c0 > 0").select("word").mapInArrow(run, "piece long, n double")
         sums = {r["piece"]: r["n"] for r in found.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+        shared.destroy()
         ends = sums.pop(-1, 0.0) + PRIOR * prior_ends
         weight = PRIOR * own
         for piece, n in sums.items():
@@ -366,53 +407,49 @@ def urn_log_probabilities(
     return np.bincount(doc, value, texts) - (_log_gamma(start + drawn) - _log_gamma(start))
 
 
-def _shares(docs: DataFrame, max_classes: int) -> tuple[int, dict[str, int]]:
-    """The number of training texts, and of those of each class that is told apart."""
-    sizes = docs.filter("train").groupBy("class").count()
-    texts = sizes.agg(F.sum("count")).first()[0] or 0
-    top = sizes.filter("class is not null").orderBy(F.desc("count"), "class").limit(max_classes)
-    return texts, {r["class"]: r["count"] for r in top.collect()}
-
-
 def score_texts(
     docs: DataFrame, vocabulary_path: str, *, id_column: str = "doc_id", text_column: str = "text",
     train_column: str = "train", class_column: str | None = None, rounds: int = ROUNDS,
-    max_classes: int = MAX_CLASSES,
 ) -> DataFrame:
     """Per row the id, its tokens and the log10 probability of its text.
 
     Rows with a true ``train_column`` are learned from. ``n_tokens`` counts the words and the end,
     ``n_known`` those that the training texts have, ``train_tokens`` all tokens of the training texts.
     ``base_score`` is the score of a plain word model with one added to each count, ``score`` that of the
-    lattice model.
+    lattice model, ``lattice_score`` that of the lattice alone: no word has a count of its own, its
+    probability is the sum over its segmentations.
     """
+    small_batches(docs.sparkSession)
     kind = F.lit(None) if class_column is None else F.col(class_column)
+    train = F.coalesce(F.col(train_column), F.lit(False))
     chosen = docs.select(
-        F.col(id_column).alias("id"), F.col(text_column).alias("text"),
-        F.coalesce(F.col(train_column), F.lit(False)).alias("train"), kind.cast("string").alias("class"),
+        F.col(id_column).alias("id"), F.col(text_column).alias("text"), train.alias("train"),
+        F.when(kind.isNotNull(), F.xxhash64(kind.cast("string"))).alias("kind"),
     )
     id_type = chosen.schema["id"].dataType
-    texts, classes = _shares(chosen, max_classes)
-    number = F.lit(-1)
-    for k, name in enumerate(classes):
-        number = F.when(F.col("class") == name, k).otherwise(number)
-    # ends of texts by model: the general one and the classes
-    ends = [texts, *classes.values()]
-    blocks = _blocks(chosen.withColumn("class", number), len(classes))
-    vocabulary = _vocabulary(blocks, len(classes))
-    models = range(len(ends))
-    sums = [F.sum(f"n{k}").alias(f"c{k}") for k in models]
-    words = materialize(vocabulary.groupBy("word").agg(*sums), "words")
+    trained = chosen.filter("train").groupBy("kind").agg(F.count("*").alias("texts"))
+    texts_of = {r["kind"]: r["texts"] for r in trained.collect()}  # a row per class
+    texts = sum(texts_of.values())
+    blocks = _blocks(chosen)
+    vocabulary = _vocabulary(blocks)
+    words = vocabulary.groupBy("word").agg(F.first("key").alias("key"), F.sum("n0").alias("c0"))
+    words = materialize(words, "words")
     facts = words.agg(
-        *[F.count(F.when(F.col(f"c{k}") > 0, 1)).alias(f"v{k}") for k in models],
-        *[F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"t{k}") for k in models],
+        F.count(F.when(F.col("c0") > 0, 1)).alias("distinct"), F.coalesce(F.sum("c0"), F.lit(0)).alias("tokens"),
         F.count(F.when(F.col("c0") == 1, 1)).alias("ones"), F.count(F.when(F.col("c0") == 2, 1)).alias("twos"),
     ).first()
-    tokens = [facts[f"t{k}"] + ends[k] for k in models]  # N, ends included
-    distinct = facts["v0"] + (1 if texts else 0)  # V
+    class_words = _class_words(blocks)
+    by_class = class_words.groupBy("kind").agg(F.count("*").alias("distinct"), F.sum("c").alias("tokens"))
+    seen = {r["kind"]: (r["distinct"], r["tokens"]) for r in by_class.collect()}
+    classes = sorted(k for k in texts_of if k is not None)
+    # by model, the general one first: ends of texts, distinct words and tokens (ends included)
+    ends = [texts, *[texts_of[k] for k in classes]]
+    counted = [(facts["distinct"], facts["tokens"]), *[seen.get(k, (0, 0)) for k in classes]]
+    tokens = [n + e for (_, n), e in zip(counted, ends, strict=True)]
+    distinct = facts["distinct"] + (1 if texts else 0)  # V
     ones, twos = facts["ones"], facts["twos"]
     discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-    taken = [discount * facts[f"v{k}"] / tokens[k] if facts[f"v{k}"] else 1.0 for k in models]
+    taken = [discount * v / n if v else 1.0 for (v, _), n in zip(counted, tokens, strict=True)]
     lattice = _reestimated(words, lattice_of(*piece_scores(vocabulary_path)), rounds)
     shared = docs.sparkSession.sparkContext.broadcast(lattice)
 
@@ -427,69 +464,77 @@ def score_texts(
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = np.frombuffer(b"\n".join(batch.column(0).to_pylist()), np.uint8)
-            keys = word_hashes(data, np.array([0, len(data)]))[0]
             spelled = word_log_probabilities(shared.value, _decoded(batch.column(0)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(keys)), pa.array(spelled.astype(np.float32)), *batch.columns[1:]],
-                names=["key", "spelled", *[f"c{k}" for k in models]],
+                [*batch.columns[1:], pa.array(spelled.astype(np.float32))], names=["key", "c0", "spelled"]
             )
 
     # counts are mostly small, so they move in less space than the probabilities made of them
-    counts_of = ", ".join(f"c{k} long" for k in models)
-    values = words.mapInArrow(scored, f"key long, spelled float, {counts_of}")
-    values = materialize(values, "word-scores")
+    values = words.select("word", "key", "c0").mapInArrow(scored, "key long, c0 long, spelled float")
+    own = class_words.groupBy("key").agg(F.collect_list("kind").alias("kinds"), F.collect_list("c").alias("counts"))
+    values = materialize(values.join(own, "key", "left"), "word-scores")
+    shared.destroy()
     local = vocabulary.select("key", "block", "number").join(values, "key").drop("key")
     # the end is a word like the others, but no piece spells it
     end_general = float(np.log(max(texts - discount, 1e-9) / tokens[0])) if texts else 0.0
-    end_logs = [end_general, *[float(mixed_log(np.float64(ends[k]), end_general, k)) for k in models if k]]
-    shares = np.log((np.array([texts - sum(classes.values()), *classes.values()]) + 1.0) / (texts + len(ends)))
+    end_logs = [end_general]
+    end_logs += [float(mixed_log(np.float64(e), end_general, k)) for k, e in enumerate(ends) if k]
+    unclassed = texts - sum(ends[1:])
+    shares = np.log((np.array([unclassed, *ends[1:]]) + 1.0) / (texts + len(ends)))
+    share_of_end = float(np.log10(texts / tokens[0])) if texts else 0.0
 
     def per_text(key, left, right):
+        right = right.combine_chunks()
         order = np.argsort(np.asarray(right["number"]))
-        counts = np.asarray(right["c0"])[order].astype(float)
-        base, known = base_of(counts), counts > 0
-        log_p = [mixed_log(counts, np.asarray(right["spelled"])[order].astype(float), 0)]
-        log_p += [mixed_log(np.asarray(right[f"c{k}"])[order], log_p[0], k) for k in models if k]
-        out = {n: [] for n in ("id", "n_tokens", "n_known", "base_score", "score")}
-
-        def add(sizes, numbers):
-            """The scores of some of the texts, from the numbers of their words."""
+        spelled = np.asarray(right["spelled"])[order].astype(float)
+        general = np.asarray(right["c0"])[order]
+        lists = [right[c].combine_chunks() for c in ("kinds", "counts")]
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists[0]), 0))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        owner = np.repeat(place, sizes)
+        kinds, counts = (np.asarray(x.flatten()) for x in lists)
+        base, known = base_of(general.astype(float)), general > 0
+        log_general = mixed_log(general.astype(float), spelled, 0)
+        out = {n: [] for n in ("id", "n_tokens", "n_known", "base_score", "score", "lattice_score")}
+        for ids, sizes, numbers in zip(left["ids"], left["counts"], left["numbers"], strict=True):
+            sizes = np.frombuffer(sizes.as_buffer(), np.int64)
             n = len(sizes)
-            pairs = np.repeat(np.arange(n), sizes) * max(1, len(counts)) + numbers
+            width = max(1, len(general))
+            pairs = np.repeat(np.arange(n), sizes) * width + np.frombuffer(numbers.as_buffer(), np.int32)
             pairs, times = np.unique(pairs, return_counts=True)
-            doc, word = np.divmod(pairs, max(1, len(counts)))
+            doc, word = np.divmod(pairs, width)
             # the end of each text as one more pair
-            every = np.arange(n)
-            doc_and_end, times_and_end = np.append(doc, every), np.append(times, np.ones(n, np.int64))
-            scores = [
-                share + urn_log_probabilities(doc_and_end, np.append(log_p[k][word], np.full(n, end)), times_and_end, n)
-                for k, (share, end) in enumerate(zip(shares, end_logs, strict=True))
-            ]
+            doc_and_end, times_and_end = np.append(doc, np.arange(n)), np.append(times, np.ones(n, np.int64))
+            total = np.full(n, -np.inf)
+            for k, (share, end) in enumerate(zip(shares, end_logs, strict=True)):
+                log_p = log_general
+                if k:
+                    mine = kinds == classes[k - 1]
+                    in_class = np.zeros(len(general))
+                    in_class[owner[mine]] = counts[mine]
+                    log_p = mixed_log(in_class, log_general, k)
+                drawn = urn_log_probabilities(doc_and_end, np.append(log_p[word], np.full(n, end)), times_and_end, n)
+                total = np.logaddexp(total, share + drawn)
+            out["id"] += pickle.loads(ids.as_buffer())
             out["n_tokens"] += (sizes + 1).tolist()
             out["n_known"] += (np.bincount(doc, times * known[word], n) + (texts > 0)).astype(np.int64).tolist()
             out["base_score"] += (np.bincount(doc, times * base[word], n) + base_of(float(texts))).tolist()
-            out["score"] += np.minimum(0.0, np.logaddexp.reduce(scores, axis=0) / np.log(10.0)).tolist()
-
-        for ids, sizes, numbers in zip(left["ids"], left["counts"], left["numbers"], strict=True):
-            out["id"] += pickle.loads(ids.as_buffer())
-            sizes = np.frombuffer(sizes.as_buffer(), np.int64)
-            numbers = np.frombuffer(numbers.as_buffer(), np.int32)
-            ends = np.cumsum(sizes)
-            begin = 0
-            while begin < len(sizes):  # some texts at a time
-                first = ends[begin] - sizes[begin]
-                end = max(begin + 1, int(np.searchsorted(ends, first + TOKENS_AT_ONCE, side="right")))
-                add(sizes[begin:end], numbers[first : ends[end - 1]])
-                begin = end
-        types = [to_arrow_type(id_type), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            out["score"] += np.minimum(0.0, total / np.log(10.0)).tolist()
+            alone = np.bincount(doc, times * spelled[word], n) / np.log(10.0)
+            # the lattice spells words; between them stands the chance that a text goes on or ends
+            goes_on = sizes * np.log10(max(1.0 - 10.0**share_of_end, 1e-300)) if texts else 0.0
+            out["lattice_score"] += (alone + goes_on + share_of_end).tolist()
+        types = [to_arrow_type(id_type), pa.int64(), pa.int64(), *[pa.float64()] * 3]
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
 
-    texts_of = blocks.select("block", "ids", "counts", "numbers")
-    result = texts_of.groupBy("block").cogroup(local.groupBy("block")).applyInArrow(
-        per_text, f"id {id_type.simpleString()}, n_tokens long, n_known long, base_score double, score double"
-    )
+    rows = blocks.select("block", "ids", "counts", "numbers")
+    result = rows.groupBy("block").cogroup(local.groupBy("block")).applyInArrow(
+        per_text,
+        f"id {id_type.simpleString()}, n_tokens long, n_known long, base_score double, score double, "
+        "lattice_score double",
+    )
     return result.select(
         F.col("id").alias(id_column), "n_tokens", "n_known",
-        F.lit(int(tokens[0])).cast("long").alias("train_tokens"), "base_score", "score",
+        F.lit(int(tokens[0])).cast("long").alias("train_tokens"), "base_score", "score", "lattice_score",
     )
