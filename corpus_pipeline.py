@@ -2,7 +2,12 @@
 
 Every stage works on all rows its predecessor kept and drops whole rows: texts of no known language, toxic
 texts, all but one of each group of near copies, texts that hold benchmark passages. The last turns the rest
-into tokens. A row without an id is never dropped as a copy.
+into tokens.
+
+In every stage rows are judged by their text, each for itself, so repeated rows, repeated ids and null ids
+need no care (the second and the third stage say what ids mean to them). A null text counts as empty. Empty
+tables give empty tables. Columns of any name are kept as they are, those that clash with an operator's own
+included, and names with dots too; the last stage returns its own columns only.
 """
 
 from __future__ import annotations
@@ -28,39 +33,67 @@ def _carried(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the models know; the others are rejected."""
+    """Documents in a language that the models know; the others are rejected.
+
+    Null and empty texts and texts without letters have no language and go, of very long texts all letters
+    count. The models learn from rows with a text and a ``lang``; without any, all rows go.
+    """
     models = fit_languages(docs.filter(crc32_of_id() % 5 != 0))
     return identify(_carried(docs), models).filter("not rejected").select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not toxic."""
+    """Documents that are not toxic.
+
+    A null or empty text gets the score of one without any features. Labels of null or unknown ids teach
+    nothing; a label of a repeated id belongs to all its texts. Without labels of both kinds nothing goes.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc32_of_id() % 3 != 1)
     model = fit_toxicity(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
     return score_toxicity(_carried(docs), model).filter("predicted = 0").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id; of rows with one id, one."""
-    found = jaccard_components(docs.select("doc_id", "text"))
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
-    alone = Window.partitionBy("doc_id").orderBy("doc_id")
-    rows = rows.withColumn("__row", F.row_number().over(alone)).filter("__row = 1").drop("__row")
-    return rows.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One document of each group of near copies: the one with the smallest id, null ids last.
+
+    Groups are formed by text, whatever the ids: of repeated rows one stays, rows of one id with different
+    texts are different documents, and rows without an id are copies like others. Of rows with the same
+    id and text any one stays. Texts without words belong to no group and all stay.
+    """
+    mark = F.xxhash64("text")
+    rows = _carried(docs).withColumns({"id": F.col("row.doc_id"), "mark": mark})
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    some = rows.filter(worded)
+    found = jaccard_components(some.select("mark", "text"), id_column="mark")
+    groups = found.select("mark", F.col("component_id").alias("component")).distinct()
+    groups = materialize(groups, "copy-groups")
+    keys = some.select("id", "mark").distinct().join(groups, "mark")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "mark")).alias("first")
+    kept = materialize(keys.groupBy("component").agg(first).select("first.*"), "kept-copies")
+    same = F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.mark") == F.col("k.mark"))
+    single = some.alias("r").join(kept.hint("shuffle_hash").alias("k"), same, "left_semi")
+    single = single.select("row", "id", "mark").dropDuplicates(["id", "mark"]).select("row.*")
+    return single.unionByName(rows.filter(~worded).select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage. Decided by the text alone, so by a hash of it."""
-    marked = docs.withColumn("__mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """Documents without a benchmark passage. Decided by the text alone, so by a hash of it.
+
+    Null and empty texts and texts without words hold no passage and stay; items without an id or words
+    are no passages.
+    """
+    marked = _carried(docs).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contamination(marked.select("__mark", "text"), items, id_column="__mark")
-    bad = materialize(found.filter("contaminated").select(F.col("doc_id").alias("__mark")).distinct(), "contaminated")
-    return marked.join(bad, "__mark", "left_anti").select(*docs.columns)
+    found = contamination(marked.select("mark", "text"), items, id_column="mark")
+    bad = materialize(found.filter("contaminated").select(F.col("doc_id").alias("mark")).distinct(), "contaminated")
+    return marked.join(bad, "mark", "left_anti").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of each document, with digests of the ids and of the text they decode to."""
+    """The tokens of each document, with digests of the ids and of the text they decode to.
+
+    One row for each row, null ids and repeated rows included; a null or empty text has no tokens.
+    """
     outputs = ("n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
     return encode_decode(docs.select("doc_id", "text"), VOCABULARY, outputs).drop("text")
 

@@ -59,3 +59,18 @@ def test_a_long_conversation_has_parts(spark, monkeypatch):
 def test_empty_table(spark):
     table = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert format_chats(table).count() == 0
+
+
+def test_long_conversation_equals_sql(spark, tmp_path):
+    """The SQL of the query and the operator cut at the same turns."""
+    import oracle
+    from tidewire.llm.queries import ORACLES, QUERIES
+
+    rows = [(1, t, "user", f"t{t}") for t in range(1025)] + [(2, 0, "user", "t0"), (3, 0, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(
+        f"{tmp_path}/conversations.parquet"
+    )
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    df = QUERIES["op5_chat"](spark, str(tmp_path))
+    assert oracle.difference(df, con, ORACLES["op5_chat"]) is None and df.count() == 3

@@ -78,3 +78,11 @@ def test_few_rows(spark, rows):
     got = sorted(map(tuple, near_vectors(table).collect()))
     links = len(rows) - 1
     assert got == [(i, links, i, i is not None) for i, _, _ in rows]
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(1, [1e200] * 4), (2, [2e200] * 4), (3, [1e-200] * 4), (4, [2e-200] * 4), (5, [1.0] * 4), (6, [5e-324, 0.0, 0.0, 0.0])]
+    rows += [(7, [-1e300, 1e300, 0.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(df).collect()}
+    assert got == {**{i: (4, 1) for i in range(1, 6)}, 6: (0, 6), 7: (0, 7)}

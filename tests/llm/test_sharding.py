@@ -66,3 +66,17 @@ def test_slots_over_many_parts(spark, monkeypatch, rows):
     monkeypatch.setattr("tidewire.llm.sharding.SLOT_ROWS", rows)
     data = [(i, f"text {i % 70}") for i in range(200)]
     check(data, result(spark, data))
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, "seven x")] * 800,
+    [(1, "y" * 1000)] * 400 + [(1000 + i, "z" * (i % 50)) for i in range(400)],
+    [(None, None)] * 800 + [(i, "few") for i in range(12)],
+    [(i, "the same for all") for i in range(4000)],
+])
+def test_repeated_rows_are_spread(spark, rows):
+    got = result(spark, rows)
+    load = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert len(got) == len(rows) and max(abs(x - sum(load) / 8) for x in load) <= max(0.01 * sum(load) / 8, max(r["size"] for r in got))
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tidewire.llm import toxicity
 from tidewire.llm.toxicity import FEATURES, entries_of, features, fit_toxicity, score_toxicity
 
 BAD = ["grobnarat", "grobnalim", "zulk", "fesh"]
@@ -91,3 +92,11 @@ def test_features():
     assert value["shouting"] == pytest.approx(1 / 11) and value["obfuscated_density"] == pytest.approx(2 / 11)
     assert features(None, lexicon) == features("", lexicon) == [0.0] * len(FEATURES)
     assert list(entries_of("abcdef")) == ["abcdef", "abcd*", "abcde*"]
+
+
+@pytest.mark.parametrize("n", [60, 4000])
+def test_rare_sure_words_are_learned_at_every_size(spark, n):
+    """A word of ten toxic texts enters the lexicon, whatever the number of toxic texts."""
+    rows = [(float(i % 2), f"the common words of text {i}" + (" vilest" if i % 2 and i < 20 else "")) for i in range(n)]
+    sample = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "label double, text string, mark long")
+    assert "vilest" in toxicity._lexicon(sample, 100)

@@ -8,7 +8,8 @@ Every turn gets a hash of its place, role and text, in two independent forms; th
 these identifies a conversation's first k turns. The prefixes are reduced to distinct ones before anything
 is joined, so an opening that a third of all conversations share is one row. Places and running hashes are
 formed per block of ``BLOCK`` turn numbers, and a conversation is rendered in parts of ``BLOCK`` turns, so a
-conversation of any length never has to fit into one task.
+conversation of any length never has to fit into one task as long as its turns are numbered; turns of null or
+equal numbers are sorted in one task, on disk where they are many.
 
 Turns are in the order of turn number, role and text; null turn numbers come first. Repeated rows are turns
 of their own. A null role is rendered as ``user``, a null text as empty, but they differ from those when

@@ -87,6 +87,14 @@ def _point_hash(points: np.ndarray, seed: int) -> np.ndarray:
     return total
 
 
+def scaled(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Vectors (flat, each with its start) times a power of two that brings the largest component of each
+    between a half and one: exact, and no norm overflows or vanishes."""
+    sizes = np.diff(np.append(starts, len(flat)))
+    _, power = np.frexp(np.maximum.reduceat(np.abs(flat), starts))
+    return np.ldexp(flat, np.repeat(-power, sizes))
+
+
 def cells(
     vectors: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS, scale: float = SCALE
 ) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -123,6 +131,7 @@ def _cells_of(classes: DataFrame, tables: int, blocks: int, scale: float) -> Dat
                 rows = np.flatnonzero(sizes == d)
                 for some in np.array_split(rows, 1 + len(rows) // 2000):
                     vectors = flat[starts[some][:, None] + np.arange(d)]
+                    vectors = scaled(vectors.ravel(), np.arange(len(some)) * d).reshape(-1, d)
                     for own, asked in cells(vectors, tables, blocks, scale):
                         for k, key in enumerate(asked):
                             key = signed(mixed(key ^ salts[some]))
@@ -138,12 +147,12 @@ def _cells_of(classes: DataFrame, tables: int, blocks: int, scale: float) -> Dat
 def _verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (
-                np.asarray(batch.column(c).flatten(), np.float64) for c in (2, 3)
-            )
-            sizes = np.diff(np.asarray(batch.column(2).offsets))
-            starts = np.cumsum(sizes) - sizes
             if batch.num_rows:
+                sizes = np.diff(np.asarray(batch.column(2).offsets))
+                starts = np.cumsum(sizes) - sizes
+                x, y = (
+                    scaled(np.asarray(batch.column(c).flatten(), np.float64), starts) for c in (2, 3)
+                )
                 dot, xx, yy = (np.add.reduceat(v, starts) for v in (x * y, x * x, y * y))
                 keep = pa.array(dot / (np.sqrt(xx) * np.sqrt(yy)) >= threshold)
                 yield batch.filter(keep).select(["a", "b"])

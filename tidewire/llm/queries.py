@@ -102,17 +102,15 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     sql="""
 WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM conversations),
-c AS (SELECT conv_id, count(*) AS n_turns,
-             string_agg('<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '')
-                        || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered,
-             list({'r': role, 't': text} ORDER BY place) AS turns
-      FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY place) AS turns FROM t GROUP BY conv_id),
 heads AS (SELECT DISTINCT turns[1:k] AS head
           FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM c)),
-d AS (SELECT min(conv_id) AS conv_id, any_value(n_turns) AS n_turns, count(*) AS n_snapshots,
-             min(rendered) AS rendered, turns FROM c GROUP BY turns)
-SELECT conv_id, 0::BIGINT AS part, n_turns, n_snapshots, rendered
-FROM d WHERE turns NOT IN (SELECT head FROM heads)"""
+d AS (SELECT min(conv_id) AS conv_id, any_value(n_turns) AS n_turns, count(*) AS n_snapshots, turns FROM c GROUP BY turns),
+kept AS (SELECT conv_id, n_turns, n_snapshots FROM d WHERE turns NOT IN (SELECT head FROM heads))
+SELECT conv_id, (place - 1) // 1024 AS part, n_turns, n_snapshots,
+       string_agg('<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10),
+                  '' ORDER BY place) AS rendered
+FROM kept JOIN t USING (conv_id) GROUP BY ALL"""
 )
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.chat import format_chats

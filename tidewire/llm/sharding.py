@@ -4,12 +4,13 @@ Documents with equal values of a link column are linked. Each link is cut into `
 the id, and a cell starts on a shard by its number. In every round the cells of a link are joined with the
 shards where the link's other cells are, each cell asks to move to the shard that holds most of them, and
 moves are granted in an order by hash up to the room that the shard's capacity leaves. Rounds end when no
-move is granted. Then the documents without links fill the shards up to equal size.
+move is granted. Then the documents without links fill the shards up to equal size. What is uneven then is evened out with parts of
+links that are larger than a shard and are cut anyway.
 
 The state is a row per cell, at most ``CELLS`` per link, however often a text occurs; a link that holds a
 third of all rows is spread over its cells like any other, and fills one shard after the other. What the
 driver sees has a bound: sizes per shard and hash bucket (64 x 1,024 rows at most for 8 shards) and, for the documents
-without links, per class of size and hash bucket (64 x 128 rows at most).
+without links, per class of size and hash bucket (64 x 1,024 rows at most).
 
 A null text has size 1 and, like the empty text, is linked with nothing. Repeated rows are documents of
 their own, linked by their text. Ties are broken by hash. An empty table gives an empty result; columns
@@ -27,7 +28,8 @@ from tidewire.settings import materialize
 
 CELLS = 64
 MOVE_BUCKETS = 1024
-FILL_BUCKETS = 128
+FILL_BUCKETS = 1024
+EVEN_PARTS = 4096
 SLOT_ROWS = 20_000  # rows numbered in one task, about
 
 
@@ -105,6 +107,49 @@ def _filled(free: list, load: dict[int, int], shards: int) -> list[tuple]:
     return out
 
 
+def _moved(parts: list, load: dict[int, int], share: float) -> list[tuple]:
+    """Which parts (shard, part, bytes) go where, so that no shard keeps more than its share if it can."""
+    heap = [(size, s) for s, size in load.items()]
+    heapq.heapify(heap)
+    left = dict(load)
+    out = []
+    for row in sorted(parts, key=lambda r: (-r["bytes"], r["part"], r["shard"])):
+        size, shard = heap[0]
+        while size != left[shard]:  # the shard has given something away since
+            heapq.heapreplace(heap, (left[shard], shard))
+            size, shard = heap[0]
+        home, n = row["shard"], row["bytes"]
+        if left[home] - n >= share - n / 2 and size + n <= share + n / 2 and home != shard:
+            left[home] -= n
+            left[shard] += n
+            heapq.heapreplace(heap, (left[shard], shard))
+            out.append((home, row["part"], shard))
+    return out
+
+
+def _evened(ready: DataFrame, cells: DataFrame, shards: int, share: float) -> DataFrame:
+    """``ready`` with rows of the largest links moved from shards that hold more than their share.
+
+    Fewer links than there are shards can be larger than a shard; their rows in a shard are cut into
+    ``EVEN_PARTS`` parts by hash, so the driver sees at most that many numbers for each shard.
+    """
+    spark = ready.sparkSession
+    large = cells.groupBy("link").agg(F.sum("bytes").alias("bytes")).filter(F.col("bytes") > share)
+    large = materialize(large.select("link", F.lit(True).alias("large")), "large-links")
+    part = F.when(F.col("large"), F.pmod(F.shiftright("hash", 20), F.lit(EVEN_PARTS)))
+    ready = ready.join(F.broadcast(large), "link", "left").withColumn("part", part).drop("large", "link")
+    ready = materialize(ready, "filled")
+    load = dict.fromkeys(range(shards), 0)
+    load |= {r["shard"]: r["bytes"] for r in ready.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}
+    sizes = ready.filter("part is not null").groupBy("shard", "part").agg(F.sum("bytes").alias("bytes"))
+    moves = _moved(sizes.collect(), load, share)
+    if not moves:
+        return ready.drop("part")
+    moves = spark.createDataFrame(moves, "shard int, part long, target int")
+    moved = ready.join(F.broadcast(moves), ["shard", "part"], "left")
+    return moved.withColumn("shard", F.coalesce("target", "shard")).drop("target", "part")
+
+
 def balanced_shards(
     docs: DataFrame, shards: int = 8, *, id_column: str = "doc_id", text_column: str = "text",
     rounds: int = 10,
@@ -122,8 +167,15 @@ def balanced_shards(
         F.crc32(text).alias("crc"),
         F.when(F.octet_length(text) > 0, F.unhex(F.sha2(text, 256))).alias("link"),
         F.xxhash64(F.col(id_column).cast("string"), text).alias("hash"),
-    ).withColumn("cell", F.pmod("hash", F.lit(CELLS)).cast("int"))
+        F.monotonically_increasing_id().alias("number"),
+    )
     rows = materialize(rows, "sizes")
+    # equal rows have equal hashes; the numbers, written above, tell them apart
+    repeated = rows.groupBy("hash").count().filter("count > 1").select("hash", F.lit(True).alias("repeated"))
+    rows = rows.join(materialize(repeated, "repeated-rows"), "hash", "left")
+    rows = rows.withColumn("hash", F.when(F.col("repeated"), F.xxhash64("hash", "number")).otherwise(F.col("hash")))
+    rows = rows.withColumn("cell", F.pmod("hash", F.lit(CELLS)).cast("int")).drop("number", "repeated")
+    rows = materialize(rows, "documents")
 
     grouped = rows.filter("link is not null").groupBy("link", "cell")
     grouped = grouped.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
@@ -135,7 +187,7 @@ def balanced_shards(
     cells = _propagated(cells, shards, total / shards, rounds)
 
     placed = rows.join(cells.select("link", "cell", "shard"), ["link", "cell"], "left")
-    placed = placed.select("id", "bytes", "crc", "hash", "shard")
+    placed = placed.select("id", "bytes", "crc", "hash", "link", "shard")
     kind = F.floor(F.log2(F.col("bytes").cast("double"))).cast("int")
     bucket = F.pmod(F.shiftright("hash", 8), F.lit(FILL_BUCKETS))
     placed = materialize(placed.withColumn("kind", kind).withColumn("bucket", bucket), "placed")
@@ -146,6 +198,7 @@ def balanced_shards(
     # at most 64 x FILL_BUCKETS rows
     ready = placed.join(F.broadcast(plan), ["kind", "bucket"], "left")
     ready = ready.withColumn("shard", F.coalesce("shard", "filled"))
+    ready = _evened(ready, cells, shards, total / shards)
 
     # slots: rows are numbered in hash buckets, after the rows of the buckets before
     buckets = 1 + (rows.count() // SLOT_ROWS)

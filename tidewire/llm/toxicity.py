@@ -42,6 +42,8 @@ MAX_ROWS = 6000  # sampled rows of each label
 MAX_ENTRIES = 2000  # of the lexicon
 THRESHOLD = 0.7
 LEAST_ODDS = 3.0  # ln of how much more often toxic texts have an entry of the lexicon
+LEAST_TEXTS = 3  # toxic texts with an entry
+LEAST_SIGNIFICANCE = 10.8  # chance would give it to one entry in a thousand
 STEMS = (4, 5, 6, 7, 8)  # lengths of word beginnings
 CALIBRATION = 4  # every fourth row calibrates
 WINDOW = 20  # words of a stretch
@@ -146,7 +148,8 @@ def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[DataFram
     marks = labels.filter("doc_id is not null and toxic is not null")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
     here = docs.select("doc_id", "text")
-    found = _marked(here).select("doc_id", F.col("__mark").alias("mark")).join(marks, "doc_id")
+    # labels first: shingles are formed of labelled texts only
+    found = _marked(here.join(marks, "doc_id")).select("doc_id", "label", F.col("__mark").alias("mark"))
     groups = found.groupBy("label", "mark").agg(F.min("doc_id").alias("doc_id"))
     groups = materialize(groups, "toxicity-marks")
     sizes = {r["label"]: r["count"] for r in groups.groupBy("label").count().collect()}
@@ -165,7 +168,9 @@ def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[DataFram
 def _lexicon(sample: DataFrame, max_entries: int) -> dict[str, float]:
     """Entries that toxic texts have much more often than others, with the log odds per word.
 
-    An entry stands in at least 3 toxic texts and 1 in 100 of them.
+    An entry stands in at least ``LEAST_TEXTS`` toxic texts, and its counts are too uneven for chance: twice
+    their log likelihood ratio is ``LEAST_SIGNIFICANCE`` or more. So a rare sure word is learned from the same
+    few texts however many there are.
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +197,19 @@ def _lexicon(sample: DataFrame, max_entries: int) -> dict[str, float]:
     names = ("other", "toxic", "texts")
     table = materialize(table.groupBy("entry").agg(*[F.sum(n).alias(n) for n in names]), "toxicity-entries")
     total = table.filter("entry = ''").first()
-    odds = F.log((F.col("toxic") + 0.5) / (total["toxic"] + 1)) - F.log((F.col("other") + 0.5) / (total["other"] + 1))
-    least = max(3, round(0.01 * total["texts"]))
-    best = table.withColumn("odds", odds).filter((F.col("texts") >= least) & (F.col("odds") >= LEAST_ODDS))
+    share = total["toxic"] / max(1, total["toxic"] + total["other"])
+    # a quarter of an occurrence more, dealt out as words are, so that few occurrences have the same odds at
+    # every size of the two samples
+    odds = F.log((F.col("toxic") + share / 4) / max(1, total["toxic"]))
+    odds = odds - F.log((F.col("other") + (1 - share) / 4) / max(1, total["other"]))
+    n = F.col("toxic") + F.col("other")
+
+    def surprise(count, expected):
+        return F.when(count > 0, count * F.log(count / expected)).otherwise(0.0)
+
+    ratio = surprise(F.col("toxic"), n * share) + surprise(F.col("other"), n * (1 - share))
+    sure = (F.col("texts") >= LEAST_TEXTS) & (2 * ratio >= LEAST_SIGNIFICANCE)
+    best = table.withColumn("odds", odds).filter(sure & (F.col("odds") >= LEAST_ODDS))
     rows = best.orderBy(F.desc(F.col("odds") * F.sqrt("texts")), "entry").limit(max_entries)
     return {r["entry"]: r["odds"] for r in rows.collect()}
 
@@ -252,9 +267,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
     if model.trees is None:
         scored = kept.withColumn("score", F.lit(model.constant))
     else:
-        rows = _with_features(kept, model.lexicon)
-        columns = [F.col(f"`{c}`") for c in kept.columns]
-        vectors = rows.select(F.struct(*columns).alias("row"), array_to_vector("__features").alias("features"))
+        # the whole row beside its text, so that no column can clash with one of the row
+        row = F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row")
+        rows = _with_features(kept.select(row, "text"), model.lexicon)
+        vectors = rows.select("row", array_to_vector("__features").alias("features"))
         raw = model.trees.transform(vectors)
         raw = raw.select("row", vector_to_array("probability")[1].alias("raw"))
         score = F.col("raw")
