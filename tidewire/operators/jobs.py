@@ -72,6 +72,38 @@ def completions(parsed: DataFrame, steps: Sequence[str]) -> DataFrame:
     return times.groupBy("message_id").agg(F.min_by(SOURCE, "at").alias(SOURCE), *newest)
 
 
+def partial_completions(parsed: DataFrame, steps: Sequence[str]) -> DataFrame:
+    """``completions`` of a part of the outputs, in a form that ``merge_completions`` can add up.
+
+    Per step the newest output of its own and the first output of any, each with its time.
+    """
+    timed = parsed.select(
+        "message_id", "step", millis(F.col("ts")).alias("at"),
+        *[millis(completed_at(name)).alias(name) for name in (SOURCE, *steps)],
+    )
+
+    def seen(name: str) -> Column:
+        return F.struct(F.col("at").alias("at"), F.col(name).alias("done"))
+
+    own = [F.max(F.when(F.col("step") == name, seen(name))).alias(f"own_{name}") for name in steps]
+    first = [F.min(seen(name)).alias(f"first_{name}") for name in (SOURCE, *steps)]
+    return timed.groupBy("message_id").agg(*own, *first)
+
+
+def merge_completions(partial: DataFrame) -> DataFrame:
+    """One row per message from those of several parts."""
+    columns = [c for c in partial.columns if c != "message_id"]
+    merged = [(F.max(c) if c.startswith("own_") else F.min(c)).alias(c) for c in columns]
+    return partial.groupBy("message_id").agg(*merged)
+
+
+def merged_job_state(partial: DataFrame, steps: Sequence[str]) -> DataFrame:
+    """``job_state`` from merged parts."""
+    done = [F.coalesce(F.col(f"own_{s}.done"), F.col(f"first_{s}.done")).alias(s) for s in steps]
+    rows = partial.select("message_id", F.col(f"first_{SOURCE}.done").alias(SOURCE), *done)
+    return rows.withColumn("status", job_status(steps))
+
+
 def job_status(steps: Sequence[str]) -> Column:
     """PENDING until the first step is done, COMPLETED when all are, ONGOING in between."""
     missing = F.lit(False)

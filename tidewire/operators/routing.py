@@ -163,6 +163,13 @@ def received_by(messages: DataFrame, step: Mapping) -> DataFrame:
     return keyed.withColumn("group_id", F.coalesce(key, "group_id")).drop("__key")
 
 
+def run_step(messages: DataFrame, step: Mapping, function: StepFunction | None) -> DataFrame:
+    """The output of one step: its function on what it receives, sent to its output address."""
+    received = received_by(messages, step)
+    output = received if function is None else function(received)
+    return output.withColumn("address", F.lit(f"{PREFIX}{step['step']}.output"))
+
+
 def run_steps(
     messages: DataFrame, steps: Sequence[Mapping], functions: Mapping[str, StepFunction]
 ) -> dict[str, DataFrame]:
@@ -176,9 +183,7 @@ def run_steps(
     readers = Counter(row["input_stream"] for row in steps)
     for row in step_order(steps):
         source = outputs.get(row["input_stream"], messages)
-        body = functions.get(row["step"], lambda df: df)
-        address = F.lit(f"{PREFIX}{row['step']}.output")
-        output = received_by(source, row).transform(body).withColumn("address", address)
+        output = run_step(source, row, functions.get(row["step"]))
         if readers[row["step"]] > 1 and not output.isStreaming:
             output = materialize(output, f"output-{row['step']}")
         outputs[row["step"]] = output

@@ -337,11 +337,17 @@ UNION ALL SELECT 'stepD', 'iotdpp.stepD.output', application, count(*) FROM d GR
 def _step_functions(spark, sf_dir):
     """User functions on the steps: A keeps even keys, D drops views."""
     source = messages(spark, sf_dir).withColumn("address", F.lit("iotdpp.src.output"))
-    functions = {
-        "stepA": lambda df: df.filter(F.col("group_id").cast("bigint") % 2 == 0),
-        "stepD": lambda df: df.filter(F.get_json_object("body", "$.type") != "view"),
-    }
-    outputs = routing.run_steps(source, config.parse_steps(STEPS_SPEC), functions)
+    return count_step_outputs(routing.run_steps(source, config.parse_steps(STEPS_SPEC), STEP_FUNCTIONS))
+
+
+STEP_NAMES = ("stepA", "stepB", "stepC", "stepD")
+STEP_FUNCTIONS = {
+    "stepA": lambda df: df.filter(F.col("group_id").cast("bigint") % 2 == 0),
+    "stepD": lambda df: df.filter(F.get_json_object("body", "$.type") != "view"),
+}
+
+
+def count_step_outputs(outputs):
     counted = [
         out.groupBy(F.lit(step).alias("step"), "address", bridging.prop("application").alias("application")).agg(
             F.count(F.lit(1)).alias("messages")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +13,11 @@ from tidewire.plans.catalog import LIFECYCLE, MESSAGES, ORACLES, SNAPSHOTS, quer
 from tidewire.plans.inputs import HOUR_MS, JOB_STEPS, STEPS_SPEC
 from tidewire.plans.queries_batch import (
     EXTRACT_SQL, FIRST_SQL, GROUP_SQL, LIFECYCLE_SQL, METRICS_SQL, QUEUE_METRICS, ROUTE_SQL, RULES,
-    lifecycle_rows, point_rows,
+    STEP_FUNCTIONS, STEP_NAMES, count_step_outputs, lifecycle_rows, point_rows,
 )
 from tidewire.settings import scratch_path
 from tidewire.sources import config
-from tidewire.streaming import rates, runs
+from tidewire.streaming import keyed, rates, runs
 
 # Far after all data: passes every watermark, so that the last windows and open joins come out.
 CLOSING_ID = -1
@@ -74,7 +75,6 @@ def _first_publish_stream(spark, sf_dir):
 def _correlated_stream(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     events = closed_events(spark, sf_dir)
     published = inputs.published_of(events)
-    # the closing row is not acknowledged and would stay open for ever
     acknowledged = inputs.acknowledged_of(events)
     return published, runs.correlate_lifecycle_stream(published, inputs.delivered_of(events), acknowledged, within="1 hour")
 
@@ -94,19 +94,26 @@ def _lifecycle_metrics_stream(spark, sf_dir):
     return rows.filter(F.col("message_id") != CLOSING_ID)
 
 
+@query("lifecycle_two_nodes_stream", ORACLES["lifecycle_two_nodes"])
+def _lifecycle_two_nodes_stream(spark, sf_dir):
+    """Redelivered messages and messages of a second node, correlated as they come in."""
+    events = inputs.two_node_lifecycle_of(closed_events(spark, sf_dir))
+    correlated = runs.correlate_lifecycle_stream(*events, within="1 hour")
+    rows = runs.run_to_table(lifecycle_rows(correlated), "two-nodes")
+    return rows.filter(F.col("message_id") != CLOSING_ID)
+
+
 @query(
     "queue_metrics_stream",
     with_(SNAPSHOTS, QUEUE_METRICS, select="""
-SELECT prefix || '_' || m || '_SENSOR' AS name, v AS value, time_ms AS timestamp FROM queue_metrics
-WHERE m NOT IN ('ConsumersCount', 'GroupCount')"""),
+SELECT prefix || '_' || m || '_SENSOR' AS name, v AS value, time_ms AS timestamp FROM queue_metrics"""),
 )
 def _queue_metrics_stream(spark, sf_dir):
-    """States kept per micro-batch, snapshots formed from all of them."""
+    """States, consumers and groups kept per micro-batch, snapshots formed from all of them."""
     path = scratch_path(spark, "queue-metrics")
     timed = inputs.queue_messages_of(stream_table(spark, sf_dir, "events"))
     runs.store_states(timed, HOUR_MS, f"{path}/states", f"{path}/checkpoint").awaitTermination()
-    metrics = snapshots.queue_metrics(runs.snapshots_from_store(spark, f"{path}/states", HOUR_MS))
-    return metrics.filter(~F.col("name").rlike("(ConsumersCount|GroupCount)_SENSOR$"))
+    return snapshots.queue_metrics(runs.snapshots_from_store(spark, f"{path}/states", HOUR_MS))
 
 
 @query("job_state_stream", ORACLES["job_state"])
@@ -114,7 +121,45 @@ def _job_state_stream(spark, sf_dir):
     path = scratch_path(spark, "jobs")
     parsed = jobs.parse_outputs(inputs.job_outputs_of(stream_table(spark, sf_dir, "orders")), JOB_STEPS, [jobs.DONE])
     runs.store_job_state(parsed, JOB_STEPS, f"{path}/jobs", f"{path}/checkpoint").awaitTermination()
-    return runs.jobs_from_store(spark, f"{path}/jobs")
+    return runs.jobs_from_store(spark, f"{path}/jobs", JOB_STEPS)
+
+
+@query("step_functions_stream", ORACLES["step_functions"])
+def _step_functions_stream(spark, sf_dir):
+    """The steps of a pipeline as streams of their own, each reading what the one before wrote."""
+    path = scratch_path(spark, "steps")
+    source = inputs.messages_of(stream_table(spark, sf_dir, "events"))
+    source = source.withColumn("address", F.lit("iotdpp.src.output"))
+    runs.run_steps_stream(source, config.parse_steps(STEPS_SPEC), STEP_FUNCTIONS, path)
+    return count_step_outputs({step: runs.step_output(spark, path, step) for step in STEP_NAMES})
+
+
+@query(
+    "stateful_step_stream",
+    with_(MESSAGES, select="""
+SELECT message_id, 'g-' || k AS group_id, row_number() OVER w AS place, CAST(sum(cents) OVER w AS BIGINT) AS total
+FROM messages WINDOW w AS (PARTITION BY k ORDER BY us, message_id)"""),
+)
+def _stateful_step_stream(spark, sf_dir):
+    """A step with a state: it numbers the messages of each group and adds up their values."""
+    sent = inputs.messages_of(stream_table(spark, sf_dir, "events")).select(
+        "message_id", "ts",
+        F.concat(F.lit("g-"), F.get_json_object("body", "$.props.k")).alias("group_id"),
+        F.get_json_object("body", "$.cents").cast("bigint").alias("cents"),
+    )
+    counted = keyed.with_state(
+        sent, ["group_id"], running_count, "n bigint, total bigint",
+        "message_id bigint, group_id string, place bigint, total bigint", order=["ts", "message_id"],
+    )
+    return runs.run_to_table(counted, "stateful-step")
+
+
+def running_count(key, state, rows):
+    """Place and running total of the messages of a group; the state is how far both have come."""
+    n, total = state or (0, 0)
+    places, totals = n + pd.RangeIndex(1, len(rows) + 1), total + rows["cents"].cumsum()
+    out = pd.DataFrame({"message_id": rows["message_id"], "group_id": key[0], "place": places, "total": totals})
+    return (int(places[-1]), int(totals.iloc[-1])), out
 
 
 @query(
@@ -127,14 +172,12 @@ SELECT queue, time_ms, messages_added,
 FROM totals"""),
 )
 def _add_rate_stream(spark, sf_dir):
-    """Totals and rates per queue and hour, with the previous count kept between micro-batches."""
-    path = scratch_path(spark, "rates")
+    """Totals and rates per queue and hour; the previous count of a queue is its state."""
     sent = inputs.published_of(closed_events(spark, sf_dir)).withColumn(
         "queue", F.substring_index("queue", ".", -1)
     )
     added = rates.added_per_window(sent, "1 hour")
-    rates.store_rates(added, path, f"{path}/checkpoint").awaitTermination()
-    stored = rates.rates_from_store(spark, path).filter(F.col("queue") != "closing")
+    stored = runs.run_to_table(rates.add_rates_stream(added), "rates").filter(F.col("queue") != "closing")
     return stored.withColumn("time_ms", millis(F.col("time"))).drop("time")
 
 

@@ -1,76 +1,52 @@
-"""Add rates in a stream: the previous count of every queue is kept between micro-batches."""
+"""Add rates in a stream: the previous count of every queue is its state."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from tidewire.functions.times import millis
-from tidewire.plans.running import running_total, with_previous
-from tidewire.streaming.runs import WATERMARK, for_each_batch, on_disk
+from tidewire.streaming.keyed import with_state
+from tidewire.streaming.runs import WATERMARK, on_disk
 
-LAST = "queue string, last_total bigint, last_time timestamp"
+RATES = "queue string, time timestamp, messages_added bigint, messages_added_frequency double"
 
 
 def added_per_window(messages: DataFrame, interval: str = "3 seconds", watermark: str = WATERMARK) -> DataFrame:
-    """Messages added per queue and interval; one row per queue and interval that saw any."""
+    """Messages added per queue and interval; one row per queue and interval that saw any.
+
+    ``seen`` is the event time of the row, the last moment of its interval.
+    """
     return (
         on_disk(messages)
         .withWatermark("ts", watermark)
         .groupBy("queue", F.window("ts", interval).alias("w"))
         .agg(F.count(F.lit(1)).alias("added"))
-        .select("queue", F.col("w.end").alias("time"), "added")
+        .select("queue", F.col("w.end").alias("time"), "added", F.window_time("w").alias("seen"))
     )
 
 
-def rates_after(counts: DataFrame, last: DataFrame) -> DataFrame:
-    """``queue, time, added`` of one batch to totals and rates, going on from ``last``.
-
-    0.0 for the first row of a queue.
-    """
-    hour = F.date_trunc("hour", F.col("time"))
-    totals = running_total(counts, ["queue"], "time", hour, "added", "here")
-    chained = with_previous(totals, ["queue"], "time", hour, ["time"])
-    joined = chained.join(last, "queue", "left")
-    since = millis(F.col("time")) - millis(F.coalesce("previous_time", "last_time"))
-    rate = F.try_divide(F.col("added"), since / 1000.0)
-    return joined.select(
-        "queue",
-        "time",
-        (F.col("here") + F.coalesce("last_total", F.lit(0))).alias("messages_added"),
-        F.coalesce(rate, F.lit(0.0)).alias("messages_added_frequency"),
+def _rates(key: tuple, state, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    """Totals and rates of a queue's intervals, going on from its last; 0.0 for the first."""
+    total, last = (0, None) if state is None else state
+    totals = total + rows["added"].cumsum()
+    before = rows["time"].shift()
+    if last is not None:
+        before.iloc[0] = last
+    seconds = (rows["time"] - before).dt.total_seconds()
+    rate = (rows["added"] / seconds.where(seconds != 0)).fillna(0.0)
+    out = pd.DataFrame(
+        {"queue": key[0], "time": rows["time"], "messages_added": totals, "messages_added_frequency": rate}
     )
+    return (int(totals.iloc[-1]), rows["time"].iloc[-1].to_pydatetime()), out
 
 
-def store_rates(added: DataFrame, path: str, checkpoint: str, **kwargs) -> StreamingQuery:
-    """Write rates to ``path/rates`` and the last row of every queue to ``path/last``, per batch.
+def add_rates_stream(added: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """``added_per_window`` to ``queue, time, messages_added, messages_added_frequency``.
 
-    A batch reads only what the batch before it left, so a repeated batch gives the same files.
+    The state of a queue is its total and the time of its last interval. With ``idle_ms`` the state of a
+    queue without messages for that long ends; should it come back, it counts from zero.
     """
-    spark = added.sparkSession
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        last = (
-            spark.read.schema(LAST).parquet(f"{path}/last/batch={batch_id - 1}")
-            if batch_id
-            else spark.createDataFrame([], LAST)
-        )
-        counts = batch.persist()
-        rates = rates_after(counts, last)
-        rates.write.mode("overwrite").parquet(f"{path}/rates/batch={batch_id}")
-        written = spark.read.schema(rates.schema).parquet(f"{path}/rates/batch={batch_id}")
-        newest = written.groupBy("queue").agg(
-            F.max("messages_added").alias("last_total"), F.max("time").alias("last_time")
-        )
-        kept = last.unionByName(newest).groupBy("queue").agg(
-            F.max("last_total").alias("last_total"), F.max("last_time").alias("last_time")
-        )
-        kept.write.mode("overwrite").parquet(f"{path}/last/batch={batch_id}")
-        counts.unpersist()
-
-    return for_each_batch(added, write, checkpoint, **kwargs)
-
-
-def rates_from_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/rates").drop("batch")
+    return with_state(
+        added, ["queue"], _rates, "total bigint, last timestamp", RATES, order=["time"], time="seen", idle_ms=idle_ms
+    )

@@ -6,14 +6,15 @@ watermark, and the helpers that write a stream to files.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewire.operators import bridging, jobs, lifecycle, snapshots
+from tidewire.operators import bridging, jobs, lifecycle, routing, snapshots
 from tidewire.settings import materialize, scratch_path
+from tidewire.streaming import store
 
 WATERMARK = "10 minutes"
 
@@ -106,6 +107,41 @@ def plain_time(name: str) -> Column:
     return F.timestamp_micros(F.unix_micros(name))
 
 
+def _lifecycle_rows(kind: str, events: DataFrame) -> DataFrame:
+    """Events of one kind in the layout that all kinds share."""
+    layout = {"queue": "string", "consumer": "string", "client_id": "string", "node": "string", "size": "bigint"}
+    fields = [
+        (F.col(c) if c in events.columns else F.lit(None)).cast(t).alias(c) for c, t in layout.items()
+    ]
+    return events.select(
+        lifecycle.original_id(events).alias("message_id"), "ts",
+        F.struct(F.lit(kind).alias("kind"), plain_time("ts").alias("at"), *fields).alias("event"),
+    )
+
+
+def _correlated(events: Column) -> Column:
+    """Deliveries among the events of a message, in order, each with its first acknowledgement."""
+
+    def sorted_of(kind: str) -> Column:
+        return F.array_sort(F.filter(events, lambda e: e["kind"] == kind))
+
+    delivered, acknowledged = sorted_of("delivered"), sorted_of("acknowledged")
+
+    def with_ack(d: Column, i: Column) -> Column:
+        later = F.filter(delivered, lambda x, j: (j > i) & (x["queue"] == d["queue"]))
+        until = F.array_min(F.transform(later, lambda x: x["at"]))
+        in_turn = F.filter(
+            acknowledged,
+            lambda a: (a["queue"] == d["queue"]) & (a["at"] >= d["at"]) & (until.isNull() | (a["at"] < until)),
+        )
+        return F.struct(
+            d["queue"].alias("queue"), d["consumer"].alias("consumer"), d["at"].alias("deliver_ts"),
+            F.array_min(F.transform(in_turn, lambda a: a["at"])).alias("ack_ts"),
+        )
+
+    return F.transform(delivered, with_ack)
+
+
 def correlate_lifecycle_stream(
     published: DataFrame,
     delivered: DataFrame,
@@ -115,93 +151,130 @@ def correlate_lifecycle_stream(
 ) -> DataFrame:
     """``lifecycle.correlate_lifecycle`` for streams.
 
-    A delivery waits for its acknowledgement, and for its publish event, no longer than ``within``;
-    then it is given out without. Rows that came out open can be correlated again by the batch form, from
-    the stored events. An acknowledgement is given to every delivery of its message within the bound; the
-    batch form gives it to the latest only.
+    The events of a message, known by its original id on every node, are buffered until none has come
+    for ``within`` and the watermark has passed that; then its deliveries are given out, each with the first
+    acknowledgement between it and the next delivery. So an acknowledgement belongs to the latest delivery
+    whatever the order in which events arrive. Deliveries without an acknowledgement come out without.
+    The buffer lies in the state store and holds the events of the last ``within`` only.
     """
-    limit = f"INTERVAL {within}"
-    d = on_disk(delivered).select(
-        "message_id", "queue", "consumer", F.col("ts").alias("deliver_ts")
-    ).withWatermark("deliver_ts", watermark)
-    a = acknowledged.select(
-        F.col("message_id").alias("ack_id"), F.col("queue").alias("ack_queue"), F.col("ts").alias("ack_ts")
-    ).withWatermark("ack_ts", watermark)
-    p = published.select(
-        F.col("message_id").alias("publish_id"),
-        F.col("ts").alias("publish_ts"),
-        F.col("queue").alias("publish_queue"),
-        F.col("client_id").alias("publish_client_id"),
-        F.col("node").alias("publish_node"),
-        F.col("size").alias("message_size"),
-    ).withWatermark("publish_ts", watermark)
-    sent = d.join(
-        p,
-        F.expr(
-            "message_id = publish_id AND publish_ts <= deliver_ts "
-            f"AND publish_ts >= deliver_ts - {limit}"
-        ),
-        "left",
-    ).withColumn("publish_ts", plain_time("publish_ts"))
-    return sent.join(
-        a,
-        F.expr(
-            "message_id = ack_id AND queue = ack_queue AND ack_ts >= deliver_ts "
-            f"AND ack_ts <= deliver_ts + {limit}"
-        ),
-        "left",
-    ).drop("ack_id", "ack_queue", "publish_id")
+    if "original_message_id" in published.columns:
+        published = published.filter("original_message_id IS NULL OR original_message_id = message_id")
+    parts = [
+        _lifecycle_rows(kind, df)
+        for kind, df in (("published", published), ("delivered", delivered), ("acknowledged", acknowledged))
+    ]
+    events = on_disk(parts[0].unionByName(parts[1]).unionByName(parts[2])).withWatermark("ts", watermark)
+    buffered = events.groupBy("message_id", F.session_window("ts", within)).agg(
+        F.collect_list("event").alias("events")
+    )
+    sent = F.array_sort(F.filter("events", lambda e: e["kind"] == "published"))
+    rows = buffered.select("message_id", sent.alias("sent"), F.explode(_correlated(F.col("events"))).alias("d"))
+    return rows.select("message_id", "d.*", F.explode_outer("sent").alias("p")).select(
+        "message_id", "queue", "consumer", "deliver_ts", "ack_ts",
+        F.col("p.at").alias("publish_ts"), F.col("p.queue").alias("publish_queue"),
+        F.col("p.client_id").alias("publish_client_id"), F.col("p.node").alias("publish_node"),
+        F.col("p.size").alias("message_size"),
+    )
 
 
 def events_from_stream(published: DataFrame, correlated: DataFrame) -> DataFrame:
     return lifecycle.publish_events(published).unionByName(lifecycle.receive_events(correlated))
 
 
-def store_states(queue_messages: DataFrame, interval_ms: int, path: str, checkpoint: str, **kwargs) -> StreamingQuery:
-    """Reduce each micro-batch to queue states and keep them; state in memory does not grow."""
+def store_states(
+    queue_messages: DataFrame, interval_ms: int, path: str, checkpoint: str, sketch: bool = False, **kwargs
+) -> StreamingQuery:
+    """Reduce each micro-batch to queue states and to the consumers and groups seen, and keep both.
+
+    Both add up over batches, so the stream has no state and the store one row per key. ``sketch`` keeps
+    sketches in the place of the consumers and groups themselves.
+    """
+    seen, merge_seen = _seen(sketch)
+    every = kwargs.pop("every", store.MERGE_EVERY)
+    states = store.write_merged(
+        f"{path}/states", lambda b: snapshots.queue_states(b, interval_ms), snapshots.merge_states, every
+    )
+    values = store.write_merged(f"{path}/seen", lambda b: seen(b, interval_ms), merge_seen, every)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        states = snapshots.queue_states(batch, interval_ms)
-        states.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        kept = batch.persist()
+        states(kept, batch_id)
+        values(kept, batch_id)
+        kept.unpersist()
 
     return for_each_batch(queue_messages, write, checkpoint, **kwargs)
 
 
-def snapshots_from_store(spark: SparkSession, path: str, interval_ms: int, until: int | None = None) -> DataFrame:
-    """Snapshots over all states stored so far."""
-    stored = spark.read.parquet(path).drop("batch")
-    merged = materialize(snapshots.merge_states(stored), "queue-states")
-    return snapshots.snapshots_from_states(merged, interval_ms, until=until)
+def _seen(sketch: bool) -> tuple[Callable, Callable]:
+    if sketch:
+        return snapshots.sketches_per_tick, snapshots.merge_sketches
+    return snapshots.values_per_tick, DataFrame.distinct
 
 
-def store_job_state(parsed: DataFrame, steps: Sequence[str], path: str, checkpoint: str, **kwargs) -> StreamingQuery:
-    """Follow jobs: each micro-batch writes the jobs that changed."""
-    return for_each_batch(
-        jobs.job_state(on_disk(parsed), steps), write_batch(path), checkpoint, mode="update", **kwargs
-    )
+def snapshots_from_store(
+    spark: SparkSession, path: str, interval_ms: int, until: int | None = None, sketch: bool = False
+) -> DataFrame:
+    """Snapshots with all their metrics over what is stored so far."""
+    merged = materialize(store.read_store(spark, f"{path}/states", snapshots.merge_states), "queue-states")
+    seen = store.read_store(spark, f"{path}/seen", _seen(sketch)[1])
+    distinct = snapshots.count_sketches(seen) if sketch else snapshots.count_values(seen)
+    return snapshots.snapshots_from_states(merged, interval_ms, distinct, until)
 
 
-def newest_from_store(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The newest stored row of every key, from what ``write_batch`` kept of an updating stream."""
-    stored = spark.read.parquet(path)
-    columns = [c for c in stored.columns if c not in ("batch", key)]
-    newest = F.max_by(F.struct(*columns), "batch").alias("s")
-    return stored.groupBy(key).agg(newest).select(key, "s.*")
+def store_job_state(parsed: DataFrame, steps: Sequence[str], path: str, checkpoint: str, **kwargs) -> StreamingQuery:
+    """Follow jobs: each micro-batch adds what it says about its jobs; the stream keeps no state."""
+    return store.store_merged(
+        parsed, path, checkpoint, lambda b: jobs.partial_completions(b, steps), jobs.merge_completions, **kwargs
+    )
 
 
-def jobs_from_store(spark: SparkSession, path: str) -> DataFrame:
-    return newest_from_store(spark, path, "message_id")
+def jobs_from_store(spark: SparkSession, path: str, steps: Sequence[str]) -> DataFrame:
+    """The state of all jobs stored so far."""
+    return jobs.merged_job_state(store.read_store(spark, path, jobs.merge_completions), steps)
 
 
 def store_registry(definitions: DataFrame, path: str, checkpoint: str, **kwargs) -> StreamingQuery:
     """Keep the first definition of every application as definitions come in."""
-    return for_each_batch(
-        bridging.app_registry(on_disk(definitions)), write_batch(path), checkpoint, mode="update", **kwargs
+    return store.store_merged(
+        definitions, path, checkpoint, bridging.app_registry, bridging.app_registry, **kwargs
     )
 
 
 def registry_from_store(spark: SparkSession, path: str) -> DataFrame:
-    return newest_from_store(spark, path, "application_id")
+    return store.read_store(spark, path, bridging.app_registry)
+
+
+def run_steps_stream(
+    messages: DataFrame,
+    steps: Sequence[Mapping],
+    functions: Mapping[str, routing.StepFunction],
+    path: str,
+    interval: str | None = None,
+) -> dict[str, StreamingQuery]:
+    """Run a pipeline of steps as streams: one query for each step, chained through folders.
+
+    A step reads the folder that its input step writes, from where its own checkpoint stands, so steps
+    run, fail and restart each for itself, and an output that several steps read is written once. The
+    functions may have a state (``keyed.with_state``). Without an interval every step handles what is there
+    and ends, one after the other; with one, all run until they are stopped.
+    """
+    spark = messages.sparkSession
+    queries, outputs = {}, {}
+    for row in routing.step_order(steps):
+        step = row["step"]
+        source = outputs.get(row["input_stream"], messages)
+        output = routing.run_step(source, row, functions.get(step))
+        out = f"{path}/output/{step}"
+        queries[step] = to_files(output, out, f"{path}/checkpoint/{step}", interval)
+        if interval is None:
+            queries[step].awaitTermination()
+        outputs[step] = stream_files(spark, out, output.schema)
+    return queries
+
+
+def step_output(spark: SparkSession, path: str, step: str) -> DataFrame:
+    """What a step has given out so far."""
+    return spark.read.parquet(f"{path}/output/{step}")
 
 
 def request_reply_stream(
