@@ -113,11 +113,13 @@ def unanswered_requests(
     return requests.withColumn("bucket", F.format_string(bucket, F.col("application_id")))
 
 
-def request_reply(requests: DataFrame, replies: DataFrame) -> DataFrame:
+def request_reply(requests: DataFrame, replies: DataFrame, laid_out: bool = False) -> DataFrame:
     """Each request with its replies by correlation id, or with none.
 
     ``requests``: ``message_id, correlation_id, application_id, ts``; the same for ``replies``. Requests
     without an id get a join key of their own, which no reply has, so that they do not meet in one task.
+    With ``laid_out``, both are bucketed by the correlation id; requests without one then stay out of the
+    join, which needs no shuffle, and the requests are read twice.
     """
     asked = requests.select(
         F.col("message_id").alias("request_id"),
@@ -131,6 +133,11 @@ def request_reply(requests: DataFrame, replies: DataFrame) -> DataFrame:
         F.col("ts").alias("reply_ts"),
         F.col("application_id").alias("subject"),
     )
+    if laid_out:
+        met = asked.filter("correlation_id is not null").join(answers, "correlation_id", "left")
+        none = {c: F.lit(None).cast(t) for c, t in answers.dtypes if c != "correlation_id"}
+        nameless = asked.filter("correlation_id is null").withColumns(none)
+        return met.select(nameless.columns).unionByName(nameless)
     own = F.struct(F.lit(None).cast("string").alias("id"), F.col("request_id").alias("own"))
     given = F.struct(F.col("correlation_id").alias("id"), F.lit(None).cast("bigint").alias("own"))
     keyed = asked.withColumn("__key", F.when(F.col("correlation_id").isNull(), own).otherwise(given))

@@ -115,6 +115,6 @@ def with_(*parts: str, select: str) -> str:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All registered queries and their SQL."""
-    from tidewire.plans import queries_batch, queries_functions, queries_streaming  # noqa: F401
+    from tidewire.plans import queries_batch, queries_functions, queries_service, queries_streaming  # noqa: F401
 
     return dict(QUERIES), dict(ORACLES)

@@ -58,3 +58,44 @@ def running_total(
     inside = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(*UP_TO_HERE)
     total = F.coalesce(F.col("__before"), F.lit(0)) + F.sum(column).over(inside)
     return cut.join(before, [*keys, "__block"]).select(*df.columns, total.alias(name))
+
+
+# Rows of a piece of a group; a frame of some rows before each row reaches into the piece before.
+PIECE_ROWS = 4096
+
+
+def numbered_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, name: str = "__row"
+) -> DataFrame:
+    """Add ``name``: the place of each row in its group, from 0, without one task per group.
+
+    ``block`` must not fall as the order rises. Rows that are equal in ``order`` are in any order.
+    """
+    cut = df.withColumn("__block", block)
+    sizes = cut.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = carried(sizes, keys, "__block", {"__before": F.sum("__n")})
+    inside = Window.partitionBy(*keys, "__block").orderBy(*order)
+    place = F.coalesce(F.col("__before"), F.lit(0)) + F.row_number().over(inside) - 1
+    # a group of null keys is one too
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "__block"]]
+    joined = cut.alias("c").join(before.alias("b"), same).select("c.*", "__before")
+    return joined.withColumn(name, place).drop("__block", "__before")
+
+
+def over_last_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, last: int,
+    aggregates: Mapping[str, Column],
+) -> DataFrame:
+    """Add aggregates over the ``last`` rows before each row, by ``order`` within the keys.
+
+    Rows are numbered, and a group is cut into pieces of equal numbers of rows; each piece also gets the
+    last rows of the piece before. So every frame lies in one piece and a group uses many tasks.
+    """
+    size = max(PIECE_ROWS, last)
+    rows = numbered_rows(df, keys, order, block)
+    piece = F.expr(f"__row div {size}")
+    pieces = F.when(F.col("__row") % size >= size - last, F.array(piece, piece + 1)).otherwise(F.array(piece))
+    dealt = rows.select("*", F.explode(pieces).alias("__piece"))
+    frame = Window.partitionBy(*keys, "__piece").orderBy("__row").rowsBetween(-last, -1)
+    found = dealt.select("*", *[agg.over(frame).alias(name) for name, agg in aggregates.items()])
+    return found.filter(piece == F.col("__piece")).drop("__row", "__piece")

@@ -20,41 +20,76 @@ from tidewire.streaming.runs import on_disk
 Function = Callable[[tuple, Any, pd.DataFrame], tuple[Any, pd.DataFrame]]
 
 
+# state to the event time, in milliseconds, at which to wake up; None: not at all
+Alarm = Callable[[tuple], int | None]
+# key and state to the new state and output rows
+OnAlarm = Callable[[tuple, tuple], tuple[Any, pd.DataFrame]]
+
+
 class KeyedFunction(StatefulProcessor):
     """Runs a function per key; see ``with_state``."""
 
-    def __init__(self, function: Function, state: str, order: Sequence[str], time: str, idle_ms: int | None) -> None:
+    def __init__(self, function: Function, state: str, order, time, idle_ms, alarm, on_alarm) -> None:
         self.function, self.schema = function, state
         self.order, self.time, self.idle_ms = list(order), time, idle_ms
+        self.alarm, self.on_alarm = alarm, on_alarm
 
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", self.schema)
+        if self.idle_ms is not None:
+            self.ends = handle.getValueState("ends", "ms bigint")
+
+    def keep(self, new, timerValues, newest: int | None) -> None:  # noqa: N803
+        """Store the new state and set the timers that belong to it; the watermark is before them."""
+        soon = timerValues.getCurrentWatermarkInMs() + 1 if self.timed() else 0
+        wanted = set()
+        if new is None:
+            self.state.clear()
+            if self.idle_ms is not None:
+                self.ends.clear()
+        else:
+            self.state.update(tuple(new))
+            if self.idle_ms is not None:
+                ends = self.ends.get()[0] if self.ends.exists() else soon
+                if newest is not None:
+                    ends = max(ends, newest + self.idle_ms, soon)
+                    self.ends.update((ends,))
+                wanted.add(ends)
+            wakes = self.alarm(tuple(new)) if self.alarm else None
+            if wakes is not None:
+                wanted.add(max(wakes, soon))
+        if self.timed():
+            pending = set(self.handle.listTimers())
+            for timer in pending - wanted:
+                self.handle.deleteTimer(timer)
+            for timer in wanted - pending:
+                self.handle.registerTimer(timer)
+
+    def timed(self) -> bool:
+        return self.idle_ms is not None or self.alarm is not None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frame = pd.concat(list(rows), ignore_index=True)
         if self.order:
             frame = frame.sort_values(self.order, kind="stable", ignore_index=True)
-        old = self.state.get() if self.state.exists() else None
+        old = tuple(self.state.get()) if self.state.exists() else None
         new, out = self.function(key, old, frame)
-        if new is None:
-            self.state.clear()
-        else:
-            self.state.update(tuple(new))
-        if self.idle_ms is not None:
-            pending = list(self.handle.listTimers())
-            newest = int(frame[self.time].max().timestamp() * 1000)
-            ends = max([newest + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1, *pending])
-            for timer in pending:
-                if timer != ends:
-                    self.handle.deleteTimer(timer)
-            if ends not in pending and new is not None:
-                self.handle.registerTimer(ends)
+        newest = int(frame[self.time].max().timestamp() * 1000) if self.timed() else None
+        self.keep(new, timerValues, newest)
         yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.state.clear()
-        yield from ()
+        if not self.state.exists():
+            return
+        state, now = tuple(self.state.get()), expiredTimerInfo.getExpiryTimeInMs()
+        wakes = self.alarm(state) if self.alarm else None
+        if wakes is not None and wakes <= now:
+            state, out = self.on_alarm(key, state)
+            yield out
+        if self.idle_ms is not None and self.ends.get()[0] <= now:
+            state = None
+        self.keep(state, timerValues, None)
 
     def close(self) -> None:
         pass
@@ -70,15 +105,19 @@ def with_state(
     order: Sequence[str] = (),
     time: str = "ts",
     idle_ms: int | None = None,
+    alarm: Alarm | None = None,
+    on_alarm: OnAlarm | None = None,
     mode: str = "append",
 ) -> DataFrame:
     """The rows ``function`` gives out, in the schema ``output``.
 
-    ``state`` is the schema of the state. With ``idle_ms``, ``df`` must have a watermark on ``time``, and
-    rows of a key that come after its state has ended begin anew. Rows of one micro-batch are sorted by
-    ``order`` within their key; micro-batches come in the order of the source.
+    ``state`` is the schema of the state. Rows of one micro-batch are sorted by ``order`` within their key;
+    micro-batches come in the order of the source. With ``idle_ms`` or ``alarm``, ``df`` must have a
+    watermark on ``time``. With ``idle_ms``, rows of a key that come after its state has ended begin anew. When the
+    watermark passes the time ``alarm`` gives for a state, ``on_alarm`` is called; it should change the
+    state so that the alarm does not come again.
     """
-    processor = KeyedFunction(function, state, order, time, idle_ms)
+    processor = KeyedFunction(function, state, order, time, idle_ms, alarm, on_alarm)
     return (
         on_disk(df)
         .groupBy(*keys)
@@ -86,6 +125,6 @@ def with_state(
             statefulProcessor=processor,
             outputStructType=output,
             outputMode=mode,
-            timeMode="None" if idle_ms is None else "EventTime",
+            timeMode="EventTime" if processor.timed() else "None",
         )
     )
