@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.functions import attributes, grouping, text, times
+from tidewire.functions import attributes, grouping, jsonpath, text, times
 from tidewire.functions.filters import MessageFilter, filter_messages
 from tidewire.functions.jsonpath import JsonBody, parse_path
 from tidewire.functions.keyvalue import KeyValue, numeric_fields, text_fields
@@ -282,3 +282,38 @@ def test_attributes(spark):
     cases = {"[true]": True, "[Yes]": True, "1": True, "T": True, "[false]": False, "": False, "[[true]]": False}
     for value, expected in cases.items():
         assert one(spark, attributes.is_true(attributes.unwrap(F.col("v"))), v=value) is expected
+
+
+LIST_BODIES = [
+    '{"l":[{"k":"a","v":1},{"k":"b"},{"v":2.50},{}]}', '{"l":[{"k":"a"},7,"x",null,[1],{"k":null}]}', '{"l":[]}', '{"l":null}',
+    '{"l":{"p":{"k":"a"},"q":{"k":{"n":[1,2]}}}}', '{"l":5}', '{"l":"text"}', "{}", "[1]", "no json", None, '{"l":[1,"b",null,{"z":1},[2]]}',
+    '{"l":[{"k":[1,{"a":2}]},{"k":true}],"other":{"bad":1}}', '{"l":[{"K":"upper","k":"lower"}]}', '{"l":[{"k":"a"}',
+]
+
+
+@pytest.mark.parametrize("others", [(), ("$.other",), ("$.l",), ("$.l[0]",), ("$.l[*]",), ("$.l[*].v", "$.l[*].K")])
+@pytest.mark.parametrize("wanted", ["$.l[*].k", "$.l[*]"])
+def test_lists_from_the_parse_equal_lists_from_the_text(spark, wanted, others):
+    """Whatever else is read, and whatever types the elements have."""
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(LIST_BODIES)], "id int, body string")
+    body = jsonpath.JsonBody()
+    path = body.need(jsonpath.parse_path(wanted))
+    for other in others:
+        body.need(jsonpath.parse_path(other))
+    definite = F.get_json_object("body", "$.l")
+    text = body._listed_from(path, F.when(jsonpath.is_object(F.col("body")), definite))
+    attached = body.attach(df)
+    rows = attached.select("id", body.values(path).alias("parsed"), text.alias("text")).collect()
+    for r in rows:
+        assert r.parsed == r.text, LIST_BODIES[r.id]
+
+
+def test_several_xml_paths_at_once(spark):
+    bodies = ["<r><a>1</a><b> x </b><a>2</a></r>", "<r/>", "<r><a>", None, "text", "<r><a><c>in</c>ner</a></r>"]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    paths = ["/r/a", "/r/b", "/r/none", "count(/r/a)"]
+    many = grouping.group_keys_xml(F.col("body"), paths)
+    single = [grouping.group_key_xml(F.col("body"), p) for p in paths]
+    one = grouping.group_keys_xml(F.col("body"), ["/r/a"])
+    for r in df.select(F.array(*many).alias("many"), F.array(*single).alias("single"), one[0].alias("one")).collect():
+        assert r["many"] == r["single"] and r["one"] == r["single"][0]

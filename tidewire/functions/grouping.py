@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,18 @@ def group_key_json(body: Column, path: str) -> Column:
     return object_text(json_value(body, path))
 
 
+# Stands between the results of several paths; no XML document can hold it.
+XML_SEPARATOR = "\x1f"
+
+
+def group_keys_xml(body: Column, paths: Sequence[str]) -> list[Column]:
+    """``group_key_xml`` of several paths with one look at the body for all of them."""
+    texts = f", '{XML_SEPARATOR}', ".join(f"string({path})" for path in paths)
+    found = group_key_xml(body, f"concat({texts}, '')") if len(paths) > 1 else group_key_xml(body, *paths)
+    parts = F.split(found, XML_SEPARATOR, -1)
+    return [F.get(parts, F.lit(i)) for i in range(len(paths))]
+
+
 def group_key_xml(body: Column, path: str) -> Column:
     """XPath as text; an absent node gives ``''``, a body that is no XML gives null."""
     checked = F.from_xml(

@@ -231,6 +231,13 @@ class JsonBody:
         """Register the longest definite part of ``path``, and its list of results if it has one."""
         if not path.definite:
             self.lists.setdefault(path, f"{self.column}_{len(self.lists)}")
+        if self._one_list(path):
+            items = self._items(self._definite_part(path))
+            if items is not None:
+                for name in path.steps[path.each_at[0] + 1 :]:
+                    items = items.fields.setdefault(name, _Node())
+                items.wanted = True
+                return path
         if node := self._node(self._definite_part(path)):
             node.wanted = True
         return path
@@ -254,6 +261,45 @@ class JsonBody:
                 node = node.fields.setdefault(step, _Node())
         return node
 
+    @staticmethod
+    def _one_list(path: JsonPath) -> bool:
+        """A list whose elements, or one field of each, are wanted: the parse of the body can give it."""
+        tail = path.steps[path.each_at[0] + 1 :] if path.each_at else ()
+        return len(path.each_at) == 1 and path.condition is None and (
+            not tail or (len(tail) == 1 and isinstance(tail[0], str))
+        )
+
+    def _items(self, steps: tuple[str | int, ...]) -> _Node | None:
+        """The elements of the list at a definite path."""
+        node = self._node(steps)
+        if node is None or any(isinstance(step, int) for step in steps):
+            return None
+        node.items = node.items or _Node()
+        return node.items
+
+    def _parsed_list(self, path: JsonPath) -> Column | None:
+        """The list as the parse of the body gives it; none where the body had to be kept as text.
+
+        Right only where the parse was clean: an element of another type than the rest is an error there.
+        """
+        steps = self._definite_part(path)
+        if not self._one_list(path) or not steps or any(isinstance(s, int) for s in steps) or steps[0] in self._ambiguous():
+            return None
+        node, value = self.root, F.col(self.column)
+        for step in steps:
+            value, node = value[step], node.fields[step]
+            if node.raw or node.mapped:
+                return None
+        if node.items is None:
+            return None
+        tail = path.steps[path.each_at[0] + 1 :]
+        if not tail:
+            return value if node.items.raw else None
+        if node.items.raw or node.items.mapped or not node.items.fields[tail[0]].raw:
+            return None
+        there = F.filter(value, lambda element: element.isNotNull())
+        return F.transform(there, lambda element: element[tail[0]])
+
     @staticmethod
     def _definite_part(path: JsonPath) -> tuple[str | int, ...]:
         return path.steps[: path.each_at[0]] if path.each_at else path.steps
@@ -285,10 +331,14 @@ class JsonBody:
     def drop(self, df: DataFrame) -> DataFrame:
         return df.drop(self.column, *self.lists.values())
 
+    def _clean(self) -> Column:
+        """The body could be parsed and all values have the types that were expected."""
+        doc = F.col(self.column)
+        return doc.isNotNull() & doc[self.CORRUPT].isNull()
+
     def valid(self) -> Column:
         """The body is a JSON document."""
-        doc = F.col(self.column)
-        clean = doc.isNotNull() & doc[self.CORRUPT].isNull()
+        clean = self._clean()
         # a value of another type than the paths expect also marks the record; look again then
         return F.when(clean, F.lit(True)).otherwise(
             F.get_json_object(F.col(self.body), "$").isNotNull()
@@ -332,7 +382,27 @@ class JsonBody:
         return F.col(self.lists[path])
 
     def _listed(self, path: JsonPath) -> Column:
-        raw = self._raw(self._definite_part(path))
+        steps = self._definite_part(path)
+        if self._kept_as_text(steps):
+            return self._listed_from(path, self._raw(steps))
+        # what the parse does not give is read from the text of the body
+        body = F.col(self.body)
+        text = self._listed_from(path, F.when(is_object(body), F.get_json_object(body, spark_path(steps))))
+        parsed = self._parsed_list(path)
+        return text if parsed is None else F.when(self._clean(), parsed).otherwise(text)
+
+    def _kept_as_text(self, steps: tuple[str | int, ...]) -> bool:
+        """Whether ``_raw`` gives the value at definite ``steps`` as text."""
+        if not steps or isinstance(steps[0], int) or steps[0] in self._ambiguous():
+            return True
+        node = self.root
+        for at, step in enumerate(steps):
+            if at and (node.raw or node.mapped):
+                return True
+            node = node.items if isinstance(step, int) else node.fields[step]
+        return node.raw
+
+    def _listed_from(self, path: JsonPath, raw: Column) -> Column:
         if path.each_at:
             first = path.each_at[0]
             found = _spread(_members(raw), path.steps[first + 1 :])

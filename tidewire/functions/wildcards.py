@@ -40,6 +40,20 @@ def shape(pattern: Column) -> Column:
     )
 
 
+def length_of(shape_: Column) -> Column:
+    """The number of places of a shape, and whether it has any-words."""
+    places = F.split(shape_, r"\.")
+    return F.struct(F.size(places).alias("places"), F.array_contains(places, ">").alias("open"))
+
+
+def lengths_for(address: Column) -> Column:
+    """The ``length_of`` all shapes that an address can match: as many places as it has words, or any-words
+    and up to one place more."""
+    n = F.size(F.split(address, r"\."))
+    opened = F.transform(F.sequence(F.lit(1), n + 1), lambda p: F.struct(p.alias("places"), F.lit(True).alias("open")))
+    return F.array_append(opened, F.struct(n.alias("places"), F.lit(False).alias("open")))
+
+
 def generalize(address: Column, shape_: Column) -> Column:
     """The only pattern of the given shape that can match the address; null when none can.
 

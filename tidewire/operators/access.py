@@ -18,14 +18,15 @@ def match_patterns(addresses: DataFrame, patterns: DataFrame) -> DataFrame:
     ``addresses`` should have each address once; its other columns are kept.
     """
     listed = patterns.select("pattern").distinct().withColumn("shape", wildcards.shape(F.col("pattern")))
-    # as many as the patterns differ in form, whatever their number
-    shapes = listed.select(F.collect_set("shape")).scalar()
+    # a shape is met only by addresses of fitting length, so this is an equi-join too
+    shapes = listed.select(F.col("shape").alias("__shape")).distinct()
+    shapes = shapes.withColumn("__length", wildcards.length_of(F.col("__shape")))
     possible = (
-        addresses.withColumn("__shapes", shapes)
-        .withColumn("__shape", F.explode("__shapes"))
+        addresses.withColumn("__length", F.explode(wildcards.lengths_for(F.col("address"))))
+        .join(shapes, "__length")
         .withColumn("__key", wildcards.generalize(F.col("address"), F.col("__shape")))
         .filter(F.col("__key").isNotNull())
-        .drop("__shapes", "__shape")
+        .drop("__length", "__shape")
     )
     keyed = listed.select(
         "pattern",

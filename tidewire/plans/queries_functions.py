@@ -167,11 +167,9 @@ def _group_key_xml(spark, sf_dir):
         F.get_json_object("body", "$.props.k"), F.lit("</k></place></root>"),
     )
     xml = F.when(F.col("message_id") % 9 == 0, F.lit("<root><k>")).otherwise(whole)
-    return messages(spark, sf_dir).withColumn("body", xml).select(
-        "message_id",
-        grouping.group_key_xml(F.col("body"), "/root/place/k").alias("group_key"),
-        grouping.group_key_xml(F.col("body"), "/root/none").alias("absent"),
-    )
+    key, absent = grouping.group_keys_xml(F.col("body"), ["/root/place/k", "/root/none"])
+    sent = messages(spark, sf_dir).select("message_id", xml.alias("body"))
+    return sent.select("message_id", key.alias("group_key"), absent.alias("absent"))
 
 
 @query(
