@@ -60,19 +60,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts are different documents, and rows without an id are copies like others. Of rows with the same
     id and text any one stays. Texts without words belong to no group and all stay.
     """
-    mark = F.xxhash64("text")
-    rows = _carried(docs).withColumns({"id": F.col("row.doc_id"), "mark": mark})
+    named = F.struct(F.col("row.doc_id").isNull().alias("nameless"), F.col("row.doc_id").alias("id"), F.xxhash64("text").alias("mark"))
+    rows = _carried(docs).withColumn("id", named)
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     some = rows.filter(worded)
-    found = jaccard_components(some.select("mark", "text"), id_column="mark")
-    groups = found.select("mark", F.col("component_id").alias("component")).distinct()
-    groups = materialize(groups, "copy-groups")
-    keys = some.select("id", "mark").distinct().join(groups, "mark")
-    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "mark")).alias("first")
-    kept = materialize(keys.groupBy("component").agg(first).select("first.*"), "kept-copies")
-    same = F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.mark") == F.col("k.mark"))
-    single = some.alias("r").join(kept.hint("shuffle_hash").alias("k"), same, "left_semi")
-    single = single.select("row", "id", "mark").dropDuplicates(["id", "mark"]).select("row.*")
+    found = jaccard_components(some.select("id", "text"), id_column="id")
+    kept = found.filter("id = component_id").select("id").distinct()
+    single = some.join(materialize(kept, "kept-copies").hint("shuffle_hash"), "id", "left_semi")
+    single = single.select("row", "id").dropDuplicates(["id"]).select("row.*")
     return single.unionByName(rows.filter(~worded).select("row.*"))
 
 

@@ -195,7 +195,7 @@ def _shared(
     share = able.select("digest", (F.col("listed") / F.col("n")).alias("share"))
     hub = F.max(F.struct("share", "digest")).over(token)
     lists = found.join(share, "digest").select("token", "digest", hub["digest"].alias("hub"))
-    return materialize(lists, "token-lists"), able.select("digest", "id", "n")
+    return materialize(lists, "token-lists"), able.select("digest", "id", "copies", "n")
 
 
 def _filter_of(classes: DataFrame) -> tuple[np.ndarray, int]:
@@ -211,7 +211,8 @@ def _filter_of(classes: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sets_of_classes(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
-    """The token sets of some classes (``digest``, ``id``, ``n``), read again from one text of each.
+    """The token sets of some classes (``digest``, ``id``, ``copies``, ``n``), read again from the text of the
+    class's id; where rows repeat that, from one of them.
 
     A filter of bounded size keeps most other texts from being moved.
     """
@@ -243,6 +244,8 @@ def _sets_of_classes(docs: DataFrame, classes: DataFrame, shingle: int) -> DataF
     texts = texts.mapInArrow(chosen, f"id {id_type}, text string")
     texts = texts.join(classes.select("id", "digest").hint("shuffle_hash"), "id")
     sets = texts.select("digest", "text").mapInArrow(lambda b: released(run(b)), "digest long, tokens binary")
+    if not classes.filter("copies > 1").isEmpty():
+        sets = sets.dropDuplicates(["digest"])
     sets = materialize(sets, "class-sets")
     shared.destroy()
     return sets
@@ -399,9 +402,9 @@ def jaccard_components(
     found = _sets(docs, shingle)
     documents = found.filter("chunk is null")
     named = documents.filter("id is not null and digest is not null")
-    classes = materialize(
-        named.groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n")), "classes"
-    )
+    named = named.groupBy("digest", "id").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
+    first = named.groupBy("digest").agg(F.min(F.struct("id", "copies")).alias("first"), F.max("n").alias("n"))
+    classes = materialize(first.select("digest", "first.*", "n"), "classes")
     levels = docs.sparkSession.sparkContext.broadcast(_levels(found.filter("chunk is not null")))
     known = docs.filter("id is not null and text is not null")
     lists, able = _shared(_postings(known, levels, shingle, percent), classes, percent)
