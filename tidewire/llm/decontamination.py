@@ -8,8 +8,10 @@ place in the window, and meets it with the lists of the other words from rare to
 soon as nothing is left. ``slop`` 0 gives exact phrases, more gives proximity matches: every word within
 ``slop`` words of its place.
 
-Nothing is shuffled: postings stay with their block, so no list of a frequent word is ever in one task.
-The items are sent in groups of bounded size.
+Postings are not shuffled: they stay with their block, so no list of a frequent word is ever in one task. The
+windows are formed by tasks and written as a table; they are sent to the blocks in groups of at most about
+``ITEM_BYTES``, one group at a time, and what documents have of several groups is put together by document.
+Of the benchmark the driver holds one group and, for each of its distinct words, a hash and a count.
 
 Words are runs of ASCII letters and digits and of all non-ASCII bytes, A-Z lower-cased. A window is
 ``WINDOW`` consecutive words of an item; an item of fewer words is one window, an item without words has
@@ -20,6 +22,7 @@ than the id and the text are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import pickle
 from collections.abc import Iterator
@@ -27,18 +30,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewire.llm.flat import ALPHANUMERIC, flat_bytes, row_slices, signed, word_hashes
-from tidewire.settings import scratch_path
+from tidewire.llm.flat import ALPHANUMERIC, flat_bytes, row_slices, word_hashes
+from tidewire.llm.frames import released, small_batches
+from tidewire.settings import materialize, scratch_path
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20  # text of an index block; a longer text is a block of its own
-ITEM_BYTES = 16 << 20  # benchmark text sent to the tasks at once
+ITEM_BYTES = 16 << 20  # of the windows that are sent to the tasks at once
+
+WINDOWS_AT_ONCE = 10_000
 
 INDEX_SCHEMA = (
-    "doc_ids binary, word_counts binary, words binary, posting_ends binary, positions binary"
+    "block long, doc_ids binary, word_counts binary, words binary, posting_ends binary, positions binary"
 )
 
 
@@ -52,22 +60,36 @@ class Windows:
     items: np.ndarray
 
 
-def _hashes(texts: list[str | None]) -> list[np.ndarray]:
-    flat, counts = word_hashes(*flat_bytes(pa.array(texts, pa.string())), ALPHANUMERIC)
-    return np.split(flat, np.cumsum(counts)[:-1]) if texts else []
+def item_words(benchmark: DataFrame, item_column: str, text_column: str) -> DataFrame:
+    """``item`` and its ``words``, as hashes; items without an id or without words are left out."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end in row_slices(batch.column(1)):
+                flat, counts = word_hashes(*flat_bytes(batch.column(1).slice(begin, end - begin)), ALPHANUMERIC)
+                words = np.split(flat, np.cumsum(counts)[:-1])
+                some = [i for i, w in enumerate(words) if len(w)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(begin, end - begin).take(pa.array(some, pa.int64())),
+                     pa.array([words[i].tobytes() for i in some], pa.binary())],
+                    names=["item", "words"],
+                )
+
+    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(text_column).alias("text"))
+    items = items.filter("item is not null and text is not null")
+    return materialize(items.mapInArrow(run, "item string, words binary"), "benchmark-words")
 
-def item_groups(benchmark: DataFrame, item_column: str, text_column: str) -> list[DataFrame]:
-    """The items in groups of at most about ``ITEM_BYTES`` of text each."""
-    size = benchmark.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
-    groups = 1 + size // ITEM_BYTES
-    items = benchmark.select(
-        F.col(item_column).cast("string").alias("item"), F.col(text_column).alias("text")
-    )
-    if groups == 1:
-        return [items]
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(groups))
-    return [items.filter(part == g) for g in range(groups)]
+
+def vocabulary_of(words: DataFrame) -> np.ndarray:
+    """The distinct words of the items, sorted: 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["word"])
+
+    found = words.select("words").mapInArrow(run, "word long").distinct().toPandas()["word"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
 def build_index(
@@ -79,7 +101,10 @@ def build_index(
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         known = shared.value
+        number = TaskContext.get().partitionId() << 24
         for batch in batches:
             texts = batch.column(1)
             for begin, end in row_slices(texts, BLOCK_BYTES):
@@ -108,18 +133,21 @@ def build_index(
                     positions.tobytes(),
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], pa.binary()) for v in row],
-                    names=["doc_ids", "word_counts", "words", "posting_ends", "positions"],
+                    [pa.array([number], pa.int64()), *[pa.array([v], pa.binary()) for v in row]],
+                    names=["block", "doc_ids", "word_counts", "words", "posting_ends", "positions"],
                 )
+                number += 1
 
     path = scratch_path(spark, "positional-index")
-    blocks = docs.select(id_column, text_column).mapInArrow(run, INDEX_SCHEMA)
+    chosen = docs.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
+    blocks = chosen.mapInArrow(lambda batches: released(run(batches)), INDEX_SCHEMA)
     blocks.write.option("compression", "zstd").parquet(path)
+    shared.destroy()
     return spark.read.schema(INDEX_SCHEMA).parquet(path)
 
 
-def word_frequencies(index: DataFrame) -> dict[int, int]:
-    """How often each indexed word occurs; as many entries as the items have distinct words."""
+def word_frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How often each word of the vocabulary occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,26 +159,57 @@ def word_frequencies(index: DataFrame) -> dict[int, int]:
                 )
 
     counted = index.select("words", "posting_ends").mapInArrow(run, "word long, n long")
-    return {w: n for w, n in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
-
-
-def item_windows(
-    items: list[tuple[str, np.ndarray]], frequencies: dict[int, int], window: int
-) -> Windows:
-    """The distinct windows of the items that can occur, their words rarest first."""
-    words, places, lengths, owners = [], [], [], []
-    for item, hashes in items:
-        rarity = [frequencies.get(w, 0) for w in signed(hashes).tolist()]
-        for begin in range(max(1, len(hashes) - window + 1) if len(hashes) else 0):
-            counts = rarity[begin : begin + window]
-            if min(counts) == 0:
-                continue  # a word that occurs nowhere
-            order = np.argsort(counts, kind="stable")
-            words.append(hashes[begin : begin + window][order])
-            places.append(order)
-            lengths.append(len(order))
-            owners.append(item)
-    return Windows(words, places, np.array(lengths, np.int64), np.array(owners, object))
+    found = counted.groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(vocabulary), np.int64)
+    out[np.searchsorted(vocabulary, found["word"].to_numpy(np.int64).view(np.uint64))] = found["n"].to_numpy()
+    return out
+
+
+def item_windows(words: DataFrame, vocabulary: np.ndarray, counts: np.ndarray, window: int) -> DataFrame:
+    """The windows of the items that can occur: ``item``, ``words`` (rarest first) and their ``places``."""
+    shared = words.sparkSession.sparkContext.broadcast((vocabulary, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = shared.value
+        for batch in batches:
+            for item, raw in zip(batch.column(0), batch.column(1), strict=True):
+                hashes = np.frombuffer(raw.as_buffer(), np.uint64)
+                rarity = often[np.searchsorted(known, hashes)]
+                size = min(window, len(hashes))
+                for begin in range(0, len(hashes) - size + 1, WINDOWS_AT_ONCE):
+                    part = slice(begin, begin + WINDOWS_AT_ONCE + size - 1)
+                    cut, rare = (np.lib.stride_tricks.sliding_window_view(x[part], size) for x in (hashes, rarity))
+                    can = rare.min(axis=1) > 0  # else a word occurs nowhere
+                    cut, rare = cut[can], rare[can]
+                    order = np.argsort(rare, axis=1, kind="stable")
+                    sorted_words = np.take_along_axis(cut, order, axis=1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item.as_py()] * len(order), pa.string()),
+                         pa.array([r.tobytes() for r in sorted_words], pa.binary()),
+                         pa.array([r.tobytes() for r in order.astype(np.int32)], pa.binary())],
+                        names=["item", "words", "places"],
+                    )
+
+    found = words.mapInArrow(run, "item string, words binary, places binary")
+    found = materialize(found, "benchmark-windows")
+    shared.destroy()
+    return found
+
+
+def window_parts(windows: DataFrame) -> Iterator[Column]:
+    """Conditions that cut the windows into groups of at most about ``ITEM_BYTES``."""
+    size = windows.agg(F.sum(F.octet_length("words") + F.octet_length("places"))).first()[0] or 0
+    groups = 1 + size // ITEM_BYTES
+    part = F.pmod(F.xxhash64("item", "words", "places"), F.lit(groups))
+    return (part == g for g in range(groups))
+
+
+def _group(windows: DataFrame, part: Column) -> Windows:
+    rows = windows.filter(part).collect()
+    words = [np.frombuffer(r["words"], np.uint64) for r in rows]
+    places = [np.frombuffer(r["places"], np.int32) for r in rows]
+    lengths = np.array([len(w) for w in words], np.int64)
+    return Windows(words, places, lengths, np.array([r["item"] for r in rows], object))
 
 
 def _near(sorted_positions: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -185,20 +244,28 @@ def _occurrences(lists, windows: Windows, i: int, starts: np.ndarray, ends: np.n
     return begin
 
 
-def search(
-    index: DataFrame, groups: list[Windows], slop: int = 0, id_type: str = "long"
-) -> DataFrame:
-    """Per document its words, the words inside a match, and the items that match.
+def _joined(spans: list[tuple[int, int]]) -> list[dict]:
+    """Spans in order of their begin, with those that touch or overlap made one."""
+    out: list[dict] = []
+    for begin, end in spans:
+        if out and begin <= out[-1]["end"]:
+            out[-1]["end"] = max(end, out[-1]["end"])
+        else:
+            out.append({"begin": begin, "end": end})
+    return out
+
+
+FOUND = "block long, place long, doc_id {}, n_words long, items array<string>, spans array<struct<begin:long,end:long>>"
+
 
-    Columns ``doc_id``, ``n_words``, ``n_hit``, ``items`` (sorted as text), ``spans`` (begin and end
-    of the merged matches, in words of the document).
+def search(index: DataFrame, windows: Windows, slop: int = 0, id_type: str = "long") -> DataFrame:
+    """Per document the items that match, and where.
+
+    Columns ``block`` and ``place`` (of the document in the index), ``doc_id``, ``n_words``, ``items`` (sorted as
+    text) and ``spans`` (begin and end of the merged matches, in words of the document).
     """
-    spark = index.sparkSession
-    shared = [spark.sparkContext.broadcast(g) for g in groups]
-    schema = (
-        f"doc_id {id_type}, n_words long, n_hit long, items array<string>, "
-        "spans array<struct<begin:long,end:long>>"
-    )
+    shared = index.sparkSession.sparkContext.broadcast(windows)
+    id_arrow = to_arrow_type(T.DataType.fromDDL(id_type))
 
     def block(row) -> dict[str, list]:
         counts = np.frombuffer(row["word_counts"], np.int64)
@@ -210,16 +277,15 @@ def search(
         ends_of = np.cumsum(counts)
         filled = np.flatnonzero(counts)  # documents with words; their starts differ
         begins, finishes, owners = [], [], []
-        for sent in shared:
-            windows = sent.value
-            for i in range(len(windows.words)):
-                found = _occurrences(lists, windows, i, starts[filled], ends_of[filled], slop)
-                if found is not None:
-                    begins.append(found)
-                    finishes.append(found + windows.lengths[i])
-                    owners.append(np.full(len(found), windows.items[i], object))
+        windows = shared.value
+        for i in range(len(windows.words)):
+            found = _occurrences(lists, windows, i, starts[filled], ends_of[filled], slop)
+            if found is not None:
+                begins.append(found)
+                finishes.append(found + windows.lengths[i])
+                owners.append(np.full(len(found), windows.items[i], object))
         items: list[list[str]] = [[] for _ in counts]
-        spans: list[list[dict]] = [[] for _ in counts]
+        spans: list[list[tuple[int, int]]] = [[] for _ in counts]
         if begins:
             begin, end, owner = map(np.concatenate, (begins, finishes, owners))
             doc = filled[np.searchsorted(starts[filled], begin, side="right") - 1]
@@ -229,21 +295,19 @@ def search(
                 (end - starts[doc])[order].tolist(), owner[order], strict=True,
             ):
                 items[d].append(item)
-                if spans[d] and b <= spans[d][-1]["end"]:
-                    spans[d][-1]["end"] = max(e, spans[d][-1]["end"])
-                else:
-                    spans[d].append({"begin": b, "end": e})
+                spans[d].append((b, e))
         return {
+            "block": [row["block"]] * len(counts),
+            "place": list(range(len(counts))),
             "doc_id": pickle.loads(row["doc_ids"]),
             "n_words": counts.tolist(),
-            "n_hit": [sum(s["end"] - s["begin"] for s in x) for x in spans],
             "items": [sorted(set(x)) for x in items],
-            "spans": spans,
+            "spans": [_joined(x) for x in spans],
         }
 
     arrow = {
-        "n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()),
-        "spans": pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])),
+        "block": pa.int64(), "place": pa.int64(), "doc_id": id_arrow, "n_words": pa.int64(),
+        "items": pa.list_(pa.string()), "spans": pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])),
     }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,26 +319,49 @@ def search(
                     [pa.array(v, arrow.get(k)) for k, v in out.items()], names=list(out)
                 )
 
-    return index.mapInArrow(run, schema)
+    return index.mapInArrow(lambda batches: released(run(batches)), FOUND.format(id_type))
+
+
+def _together(found: list[DataFrame]) -> DataFrame:
+    """What documents have of several groups of windows; only the first part has documents without any."""
+    rest = functools.reduce(DataFrame.unionByName, [f.filter(F.size("items") > 0) for f in found[1:]], found[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            spans = [_joined([(s["begin"], s["end"]) for s in row.as_py()]) for row in batch.column("spans")]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(spans, kind)], names=batch.schema.names
+            )
+
+    merged = rest.groupBy("block", "place").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+    )
+    return merged.mapInArrow(run, merged.schema)
 
 
 def matches(
     docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
     item_column: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = 0,
 ) -> DataFrame:
-    """``search`` of all items in all documents, with an index made for them."""
-    groups = item_groups(benchmark, item_column, item_text)
-    hashed = []
-    for group in groups:
-        rows = group.collect()  # at most about ITEM_BYTES of text
-        texts = _hashes([r["text"] for r in rows])
-        hashed.append([(r["item"], h) for r, h in zip(rows, texts, strict=True) if r["item"] is not None])
-    used = [h for group in hashed for _, h in group]
-    vocabulary = np.unique(np.concatenate(used)) if used else np.zeros(0, np.uint64)
+    """``search`` of all items in all documents, with an index made for them: ``doc_id``, ``n_words``, ``n_hit`` (words
+    inside a match), ``items`` and ``spans``."""
+    small_batches(docs.sparkSession)
+    words = item_words(benchmark, item_column, item_text)
+    vocabulary = vocabulary_of(words)
     index = build_index(docs, vocabulary, id_column, text_column)
-    frequencies = word_frequencies(index)
-    windows = [item_windows(group, frequencies, window) for group in hashed]
-    return search(index, windows, slop, docs.schema[id_column].dataType.simpleString())
+    windows = item_windows(words, vocabulary, word_frequencies(index, vocabulary), window)
+    id_type = docs.schema[id_column].dataType.simpleString()
+    parts = list(window_parts(windows))
+    if len(parts) == 1:
+        found = search(index, _group(windows, parts[0]), slop, id_type)
+    else:  # each is written before the next, so that one group is held at a time
+        found = [materialize(search(index, _group(windows, p), slop, id_type), "matches") for p in parts]
+        found = _together(found)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
