@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewire.llm.flat import ALPHANUMERIC, flat_bytes, row_slices, word_hashes
-from tidewire.llm.frames import released, small_batches
+from tidewire.llm.frames import regrouped, released, small_batches
 from tidewire.settings import materialize, scratch_path
 
 WINDOW = 10
@@ -105,7 +105,7 @@ def build_index(
 
         known = shared.value
         number = TaskContext.get().partitionId() << 24
-        for batch in batches:
+        for batch in regrouped(batches, size=BLOCK_BYTES):
             texts = batch.column(1)
             for begin, end in row_slices(texts, BLOCK_BYTES):
                 ids, counts, word, position = [], [], [], []

@@ -31,6 +31,22 @@ def released(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     pa.default_memory_pool().release_unused()
 
 
+def regrouped(
+    batches: Iterable[pa.RecordBatch], rows: int = 1 << 30, size: int = 1 << 30
+) -> Iterable[pa.RecordBatch]:
+    """Batches put together until they have so many rows or bytes; the last may have fewer."""
+    held, n, held_bytes = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        held_bytes += batch.nbytes
+        if n >= rows or held_bytes >= size:
+            yield pa.concat_batches(held)
+            held, n, held_bytes = [], 0, 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 def with_columns(docs: DataFrame, fields: Sequence[T.StructField], run) -> DataFrame:
     """``docs`` through ``run`` (batches in, batches out), which appends ``fields`` to each batch.
 

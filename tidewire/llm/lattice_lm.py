@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewire.llm.flat import flat_bytes, mixed, row_slices, signed, word_bounds, word_hashes
-from tidewire.llm.frames import released, small_batches
+from tidewire.llm.frames import regrouped, released, small_batches
 from tidewire.settings import materialize, scratch_path
 
 BLOCK_BYTES = 4 << 20  # text of a block; a longer text is a block of its own
@@ -233,7 +233,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 24
-        for batch in batches:
+        for batch in regrouped(batches, size=BLOCK_BYTES):
             texts = batch.column(1)
             for begin, end in row_slices(texts, BLOCK_BYTES):
                 hashes, counts, words = [], [], {}
@@ -355,7 +355,7 @@ def _reestimated(words: DataFrame, lattice: Lattice, rounds: int) -> Lattice:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total, ends = np.zeros(len(shared.value.log_p)), 0.0
-            for batch in batches:
+            for batch in regrouped(batches, WORDS_AT_ONCE):
                 if batch.num_rows:
                     found, n = expected_pieces(shared.value, _decoded(batch.column(0)))
                     total += found
@@ -463,7 +463,7 @@ def score_texts(
         return np.logaddexp(own, np.log(taken[k]) + lower)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in regrouped(batches, WORDS_AT_ONCE):
             spelled = word_log_probabilities(shared.value, _decoded(batch.column(0)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(spelled.astype(np.float32))], names=["key", "c0", "spelled"]

@@ -138,7 +138,7 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score_texts(marked, vocabulary, class_column="lang")
     return found.select(
         "doc_id", (crc32_of_id() % 7 == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens",
-        "base_score", "score",
+        "base_score", "score", "lattice_score",
     )
 
 
