@@ -10,6 +10,7 @@ from tidewire.functions.filters import MessageFilter, filter_messages
 from tidewire.functions.jsonpath import JsonBody, parse_path
 from tidewire.functions.keyvalue import KeyValue, numeric_fields, text_fields
 
+# Bodies, expressions and results of the conformance vectors.
 P = '{"name":"pepito","surname":"lospalotes","addresses":["calle de la piruleta 33","rue de la fua"]}'
 U = (
     '{"user":{"profile":{"firstName":"John","lastName":"Doe","age":30,"roles":["admin","reader"],'

@@ -13,6 +13,8 @@ from tidewire.operators import access, bridging, extract, jobs, lifecycle, looku
 from tidewire.plans import inputs
 from tidewire.sources import config, messages, roles, sinks
 
+# Configuration keys, addresses and results of the conformance vectors in this file.
+
 START = datetime.datetime(2024, 1, 1)
 
 MESSAGE = "message_id bigint, address string, body string, properties map<string,string>, ts timestamp, user string, group_id string"

@@ -171,10 +171,10 @@ SELECT bucket, measurement, count(*) AS points, CAST(sum(k) AS BIGINT) AS k_sum,
 FROM points GROUP BY 1, 2"""),
 )
 def points_by_bucket(spark, sf_dir):
-    return _per_bucket(extract.extract_points(messages(spark, sf_dir), RULES))
+    return per_bucket(extract.extract_points(messages(spark, sf_dir), RULES))
 
 
-def _per_bucket(points: DataFrame) -> DataFrame:
+def per_bucket(points: DataFrame) -> DataFrame:
     return points.groupBy("bucket", "measurement").agg(
         F.count(F.lit(1)).alias("points"),
         F.sum(F.try_element_at("fields_num", F.lit("k"))).cast("bigint").alias("k_sum"),
@@ -198,7 +198,7 @@ def _points_written(spark, sf_dir):
     bucket = F.when(last == 7, "007").when(last == 8, "").otherwise(F.col("bucket"))
     points = points.withColumn("bucket", bucket)
     sinks.write_points(points, path)
-    return _per_bucket(sinks.read_points(spark, path, points.schema))
+    return per_bucket(sinks.read_points(spark, path, points.schema))
 
 
 @query(
@@ -325,6 +325,58 @@ def _group_ordered(spark, sf_dir):
     return met.select("message_id", "group_id", position.cast("bigint").alias("position"), one_task.alias("one_task"))
 
 
+@query(
+    "group_ranges",
+    with_(MESSAGES, select="""
+SELECT message_id, CAST(k AS VARCHAR) AS group_id, row_number() OVER (PARTITION BY k ORDER BY us, message_id) AS position
+FROM messages"""),
+)
+def _group_ranges(spark, sf_dir):
+    """The place of each message in its group as tasks meet it that share the groups by ranges."""
+    keyed = messages(spark, sf_dir).select(
+        "message_id", "ts", F.get_json_object("body", "$.props.k").alias("group_id")
+    )
+    met = routing.group_ordered(keyed).select("message_id", "group_id", F.monotonically_increasing_id().alias("met"))
+    position = F.row_number().over(Window.partitionBy("group_id").orderBy("met"))
+    return met.select("message_id", "group_id", position.cast("bigint").alias("position"))
+
+
+@query(
+    "drop_management",
+    with_(MESSAGES, select="""
+SELECT address, count(*) AS messages FROM messages WHERE message_id % 7 > 1 GROUP BY 1"""),
+)
+def _drop_management(spark, sf_dir):
+    """Messages to the broker's own addresses (here two of seven) are dropped."""
+    number = F.col("message_id") % 7
+    own = F.when(number == 0, routing.MANAGEMENT[0]).when(number == 1, routing.MANAGEMENT[1]).otherwise(F.col("address"))
+    kept = routing.drop_management(messages(spark, sf_dir).withColumn("address", own))
+    return kept.groupBy("address").agg(F.count(F.lit(1)).alias("messages"))
+
+
+@query(
+    "monitored_queues",
+    with_(MESSAGES, select="""
+SELECT 'data.' || event_type AS queue, count(*) AS messages FROM messages
+WHERE message_id % 5 <> 0 AND event_type IN ('click', 'view') GROUP BY 1"""),
+)
+def _monitored_queues(spark, sf_dir):
+    """Queues of the broker itself (here every fifth message) and those that no pattern names are left out."""
+    kind = F.substring_index("address", ".", -1)
+    queue = F.when(F.col("message_id") % 5 == 0, F.concat(F.lit("$sys.data."), kind)).otherwise(F.concat(F.lit("data."), kind))
+    kept = snapshots.monitored_queues(messages(spark, sf_dir).withColumn("queue", queue), r"data\.(click|view)")
+    return kept.groupBy("queue").agg(F.count(F.lit(1)).alias("messages"))
+
+
+@query(
+    "strip_backslashes",
+    with_(MESSAGES, select=" SELECT message_id, address FROM messages"),
+)
+def _strip_backslashes(spark, sf_dir):
+    escaped = messages(spark, sf_dir).withColumn("address", F.replace("address", F.lit("."), F.lit("\\.")))
+    return escaped.select("message_id", text.strip_backslashes(F.col("address")).alias("address"))
+
+
 @query(
     "step_functions",
     with_(MESSAGES, select="""

@@ -13,10 +13,10 @@ from tidewire.plans.catalog import LIFECYCLE, MESSAGES, ORACLES, SNAPSHOTS, quer
 from tidewire.plans.inputs import HOUR_MS, JOB_STEPS, STEPS_SPEC
 from tidewire.plans.queries_batch import (
     EXTRACT_SQL, FIRST_SQL, GROUP_SQL, LIFECYCLE_SQL, METRICS_SQL, QUEUE_METRICS, ROUTE_SQL, RULES,
-    STEP_FUNCTIONS, STEP_NAMES, count_step_outputs, lifecycle_rows, point_rows,
+    STEP_FUNCTIONS, STEP_NAMES, count_step_outputs, lifecycle_rows, per_bucket, point_rows,
 )
 from tidewire.settings import scratch_path
-from tidewire.sources import config
+from tidewire.sources import config, sinks
 from tidewire.streaming import keyed, rates, runs
 
 # Far after all data: passes every watermark, so that the last windows and open joins come out.
@@ -65,6 +65,15 @@ def _extract_points_stream(spark, sf_dir):
     return point_rows(runs.run_to_table(extract.extract_points(sent, RULES), "points"))
 
 
+@query("points_streamed", ORACLES["points_by_bucket"])
+def _points_streamed(spark, sf_dir):
+    """Points written to the point store as a stream and read back."""
+    path = scratch_path(spark, "point-stream")
+    points = extract.extract_points(inputs.messages_of(stream_table(spark, sf_dir, "events")), RULES)
+    sinks.stream_points(points, f"{path}/store", f"{path}/checkpoint", interval=None).awaitTermination()
+    return per_bucket(sinks.read_points(spark, f"{path}/store", points.schema))
+
+
 @query("first_publish_stream", FIRST_SQL)
 def _first_publish_stream(spark, sf_dir):
     log = inputs.two_node_log_of(stream_table(spark, sf_dir, "events"))

@@ -31,14 +31,14 @@ def with_previous(
     """Add ``previous_<column>``: the value in the row before, by ``order`` within the keys.
 
     ``block`` must not fall as ``order`` rises. Within a block this is ``lag``; the first row of a
-    block takes the last row of the block before.
+    block takes the last row of the block before. Rows of equal ``order`` follow each other by ``columns``.
     """
     cut = df.withColumn("__block", block)
-    last = F.max_by(F.struct(*columns), F.col(order))
+    last = F.max_by(F.struct(*columns), F.struct(order, *columns))
     ends = cut.groupBy(*keys, "__block").agg(last.alias("__end"))
     by_block = Window.partitionBy(*keys).orderBy("__block")
     starts = ends.select(*keys, "__block", F.lag("__end").over(by_block).alias("__start"))
-    inside = Window.partitionBy(*keys, "__block").orderBy(order)
+    inside = Window.partitionBy(*keys, "__block").orderBy(order, *columns)
     joined = cut.join(starts, [*keys, "__block"])
     ranked = joined.withColumn("__lag", F.lag(F.struct(*columns)).over(inside))
     previous = F.coalesce("__lag", "__start")
