@@ -328,3 +328,18 @@ def test_steps_run_as_streams_of_their_own(spark, tmp_path):
     assert sorted(r.message_id for r in runs.step_output(spark, path, "two").collect()) == kept
     three = {(r.message_id, r.group_id, r.body, r.address) for r in runs.step_output(spark, path, "three").collect()}
     assert three == {(i, str(i % 3), str(i // 3 + 1), "iotdpp.three.output") for i in kept}
+
+
+def test_a_stream_ends_with_the_first_match(spark, tmp_path):
+    schema = "message_id bigint, reception_date timestamp, topic string, body string, application_id string, correlation_id string"
+    struct = spark.createDataFrame([], schema).schema
+    source = str(tmp_path / "in")
+    rows = [(i, at(100 - i), "t", "x", f"app-{i % 2}", None) for i in range(10)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
+    look = lambda name, **options: runs.first_match(runs.stream_files(spark, source, struct), str(tmp_path / name), **options)
+    assert look("a", application="app-1").message_id == 9
+    assert look("b", topic="none", interval=None) is None
+    assert look("c", topic="late", timeout=3) is None
+    spark.createDataFrame([(77, at(5), "late", "x", None, None)], schema).coalesce(1).write.mode("append").parquet(source)
+    assert look("c", topic="late", timeout=60).message_id == 77  # goes on where it stopped
+    assert not [q for q in spark.streams.active if q.isActive]

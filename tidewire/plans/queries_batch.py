@@ -927,7 +927,7 @@ def _log(spark, sf_dir) -> DataFrame:
     return lookup.stored_log(messages(spark, sf_dir))
 
 
-def _log_rows(log: DataFrame) -> DataFrame:
+def log_rows(log: DataFrame) -> DataFrame:
     return log.select("message_id", "topic", "application_id", "correlation_id", millis(F.col("reception_date")).alias("ms"))
 
 
@@ -940,7 +940,7 @@ LOG_COLUMNS = "message_id, address AS topic, application AS application_id, 'c'
 )
 def _log_lookup(spark, sf_dir):
     costly = F.get_json_object("body", "$.cents").cast("bigint") > 500
-    return _log_rows(lookup.log_lookup(_log(spark, sf_dir), application="app-2", predicate=costly))
+    return log_rows(lookup.log_lookup(_log(spark, sf_dir), application="app-2", predicate=costly))
 
 
 @query(
@@ -949,7 +949,7 @@ def _log_lookup(spark, sf_dir):
 )
 def _find_first(spark, sf_dir):
     high = F.get_json_object("body", "$.props.k").cast("bigint") > 50
-    return _log_rows(lookup.find_first(_log(spark, sf_dir), application="app-3", predicate=high))
+    return log_rows(lookup.find_first(_log(spark, sf_dir), application="app-3", predicate=high))
 
 
 @query(
@@ -957,7 +957,7 @@ def _find_first(spark, sf_dir):
     with_(MESSAGES, select=f" SELECT {LOG_COLUMNS} FROM messages WHERE address = 'data.users.8.error' ORDER BY us DESC, message_id DESC LIMIT 1"),
 )
 def _find_last(spark, sf_dir):
-    return _log_rows(lookup.find_last(_log(spark, sf_dir), topic="data.users.8.error"))
+    return log_rows(lookup.find_last(_log(spark, sf_dir), topic="data.users.8.error"))
 
 
 # ---------------------------------------------------------------- snapshots

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.times import millis
-from tidewire.operators import bridging, extract, jobs, lifecycle, routing, snapshots
+from tidewire.operators import bridging, extract, jobs, lifecycle, lookup, routing, snapshots
 from tidewire.plans import inputs
 from tidewire.plans.catalog import LIFECYCLE, MESSAGES, ORACLES, SNAPSHOTS, query, with_
 from tidewire.plans.inputs import HOUR_MS, JOB_STEPS, STEPS_SPEC
 from tidewire.plans.queries_batch import (
     EXTRACT_SQL, FIRST_SQL, GROUP_SQL, LIFECYCLE_SQL, METRICS_SQL, QUEUE_METRICS, ROUTE_SQL, RULES,
-    STEP_FUNCTIONS, STEP_NAMES, count_step_outputs, lifecycle_rows, per_bucket, point_rows,
+    STEP_FUNCTIONS, STEP_NAMES, count_step_outputs, lifecycle_rows, log_rows, per_bucket, point_rows,
 )
 from tidewire.settings import scratch_path
 from tidewire.sources import config, sinks
@@ -125,6 +125,16 @@ def _queue_metrics_stream(spark, sf_dir):
     return snapshots.queue_metrics(runs.snapshots_from_store(spark, f"{path}/states", HOUR_MS))
 
 
+@query("first_match_stream", ORACLES["find_first"])
+def _first_match_stream(spark, sf_dir):
+    """A stream that ends with the first message of an application that has a high key."""
+    log = lookup.stored_log(inputs.messages_of(stream_table(spark, sf_dir, "events")))
+    high = F.get_json_object("body", "$.props.k").cast("bigint") > 50
+    checkpoint = scratch_path(spark, "first-match")
+    row = runs.first_match(log, checkpoint, application="app-3", predicate=high, interval=None)
+    return log_rows(spark.createDataFrame([row] if row else [], log.schema))
+
+
 @query("job_state_stream", ORACLES["job_state"])
 def _job_state_stream(spark, sf_dir):
     path = scratch_path(spark, "jobs")

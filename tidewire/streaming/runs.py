@@ -6,13 +6,14 @@ watermark, and the helpers that write a stream to files.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewire.operators import bridging, jobs, lifecycle, routing, snapshots
+from tidewire.operators import bridging, jobs, lifecycle, lookup, routing, snapshots
 from tidewire.settings import materialize, scratch_path
 from tidewire.streaming import store
 
@@ -75,6 +76,33 @@ def for_each_batch(
     )
 
 
+def first_match(
+    log: DataFrame, checkpoint: str, *, application: str | None = None, topic: str | None = None,
+    predicate: Column | None = None, timeout: float | None = None, interval: str | None = "1 second",
+) -> Row | None:
+    """Wait for the first row of a streamed ``lookup.stored_log`` that meets the conditions: the stream ends as
+    soon as a micro-batch has one.
+
+    Of several in one micro-batch the earliest counts. Without an interval only what is there is looked at.
+    After ``timeout`` seconds, or at the end of what is there, the result is none. The driver holds one row.
+    """
+    found: list[Row] = []
+
+    def look(batch: DataFrame, batch_id: int) -> None:
+        if not found:
+            found.extend(lookup.find_first(batch).collect())
+
+    wanted = lookup.log_lookup(log, application, topic, predicate)
+    query = for_each_batch(wanted, look, checkpoint, interval=interval)
+    ends = None if timeout is None else time.monotonic() + timeout
+    while not found and query.isActive and (ends is None or time.monotonic() < ends):
+        query.awaitTermination(0.2)
+    query.stop()
+    if query.exception() is not None:
+        raise query.exception()
+    return found[0] if found else None
+
+
 def write_batch(path: str) -> Callable[[DataFrame, int], None]:
     """Writes each micro-batch to its own folder; a repeated batch replaces itself."""
 
