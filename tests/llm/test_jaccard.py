@@ -4,7 +4,7 @@ import brute
 import pytest
 
 from tidewire.llm.graph import components
-from tidewire.llm.jaccard import jaccard_components, prefix_length
+from tidewire.llm.jaccard import jaccard_components, jaccard_links, prefix_length
 
 
 def corpus(seed=6):
@@ -77,3 +77,26 @@ def test_components_of_paths_stars_and_loops(spark):
     groups = [names[:100], names[100:200], names[200:250], names[270:272]]
     assert set(got) == {n for g in groups for n in g}
     assert all(len({got[n] for n in g}) == 1 for g in groups) and len(set(got.values())) == 4
+
+
+@pytest.mark.parametrize("part", [32, 2])
+def test_all_links_between_classes(spark, monkeypatch, part):
+    monkeypatch.setattr("tidewire.llm.jaccard.PART", part)
+    rows = corpus(9)
+    rows += [(1000 + i, t) for i, t in rows[:30:3]]
+    docs = spark.createDataFrame(rows + [(None, rows[0][1])], "doc_id long, text string")
+    links, members = jaccard_links(docs.repartition(4))
+    sets = {i: frozenset(brute.shingles(t)) for i, t in rows}
+    home = {}
+    for i, s in sorted(sets.items()):
+        home.setdefault(s, i)
+    expected = set()
+    for a, x in home.items():
+        for b, y in home.items():
+            if x < y and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                expected.add((x, y))
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 10
+    assert {r["doc_id"]: r["class_id"] for r in members.collect() if r["doc_id"] is not None} == {
+        i: home[s] if s else None for i, s in sets.items()
+    }

@@ -308,8 +308,9 @@ def _parts(classes: DataFrame, roots: DataFrame, hubs: DataFrame) -> DataFrame:
     return materialize(named, "parts")
 
 
-def _opened(lists: DataFrame, member: DataFrame, percent: int) -> DataFrame:
-    """The pairs of parts ``p``, ``q`` that the token-group matrix does not rule out."""
+def _opened(lists: DataFrame, member: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """The pairs of parts ``p``, ``q`` that the token-group matrix does not rule out. Unless ``every`` link is
+    wanted, parts whose classes are all connected already are not opened."""
     facts = member.groupBy("part").agg(
         F.min("n").alias("least"), F.max("n").alias("most"),
         F.min("root").alias("root"), (F.min("root") != F.max("root")).alias("mixed"),
@@ -325,13 +326,18 @@ def _opened(lists: DataFrame, member: DataFrame, percent: int) -> DataFrame:
     both = meet.join(x, F.col("p") == F.col("x.part")).join(y, F.col("q") == F.col("y.part"))
     both = both.filter("common >= greatest(x.enough, y.enough)")
     both = both.filter(f"100 * x.most >= {percent} * y.least and 100 * y.most >= {percent} * x.least")
-    both = both.filter("x.mixed or y.mixed or x.root <> y.root").select("p", "q")
-    inside = facts.filter("mixed").select(F.col("part").alias("p"), F.col("part").alias("q"))
+    if not every:
+        both = both.filter("x.mixed or y.mixed or x.root <> y.root")
+        facts = facts.filter("mixed")
+    both = both.select("p", "q")
+    inside = facts.select(F.col("part").alias("p"), F.col("part").alias("q"))
     return materialize(both.unionByName(inside), "opened-parts")
 
 
-def _between_parts(opened: DataFrame, member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links between classes that are not connected yet, in the opened pairs of parts."""
+def _between_parts(
+    opened: DataFrame, member: DataFrame, sets: DataFrame, percent: int, every: bool = False
+) -> DataFrame:
+    """The links in the opened pairs of parts: ``every`` one, or those between classes not connected yet."""
 
     def packed(key, table):
         sizes = [len(t.as_buffer()) for t in table["tokens"]]
@@ -347,7 +353,7 @@ def _between_parts(opened: DataFrame, member: DataFrame, sets: DataFrame, percen
         for batch in batches:
             a, b = [], []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                da, db = _part_links(x.as_py(), y.as_py(), percent)
+                da, db = _part_links(x.as_py(), y.as_py(), percent, every)
                 a.append(da)
                 b.append(db)
             a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
@@ -366,8 +372,8 @@ def _between_parts(opened: DataFrame, member: DataFrame, sets: DataFrame, percen
     return materialize(both.mapInArrow(lambda b: released(compared(b)), "a long, b long").distinct(), "links-between-parts")
 
 
-def _part_links(x: dict, y: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The linked pairs between the classes of two parts whose roots differ."""
+def _part_links(x: dict, y: dict, percent: int, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs between the classes of two parts whose roots differ, or ``every`` linked pair."""
     (dx, dy), (rx, ry), (nx, ny) = (
         [np.frombuffer(side[k], np.int64) for side in (x, y)] for k in ("digests", "roots", "sizes")
     )
@@ -386,17 +392,15 @@ def _part_links(x: dict, y: dict, percent: int) -> tuple[np.ndarray, np.ndarray]
         np.add.at(common, (ox[has], oy[first[has] + k]), 1)
         k += 1
     either = nx[:, None] + ny[None, :] - common
-    linked = (100 * common >= percent * either) & (rx[:, None] != ry[None, :])
+    apart = (dx[:, None] != dy[None, :]) if every else (rx[:, None] != ry[None, :])
+    linked = (100 * common >= percent * either) & apart
     i, j = np.nonzero(linked)
     return np.minimum(dx[i], dy[j]), np.maximum(dx[i], dy[j])
 
 
-def jaccard_components(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80,
-    shingle: int = 5,
-) -> DataFrame:
-    """Per row the id, ``n_shingles`` (size of its set) and ``component_id``: the smallest id that
-    can be reached by links, itself included."""
+def _prepared(docs: DataFrame, id_column: str, text_column: str, percent: int, shingle: int):
+    """The documents' sizes and digests, their classes, the token lists, the sets of classes that can link, and
+    the pairs of classes and hubs worth comparing."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     found = _sets(docs, shingle)
@@ -417,6 +421,16 @@ def jaccard_components(
     near = near.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
     near = near.filter(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na")
     near = near.filter(f"common >= greatest({needed('na', percent)}, {needed('nb', percent)})")
+    return documents, classes, lists, n, sets, hubs, near
+
+
+def jaccard_components(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80,
+    shingle: int = 5,
+) -> DataFrame:
+    """Per row the id, ``n_shingles`` (size of its set) and ``component_id``: the smallest id that
+    can be reached by links, itself included."""
+    documents, classes, lists, n, sets, hubs, near = _prepared(docs, id_column, text_column, percent, shingle)
     links = _compared(near, sets, percent)
     roots = components(links)
     member = _parts(n, roots, hubs)
@@ -437,3 +451,26 @@ def jaccard_components(
     return out.select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id")
     )
+
+
+def jaccard_links(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80,
+    shingle: int = 5,
+) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets, and who has which set.
+
+    The first table has a row ``a``, ``b`` for each pair of linked classes, by their smallest ids; the second
+    each row's id and ``class_id``, null without a set. Rows of one class have equal sets and are not paired. In a
+    group of n near copies that all link there are n * (n - 1) / 2 links; ``jaccard_components`` does without.
+    """
+    documents, classes, lists, n, sets, hubs, near = _prepared(docs, id_column, text_column, percent, shingle)
+    member = _parts(n, components(_compared(near, sets, percent)), hubs)
+    found = _between_parts(_opened(lists, member, percent, True), member, sets, percent, True)
+    named = classes.select("digest", "id")
+    links = found.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
+    links = links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    owner = named.toDF("digest", "class_id")
+    members = documents.join(owner, "digest", "left").select(
+        F.col("id").alias(id_column), F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id")
+    )
+    return links, members

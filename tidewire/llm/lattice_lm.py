@@ -45,7 +45,7 @@ from tidewire.llm.flat import flat_bytes, mixed, row_slices, signed, word_bounds
 from tidewire.llm.frames import regrouped, released, small_batches
 from tidewire.settings import materialize, scratch_path
 
-BLOCK_BYTES = 4 << 20  # text of a block; a longer text is a block of its own
+BLOCK_BYTES = 8 << 20  # text of a block; a longer text is a block of its own
 ROUNDS = 2  # of re-estimation
 WORDS_AT_ONCE = 20_000
 ROWS_AT_ONCE = 50_000
@@ -297,48 +297,58 @@ def _keys(words: bytes) -> np.ndarray:
     return signed(word_hashes(data, np.array([0, len(data)]))[0])
 
 
-def _vocabulary(blocks: DataFrame) -> DataFrame:
-    """Each distinct ``word`` of a block with its hash ``key``, the ``block``, its ``number`` there and ``n0``,
-    its count in the block's training texts."""
+def _counts(blocks: DataFrame) -> DataFrame:
+    """``word``, ``kind``, ``n``: how often training texts of a block have a word, by class; null stands for texts
+    without one. Words that only other texts have are there with 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, words, trained in zip(*batch.columns, strict=True):
-                n = np.frombuffer(trained.as_py(), np.int64)
-                keys = _keys(words.as_py())
-                words = words.as_py().split(b"\n") if len(n) else []
-                for begin in range(0, len(words), ROWS_AT_ONCE):
-                    some = words[begin : begin + ROWS_AT_ONCE]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[begin : begin + ROWS_AT_ONCE]), pa.array(some, pa.binary()),
-                         pa.array(np.full(len(some), block.as_py())),
-                         pa.array(np.arange(begin, begin + len(some), dtype=np.int32)),
-                         pa.array(n[begin : begin + ROWS_AT_ONCE])],
-                        names=["key", "word", "block", "number", "n0"],
-                    )
+            for words, trained, classes in zip(*batch.columns, strict=True):
+                rest = np.frombuffer(trained.as_py(), np.int64).copy()
+                words = pa.array(words.as_py().split(b"\n") if len(rest) else [], pa.binary())
+                parts = pickle.loads(classes.as_buffer())
+                there = np.zeros(len(rest), bool)
+                for _, numbers, n in parts:
+                    rest[numbers] -= n
+                    there[numbers] = True
+                others = np.flatnonzero((rest > 0) | ~there)
+                for kind, numbers, n in [*parts, (None, others, rest[others])]:
+                    for begin in range(0, len(n), ROWS_AT_ONCE):
+                        some = numbers[begin : begin + ROWS_AT_ONCE]
+                        yield pa.RecordBatch.from_arrays(
+                            [words.take(pa.array(some)), pa.array([kind] * len(some), pa.int64()),
+                             pa.array(n[begin : begin + ROWS_AT_ONCE].astype(np.int64))],
+                            names=["word", "kind", "n"],
+                        )
 
-    rows = blocks.select("block", "words", "trained")
-    return rows.mapInArrow(run, "key long, word binary, block long, number int, n0 long")
+    rows = blocks.select("words", "trained", "classes")
+    return rows.mapInArrow(run, "word binary, kind long, n long")
 
 
-def _class_words(blocks: DataFrame) -> DataFrame:
-    """``key``, ``kind``, ``c``: how often training texts of each class have each word."""
+def _places(blocks: DataFrame) -> DataFrame:
+    """Each distinct word of a block by its hash ``key``, with the ``block`` and its ``number`` there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, classes in zip(*batch.columns, strict=True):
+            for block, words in zip(*batch.columns, strict=True):
                 keys = _keys(words.as_py())
-                for kind, numbers, n in pickle.loads(classes.as_buffer()):
-                    for begin in range(0, len(n), ROWS_AT_ONCE):
-                        some = numbers[begin : begin + ROWS_AT_ONCE]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(keys[some]), pa.array(np.full(len(some), kind)),
-                             pa.array(n[begin : begin + ROWS_AT_ONCE].astype(np.int64))],
-                            names=["key", "kind", "n"],
-                        )
+                for begin in range(0, len(keys), ROWS_AT_ONCE):
+                    some = keys[begin : begin + ROWS_AT_ONCE]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(some), pa.array(np.full(len(some), block.as_py())),
+                         pa.array(np.arange(begin, begin + len(some), dtype=np.int32))],
+                        names=["key", "block", "number"],
+                    )
 
-    rows = blocks.select("words", "classes").mapInArrow(run, "key long, kind long, n long")
-    return materialize(rows.groupBy("key", "kind").agg(F.sum("n").alias("c")), "class-words")
+    return blocks.select("block", "words").mapInArrow(run, "key long, block long, number int")
+
+
+def _words(blocks: DataFrame) -> DataFrame:
+    """Each distinct ``word`` with its count ``c0`` in all training texts and, as ``own``, those by class."""
+    dealt = _counts(blocks).repartition("word")  # both groupings below are by the word
+    by_class = dealt.groupBy("word", "kind").agg(F.sum("n").alias("c"))
+    own = F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "c")))
+    return materialize(by_class.groupBy("word").agg(F.sum("c").alias("c0"), own.alias("own")), "words")
 
 
 def _decoded(column: pa.Array) -> list[str]:
@@ -431,15 +441,13 @@ def score_texts(
     texts_of = {r["kind"]: r["texts"] for r in trained.collect()}  # a row per class
     texts = sum(texts_of.values())
     blocks = _blocks(chosen)
-    vocabulary = _vocabulary(blocks)
-    words = vocabulary.groupBy("word").agg(F.first("key").alias("key"), F.sum("n0").alias("c0"))
-    words = materialize(words, "words")
+    words = _words(blocks)
     facts = words.agg(
         F.count(F.when(F.col("c0") > 0, 1)).alias("distinct"), F.coalesce(F.sum("c0"), F.lit(0)).alias("tokens"),
         F.count(F.when(F.col("c0") == 1, 1)).alias("ones"), F.count(F.when(F.col("c0") == 2, 1)).alias("twos"),
     ).first()
-    class_words = _class_words(blocks)
-    by_class = class_words.groupBy("kind").agg(F.count("*").alias("distinct"), F.sum("c").alias("tokens"))
+    by_class = words.select(F.inline("own")).groupBy("kind")
+    by_class = by_class.agg(F.count("*").alias("distinct"), F.sum("c").alias("tokens"))
     seen = {r["kind"]: (r["distinct"], r["tokens"]) for r in by_class.collect()}
     classes = sorted(k for k in texts_of if k is not None)
     # by model, the general one first: ends of texts, distinct words and tokens (ends included)
@@ -462,19 +470,27 @@ def score_texts(
             own = np.log(np.maximum(counts - discount, 0.0) / max(tokens[k], 1))
         return np.logaddexp(own, np.log(taken[k]) + lower)
 
+    numbers_of = np.array(classes or [0], np.int64)
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in regrouped(batches, WORDS_AT_ONCE):
             spelled = word_log_probabilities(shared.value, _decoded(batch.column(0)))
+            own = batch.column(2)
+            kinds, counts = (np.asarray(x) for x in own.flatten().flatten())
+            # class and count as one number
+            codes = np.searchsorted(numbers_of, kinds) + counts * len(numbers_of)
+            ends = np.append(0, np.cumsum(np.asarray(pc.list_value_length(own)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(spelled.astype(np.float32))], names=["key", "c0", "spelled"]
-            )
+                [pa.array(_keys(b"\n".join(batch.column(0).to_pylist()))), batch.column(1),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(codes)), pa.array(spelled.astype(np.float32))],
+                names=["key", "c0", "own", "spelled"],
+            )
 
     # counts are mostly small, so they move in less space than the probabilities made of them
-    values = words.select("word", "key", "c0").mapInArrow(scored, "key long, c0 long, spelled float")
-    own = class_words.groupBy("key").agg(F.collect_list("kind").alias("kinds"), F.collect_list("c").alias("counts"))
-    values = materialize(values.join(own, "key", "left"), "word-scores")
+    values = words.select("word", "c0", "own").mapInArrow(scored, "key long, c0 long, own array<long>, spelled float")
+    values = materialize(values, "word-scores")
     shared.destroy()
-    local = vocabulary.select("key", "block", "number").join(values, "key").drop("key")
+    local = _places(blocks).join(values, "key").drop("key")
     # the end is a word like the others, but no piece spells it
     end_general = float(np.log(max(texts - discount, 1e-9) / tokens[0])) if texts else 0.0
     end_logs = [end_general]
@@ -488,12 +504,11 @@ def score_texts(
         order = np.argsort(np.asarray(right["number"]))
         spelled = np.asarray(right["spelled"])[order].astype(float)
         general = np.asarray(right["c0"])[order]
-        lists = [right[c].combine_chunks() for c in ("kinds", "counts")]
-        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists[0]), 0))
+        own = right["own"].combine_chunks()
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        owner = np.repeat(place, sizes)
-        kinds, counts = (np.asarray(x.flatten()) for x in lists)
+        owner = np.repeat(place, np.asarray(pc.list_value_length(own)))
+        counts, kinds = np.divmod(np.asarray(own.flatten()), len(numbers_of))
         base, known = base_of(general.astype(float)), general > 0
         log_general = mixed_log(general.astype(float), spelled, 0)
         out = {n: [] for n in ("id", "n_tokens", "n_known", "base_score", "score", "lattice_score")}
@@ -510,7 +525,7 @@ def score_texts(
             for k, (share, end) in enumerate(zip(shares, end_logs, strict=True)):
                 log_p = log_general
                 if k:
-                    mine = kinds == classes[k - 1]
+                    mine = kinds == k - 1
                     in_class = np.zeros(len(general))
                     in_class[owner[mine]] = counts[mine]
                     log_p = mixed_log(in_class, log_general, k)
