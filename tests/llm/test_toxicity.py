@@ -100,3 +100,34 @@ def test_rare_sure_words_are_learned_at_every_size(spark, n):
     rows = [(float(i % 2), f"the common words of text {i}" + (" vilest" if i % 2 and i < 20 else "")) for i in range(n)]
     sample = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "label double, text string, mark long")
     assert "vilest" in toxicity._lexicon(sample, 100)
+
+
+def exchanged(plan):
+    """The columns that each exchange of a plan moves."""
+    own = [plan.output().mkString(" ")] if plan.nodeName() == "Exchange" else []
+    children = plan.children()
+    return own + [x for k in range(children.size()) for x in exchanged(children.apply(k))]
+
+
+def test_texts_are_not_moved_to_meet_their_labels(spark, monkeypatch):
+    """With labels too many for a broadcast only ids and marks are dealt out; the sample stays the same."""
+    written, write = {}, toxicity.materialize
+    monkeypatch.setattr(toxicity, "materialize", lambda df, name: written.setdefault(name, df) and write(df, name))
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words"), (2, "a b c d e f"), (3, None), (4, "no label"), (None, "no id"), (5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [(1, 1), (1, 0), (2, 0), (3, 1), (4, None), (None, 1), (5, 0), (6, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        sample, sizes = toxicity._sample(docs, labels, 100)
+        moved = exchanged(written["toxicity-marks"]._jdf.queryExecution().executedPlan())
+        got = sorted((r["label"], r["text"]) for r in sample.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert moved and not any("text" in columns for columns in moved)
+    assert got == [(0.0, "a b c d e f"), (0.0, "x"), (1.0, ""), (1.0, "a b c d e f"), (1.0, "other words")]
+    assert sizes == {0.0: 2, 1.0: 3}

@@ -148,8 +148,9 @@ def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[DataFram
     marks = labels.filter("doc_id is not null and toxic is not null")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
     here = docs.select("doc_id", "text")
-    # labels first: shingles are formed of labelled texts only
-    found = _marked(here.join(marks, "doc_id")).select("doc_id", "label", F.col("__mark").alias("mark"))
+    # marks first: the join moves an id and a mark of each document, whatever the length of the texts
+    found = _marked(here.filter("doc_id is not null")).select("doc_id", F.col("__mark").alias("mark"))
+    found = found.join(marks, "doc_id")
     groups = found.groupBy("label", "mark").agg(F.min("doc_id").alias("doc_id"))
     groups = materialize(groups, "toxicity-marks")
     sizes = {r["label"]: r["count"] for r in groups.groupBy("label").count().collect()}
